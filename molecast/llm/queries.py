@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op7_ngram_jaccard_join
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .mpeg import op6_media_columns
+from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup}
+    return {"op1_line_dedup": op1_line_dedup, "op4_warc": op4_warc, "op6_media_columns": op6_media_columns, "op7_ngram_jaccard_join": op7_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_warc": OP4_SQL}
