@@ -11,9 +11,13 @@ search reads every pair of like size. So the trees are built over small parts th
 lose no link. (1) Prefix filter: in any order of hashes that all sets share, two
 sets that link have a hash in common among the first n - ceil(t n) + 1 of each. The
 order here is by rarity class, from a fixed-size count sketch over all documents,
-then by hash, so that passages that many documents share come last. (2) Sets that
-share a prefix hash and follow each other in size are tied, and the connected parts
-of these ties are the candidate parts. (3) A large part is cut into blocks by size
+then by hash, so that passages that many documents share come last. (2) Prefixes
+are longer by l(n) = n / 10 hashes, and then two sets that link share at least
+1 + l(0.8 n) of them. Of a set's prefix hashes, those stay that a set of like size
+has too; a set with fewer of them than it must share is out, and of the others the
+rarest few (counted exactly, up to MANY) suffice to share one with each partner.
+(3) Sets that share such a hash and follow each other in size are tied, and the
+connected parts of these ties are the candidate parts. (4) A large part is cut into blocks by size
 class and hash, and pairs of blocks whose sizes can link are the tiles that tasks
 work on, so that no task gets an unbounded part. In a tile, pairs that are already
 known to be connected are skipped, so a group of near copies isn't expanded.
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,6 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, runs, small_side, table
 from .graph import components
@@ -45,8 +51,10 @@ from .graph import components
 U = np.uint64
 #: The count sketch has 2^SKETCH counters, sent in chunks of 2^CHUNK. Points have 2^GROUPS coordinates. A node of the tree has LEAF points.
 SKETCH, CHUNK, GROUPS, LEAF = 20, 16, 6, 16
-#: Sets that link differ in size by less than this factor at similarity 0.8; see size_class.
+#: Hashes and sets of a block, about.
 TILE_HASHES, TILE_SETS = 250_000, 512
+#: Sets under one hash are counted up to this number, which stands for more.
+MANY = 1000
 
 
 class Words(dict):
@@ -65,6 +73,12 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+@lru_cache
+def _weight(i: int) -> np.uint64:
+    """An odd multiplier for position i; unrelated ones, as sums of a progression's terms coincide."""
+    return U(xxhash.xxh3_64_intdigest(i.to_bytes(8, "big")) | 1)
+
+
 def shingles(text: str | None, words: Words, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams of a text."""
     parts = (text or "").encode().lower().split()
@@ -74,7 +88,7 @@ def shingles(text: str | None, words: Words, n: int = 5) -> np.ndarray:
     k = min(n, len(parts))
     total = np.full(len(parts) - k + 1, U(k))
     for i in range(k):
-        total += w[i : len(parts) - k + 1 + i] * U((2 * i + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1) | 1)
+        total += w[i : len(parts) - k + 1 + i] * _weight(i)
     return np.unique(_finish(total))
 
 
@@ -119,10 +133,16 @@ def rarity(chunks: list, total: int) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(1, counts / (4 * total / (1 << SKETCH) + 16))))).astype(np.uint8)
 
 
+def must_share(n, percent: int):
+    """Prefix hashes that a set of size n has in common with each partner, at least."""
+    return 1 + (percent * n + 99) // 100 // 10
+
+
 def prefix(hashes: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 hashes in the order (rarity class, hash)."""
+    """The first n - ceil(t n) + 1 + n / 10 hashes in the order (rarity class, hash)."""
+    n = len(hashes)
     order = np.argsort(classes[(hashes >> U(64 - SKETCH)).astype(np.int64)], kind="stable")
-    return hashes[order[: len(hashes) - (percent * len(hashes) + 99) // 100 + 1]]
+    return hashes[order[: n - (percent * n + 99) // 100 + 1 + n // 10]]
 
 
 def _prefixes(classes, n: int, percent: int):
@@ -145,6 +165,41 @@ def _prefixes(classes, n: int, percent: int):
     return run
 
 
+def _shared(percent: int):
+    """Rows (sig, key, n) sorted by sig, n and key: those with a set of like size under the same hash, and how many sets are under it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(sig, key, size, big):
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            many = np.diff(np.append(start, len(sig)))
+            m = np.where(np.repeat(sig[start] == big, many), MANY, np.minimum(np.repeat(many, many), MANY))
+            like = (sig[1:] == sig[:-1]) & (100 * size[:-1].astype(np.int64) >= percent * size[1:].astype(np.int64))
+            keep = np.concatenate([like, [False]]) | np.concatenate([[False], like]) | (m == MANY)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, key, size, m.astype(np.int32))], ["sig", "key", "n", "m"])
+
+        held, big = [np.empty(0, k) for k in (np.int64, np.int64, np.int32)], None
+        for batch in batches:
+            rows = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])[: len(rows[0])]
+            rows = [x[new] for x in rows]
+            if not len(rows[0]):
+                continue
+            # The last run may go on in the next batch: it waits, unless it is long, or goes on from a long one.
+            last = len(rows[0]) - int(np.argmax(np.append(rows[0][::-1] != rows[0][-1], True)))
+            at, done = rows[0][-1], last
+            if len(rows[0]) - last >= MANY or at == big:
+                done = len(rows[0])
+            if done:
+                yield found(*(x[:done] for x in rows), big)
+            held = [x[done:] for x in rows]
+            if done > last:
+                big = at
+        if len(held[0]):
+            yield found(*held, big)
+
+    return run
+
+
 def _ties(percent: int):
     """Rows sorted by hash, size and set: sets next to each other under one hash are tied if their sizes may link. Gives a spanning forest of this task's ties."""
 
@@ -287,7 +342,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     classes = spark.sparkContext.broadcast(rarity(chunks, total))
     rows = plain.mapInArrow(_prefixes(classes, n, percent), "sig long, key long, n int")
-    ties = rows.repartition("sig").sortWithinPartitions("sig", "n", "key").mapInArrow(_ties(percent), "a long, b long")
+    shared = rows.repartition("sig").sortWithinPartitions("sig", "n", "key").mapInArrow(_shared(percent), "sig long, key long, n int, m int")
+    own = Window.partitionBy("key")
+    least = F.floor(F.floor((F.col("n") * percent + 99) / 100) / 10)  # must_share - 1
+    few = shared.withColumn("place", F.row_number().over(own.orderBy("m", "sig"))).withColumn("all", F.count("*").over(own)).filter(F.col("place") <= F.col("all") - least)
+    ties = few.select("sig", "key", "n").repartition("sig").sortWithinPartitions("sig", "n", "key").mapInArrow(_ties(percent), "a long, b long")
     parts = components(ties)
     reps = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
     # The text of one document of each candidate set; documents with a null id can't be named, so theirs are found by key below.
