@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -43,6 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table, from a literal: no task on the Python side makes it."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    kind = ", ".join(x.replace(" ", ": ", 1) for x in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Cut a stream of batches sorted by key into one table per run of equal keys. Only the current run is held."""
     held: list[pa.RecordBatch] = []
