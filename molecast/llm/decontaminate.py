@@ -40,7 +40,8 @@ def tokens(text: str) -> Column:
 def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each position and mask of column t: at, seed, and the columns to keep."""
     shortest = min(m[-1] for m in MASKS)
-    spots = df.filter(F.size("t") > shortest).select(*keep, "t", F.explode(F.sequence(F.lit(0), F.size("t") - F.lit(shortest + 1))).alias("at"))
+    # The outer form, as the planner would make the tokens a second time to test for emptiness; null positions meet no seed.
+    spots = df.select(*keep, "t", F.explode_outer(F.when(F.size("t") > shortest, F.sequence(F.lit(0), F.size("t") - F.lit(shortest + 1)))).alias("at"))
     # A mask that runs over the end hashes to null, and is dropped by the join.
     each = [F.when(F.col("at") + m[-1] < F.size("t"), F.xxhash64(F.lit(k), *(F.get("t", F.col("at") + p) for p in m))) for k, m in enumerate(MASKS)]
     return spots.select(*keep, "t", "at", F.explode(F.array(*each)).alias("seed"))

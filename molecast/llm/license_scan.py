@@ -146,7 +146,8 @@ def licensed_lines(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     grams = cued.select("__row", "line_no", F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("g"))
     grams = grams.select("__row", "line_no", "g", F.size("g").alias("n"))  # so that no row of the explosion carries the array
     rows = literal_table(spark, model.table, "gram string, weights array<double>, inside array<int>")
-    met = grams.select("__row", "line_no", "n", F.explode("g").alias("gram")).join(F.broadcast(rows), "gram")
+    # The outer form, as the planner would test g for emptiness first, and make it twice.
+    met = grams.select("__row", "line_no", "n", F.explode_outer("g").alias("gram")).join(F.broadcast(rows), "gram")
     k = len(families)
     sums = met.groupBy("__row", "line_no", "n").agg(F.array(*(F.sum(F.col("weights")[i]) for i in range(k + 1))).alias("sums"), F.array(*(F.count_if(F.array_contains("inside", i)) for i in range(k))).alias("hits"))
     bias = F.array(*(F.lit(float(x)) for x in model.bias))
