@@ -1,10 +1,10 @@
 """Mixing sources to target weights by soft membership.
 
-A classifier learned from a labelled table gives each document's posterior over
-domains, and nonnegative rates are fitted so that the expected tokens of each
-domain, the sum of rate * tokens * posterior, match the targets. Both fits are
-gradient steps whose sums are distributed aggregations; the driver holds a few
-numbers for each domain and feature. Only DataFrame expressions are used.
+A classifier learned from a bounded sample of a labelled table gives each document's
+posterior over domains, and nonnegative rates are fitted so that the expected tokens
+of each domain, the sum of rate * tokens * posterior, match the targets. The fit of
+the rates is made of distributed aggregations over all documents; the driver holds a
+few numbers for each domain. Only DataFrame expressions run on rows.
 
 The rates start at 1 and minimise sum_k (expected_k - target_k)^2 over rates >= 0.
 A projected-gradient step moves every rate by the same few numbers times its
@@ -27,23 +27,32 @@ from pyspark.sql import functions as F
 from .common import cut, small_side, table
 
 #: Features of a text, all from built-in functions.
-FEATURES = ("log_words", "word_length", "distinct", "capitals", "symbols", "digits", "lines", "letters_wide")
+FEATURES = ("log_words", "word_length", "distinct", "capitals", "symbols", "lines", "letters_wide")
+#: Characters counted for two of them, each by a plain search; the capitals are common ones of the corpus's languages.
+CAPITALS, SYMBOLS = "EANS", "%&*#$!|"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def text_features(text: str) -> list[Column]:
-    """The words (as __words, which the rest refers to), then FEATURES, of a text column."""
+    """The words (as __words, which the rest refers to; null without any), then FEATURES, of a text column."""
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    size, n = F.octet_length(body), F.size("__words")
+    bare = F.trim(body, F.lit(BLANKS))
+    words = F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+"))
+    size, n = F.octet_length(body), tokens()
 
     def share(chars: str) -> Column:
-        return (size - F.octet_length(F.translate(body, chars, ""))) / F.greatest(size, F.lit(1))
+        left = sum((F.octet_length(F.replace(body, F.lit(c), F.lit(""))) for c in chars[1:]), F.octet_length(F.replace(body, F.lit(chars[0]), F.lit(""))))
+        return (size * len(chars) - left) / F.greatest(size, F.lit(1))
 
     many = F.greatest(n, F.lit(1))
-    own = (F.log1p(n.cast("double")), F.log1p(size / many), F.size(F.array_distinct("__words")) / many, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("!#$%&*+/<=>@^_`{|}~"), share("0123456789"), share("\n") * 10, size / F.greatest(F.length(body), F.lit(1)) - 1)
+    own = (F.log1p(n.cast("double")), F.log1p(size / many), F.coalesce(F.size(F.array_distinct("__words")), F.lit(0)) / many, share(CAPITALS) * 4, share(SYMBOLS), share("\n") * 10, size / F.greatest(F.length(body), F.lit(1)) - 1)
     return [words.alias("__words"), *(c.cast("double").alias(f) for c, f in zip(own, FEATURES, strict=True))]
 
 
+def tokens() -> Column:
+    return F.when(F.col("__words").isNull(), 0).otherwise(F.size("__words"))
+
+
 def _softmax(scores: list[Column]) -> list[Column]:
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     e = [F.exp(s - top) for s in scores]
@@ -51,30 +60,24 @@ def _softmax(scores: list[Column]) -> list[Column]:
     return [x / total for x in e]
 
 
-def fit_domains(rows: DataFrame, label: str, domains: list[str], steps: int = 16, ridge: float = 1e-3) -> tuple[dict, list[list[float]]]:
-    """Means and deviations of the features, and weights (bias first) of each domain.
+def fit_domains(x: np.ndarray, labels: np.ndarray, count: int, steps: int = 200, ridge: float = 1e-3) -> tuple[dict, list[list[float]]]:
+    """Means and deviations of the features, and weights (bias first) of each domain, from a bounded sample.
 
-    Accelerated gradient descent on the log loss, each step one aggregation. Steps are
-    scaled by the inverse of the bound X'X / 2 on the loss's curvature.
+    Accelerated gradient descent on the log loss; steps are scaled by the inverse of
+    the bound X'X / 2 on the loss's curvature.
     """
-    stats = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in FEATURES for f in (F.avg, F.stddev_pop))).first()
-    scale = {c: (stats[f"avg_{c}"] or 0.0, max(stats[f"stddev_pop_{c}"] or 0.0, 1e-6)) for c in FEATURES}
-    now = np.zeros((len(domains), len(FEATURES) + 1))
-    if not stats["n"] or len(domains) < 2:
+    width, now = len(FEATURES) + 1, np.zeros((count, len(FEATURES) + 1))
+    mean = x.mean(0) if len(x) else np.zeros(width - 1)
+    spread = np.maximum(x.std(0), 1e-6) if len(x) else np.ones(width - 1)
+    scale = {c: (float(m), float(s)) for c, m, s in zip(FEATURES, mean, spread, strict=True)}
+    if not len(x) or count < 2:
         return scale, now.tolist()
-    plain = scaled(scale)
-    x = [F.lit(1.0), *plain]
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    got = rows.agg(*(F.avg(x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs)).first()
-    curve = np.zeros((len(x), len(x)))
-    for i, j in pairs:
-        curve[i, j] = curve[j, i] = got[f"h{i}_{j}"]
-    curve, penalty, ahead = curve / 2 + np.eye(len(x)) * max(ridge, 1e-6), np.diag([0.0] + [ridge] * len(FEATURES)), now.copy()
+    x = np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / spread, -5, 5)])
+    truth, penalty = np.eye(count)[labels], np.diag([0.0] + [ridge] * (width - 1))
+    curve, ahead = x.T @ x / len(x) / 2 + ridge * np.eye(width), now.copy()
     for t in range(1, steps + 1):
-        p = _softmax(scores(plain, ahead.tolist()))
-        miss = [pk - (F.col(label) == F.lit(k)).cast("double") for pk, k in zip(p, domains, strict=True)]
-        g = rows.agg(*(F.avg(m * c).alias(f"g{k}_{j}") for k, m in enumerate(miss) for j, c in enumerate(x))).first()
-        gradient = np.array([[g[f"g{k}_{j}"] for j in range(len(x))] for k in range(len(domains))]) + ahead @ penalty
+        z = np.exp((score := x @ ahead.T) - score.max(1, keepdims=True))
+        gradient = (z / z.sum(1, keepdims=True) - truth).T @ x / len(x) + ahead @ penalty
         new = ahead - np.linalg.solve(curve, gradient.T).T
         ahead, now = new + (t - 1) / (t + 2) * (new - now), new
     return scale, now.tolist()
@@ -99,7 +102,7 @@ class Domains:
         """docs with __tokens and p0 .. beside its columns."""
         words, *rest = text_features(text_col)
         had = docs.columns
-        wide = docs.withColumn("__words", words).select(*had, F.size("__words").cast("double").alias("__tokens"), *(c.alias(f"__{f}") for c, f in zip(rest, FEATURES, strict=True)))
+        wide = docs.withColumn("__words", words).select(*had, tokens().cast("double").alias("__tokens"), *(c.alias(f"__{f}") for c, f in zip(rest, FEATURES, strict=True)))
         found = _softmax(scores(scaled(self.scale, "__"), self.weights))
         return wide.select(*had, "__tokens", *(p.alias(f"__p{k}") for k, p in enumerate(found)))
 
@@ -111,8 +114,11 @@ def train_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     picked = known.filter(share < min(1.0, sample / max(known.count(), 1)))
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(small_side(picked, picked.count(), 4 * sample), F.col("__doc") == F.col("__key"))
     words, *rest = text_features("__text")
-    fitted = cut(rows.select("__label", "__text", words).select("__label", *rest).coalesce(4), "labelled")
-    return Domains(*fit_domains(fitted, "__label", domains))
+    # At most about ``sample`` rows of a few numbers come to the driver.
+    got = rows.select("__label", "__text", words).select("__label", *rest).collect()
+    x = np.array([r[1:] for r in got], float).reshape(-1, len(FEATURES))
+    order = np.lexsort([*x.T, labels := np.array([domains.index(r[0]) for r in got], int)])
+    return Domains(*fit_domains(x[order], labels[order], len(domains)))
 
 
 def _rate(history: list[list[float]], count: int) -> Column:
@@ -147,21 +153,18 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = 30, ridge: flo
     return history
 
 
-def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label: str = "domain") -> tuple[Domains, list[list[float]]]:
-    """The classifier and the residuals that give each text its rate. Domains are in the order of targets."""
+def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label: str = "domain") -> tuple[Domains, list[list[float]], DataFrame]:
+    """The classifier, the steps that give each text its rate, and (__id, __tokens, __p0 .., __rate) of each row. Domains are in the order of targets."""
     domains = train_domains(docs, labelled, list(targets), id_col, text_col, label)
-    rows = cut(domains.posteriors(docs.select(F.col(text_col).alias("__body")), "__body").drop("__body"), "posteriors")
-    return domains, fit_rates(rows, list(targets.values()))
-
-
-def with_rates(docs: DataFrame, domains: Domains, history: list[list[float]], text_col: str = "text") -> DataFrame:
-    """docs with __tokens, __p0 .. and __rate beside its columns; a row's rate comes from its own text, so nothing is joined."""
-    return domains.posteriors(docs, text_col).withColumn("__rate", _rate(history, len(domains.weights)))
+    rows = cut(domains.posteriors(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__body")), "__body").drop("__body"), "posteriors")
+    history = fit_rates(rows, list(targets.values()))
+    return domains, history, rows.withColumn("__rate", _rate(history, len(targets)))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label: str = "domain") -> DataFrame:
-    """The rows of docs, all columns, each as often as its rate says."""
-    rated = with_rates(docs, *fit_mixture(docs, labelled, targets, id_col, text_col, label), text_col)
+    """The rows of docs, all columns, each as often as its rate says. A row's rate is found from its own text once more, so that nothing is joined and no text is shuffled."""
+    domains, history, _ = fit_mixture(docs, labelled, targets, id_col, text_col, label)
+    rated = domains.posteriors(docs, text_col).withColumn("__rate", _rate(history, len(targets)))
     return _repeated(rated, docs.columns, id_col)
 
 
@@ -185,6 +188,5 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     """The rate of every document, and the copies it stands for."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = with_rates(docs, *fit_mixture(docs, quality_domains(table(spark, sf_dir, "labels")), TARGETS))
-    return out.select("doc_id", F.col("__tokens").cast("long").alias("tokens"), *(F.col(f"__p{k}").alias(f"p_{d}") for k, d in enumerate(TARGETS)), F.col("__rate").alias("rate"), copies(F.col("__rate"), F.col("doc_id")).alias("copies"))
+    _, _, out = fit_mixture(table(spark, sf_dir, "documents"), quality_domains(table(spark, sf_dir, "labels")), TARGETS)
+    return out.select(F.col("__id").alias("doc_id"), F.col("__tokens").cast("long").alias("tokens"), *(F.col(f"__p{k}").alias(f"p_{d}") for k, d in enumerate(TARGETS)), F.col("__rate").alias("rate"), copies(F.col("__rate"), F.col("__id")).alias("copies"))
