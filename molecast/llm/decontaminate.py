@@ -72,8 +72,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         # The window is cut in the stage that finds the hit, so that a long text isn't copied for each.
         hits = _seeds(plain, ["doc_id"]).join(F.broadcast(known), "seed").select("doc_id", "item_id", "at", "place", window)
     else:
-        found = _seeds(plain, ["doc_id"]).select("doc_id", "at", "seed").join(known, "seed").groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal"), F.floor(F.col("at") / RADIUS)).agg(F.min(F.struct("at", "place")).alias("m"))
-        hits = found.select("doc_id", "item_id", "m.at", "m.place").join(plain, "doc_id").select("doc_id", "item_id", "at", "place", window)
+        found = _seeds(plain, ["doc_id"]).select("doc_id", "at", "seed").join(known, "seed").select("doc_id", "item_id", "at", "place").distinct()
+        hits = found.join(plain, "doc_id").select("doc_id", "item_id", "at", "place", window)
     named = tests.select(F.col("item_id").alias("of"), F.col("t").alias("item"))
     hits = hits.join(small_side(named, rows, broadcast_rows), F.col("item_id").eqNullSafe(F.col("of")))
     floor = F.least(F.lit(least), F.ceil(F.size("item") * share))

@@ -15,7 +15,7 @@ Weights and templates are a small table of fixed size, and are broadcast.
 
 Defined cases: null and empty texts have one empty line and no licence; a document
 that repeats a line counts it each time; an identifier that repeats gets a row for
-each of its rows. An empty table gives an empty result.
+each of its rows, each with what was found in all of them. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -278,7 +278,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return plain.mapInArrow(_probe_all(held, size["bits"], min_chars), OUT)
     probes = plain.mapInArrow(_route(size["bits"], min_chars), "shard long, salt long, doc long, a long, b long").withColumn("data", F.lit(None).cast("binary"))
     none = F.lit(None).cast("long")
-    shards = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"), "data", none.alias("doc"), none.alias("a"), none.alias("b"))
+    shards = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "data", none.alias("doc"), none.alias("a"), none.alias("b"))
     met = shards.unionByName(probes).select("shard", "salt", "data", "doc", "a", "b").repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())
     hits = met.mapInArrow(_probe_shard, "doc long, a long, b long").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
     joined = plain.join(hits, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc"), "left").select("doc_id", "text", "hits")

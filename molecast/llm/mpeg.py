@@ -5,7 +5,7 @@ is the byte of the frames' main data), behind an ID3v2 tag and an information
 frame with frame count, byte count and seek table. ``read_stream`` parses any
 stream of MPEG audio frames: it skips ID3v2 and ID3v1 tags, resynchronises on frame
 headers (a candidate counts only if another header or the end follows where it
-says), reads the variable-bitrate table, verifies the CRC of protected frames, and
+says, or if it is where a frame of its kind said), reads the variable-bitrate table, verifies the CRC of protected frames, and
 gives the exact duration (samples over rate), the offset of each frame, and the
 main data.
 
@@ -176,7 +176,7 @@ def _table(data: bytes, at: int, head: Header, out: Stream) -> bool:
 
 def read_stream(data: bytes) -> Stream:
     """Parse a stream of MPEG audio."""
-    out, at, end, first = Stream(), 0, len(data), True
+    out, at, end, first, sync = Stream(), 0, len(data), True, None
     if data[-128:-125] == b"TAG":
         end -= 128
         out.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
@@ -187,7 +187,8 @@ def read_stream(data: bytes) -> Stream:
             continue
         head = parse_header(data[at : at + 4])
         stop = at + head.length if head else end + 1
-        if head is None or stop > end or stop < end and parse_header(data[stop : stop + 4]) is None and not _tag_size(data, stop):
+        known = head and stop <= end and (stop == end or parse_header(data[stop : stop + 4]) or _tag_size(data, stop) or sync == (at, head.mpeg1, head.layer, head.rate))
+        if not known:
             after = data.find(b"\xff", at + 1, end)
             tag = data.find(b"ID3", at + 1, end)
             to = min((x for x in (after, tag) if x >= 0), default=end)
@@ -202,7 +203,7 @@ def read_stream(data: bytes) -> Stream:
             out.samples += head.samples
             out.rate, out.kbits = head.rate, max(out.kbits, head.kbits)
             out.parts.append(data[at + 4 + 2 * head.protected + head.side : stop])
-        first, at = False, stop
+        first, at, sync = False, stop, (stop, head.mpeg1, head.layer, head.rate)
     return out
 
 

@@ -90,7 +90,7 @@ def _find_cuts(rows: DataFrame, nodes: dict[int, Node], tolerance: float, whole:
         shift = shift - DIGIT if shift else KEY_BITS - DIGIT
 
 
-def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: list[Column] | None = None, tolerance: float = 0.001, whole: float = 0.01) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: list[Column] | None = None, tolerance: float = 0.001, whole: float = 0.02) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot; give the number of shards, or the bytes that a shard should hold."""
     spark, parts = docs.sparkSession, dims or text_dims(text_col)
     named = [p.cast("double").alias(f"d{i}") for i, p in enumerate(parts)]
