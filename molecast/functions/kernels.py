@@ -13,6 +13,12 @@ from pyspark.sql.types import StructType
 CHUNK = 512
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores. Rows of costly kernels are small, so that splits by bytes would leave most cores idle; what is moved costs less than a kernel's step."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def map_rows(df: DataFrame, kernel: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
     """Apply a kernel from a row (a dict) to rows, batch by batch; nothing is shuffled and at most a chunk is held."""
     kind = StructType.fromDDL(schema)

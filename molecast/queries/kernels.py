@@ -7,11 +7,14 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import coordinates as X
 from ..functions import descriptors as D
 from ..functions import molecule as M
 from ..functions import pdb as P
+from ..functions.chains import align_chains
 from ..functions.elements import periodic_table
-from ..functions.kernels import map_rows
+from ..functions.kernels import map_rows, spread
+from ..functions.optimize import l_bfgs
 from ..operators import geometry as G
 from ..plans.derive import CYCLE, SQL, bonds, molecules, table
 from ..sources import mmcif as C
@@ -79,7 +82,7 @@ def f12_charge_totals(spark, sf_dir):
 def drawn(spark, sf_dir):
     """vec_id, mol: the derived conformers as molecules, with coordinates 12 times as large, their bonds, and one residue."""
     own = bonds(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("bonds"))
-    rows = molecules(spark, sf_dir).join(own, "vec_id", "left")
+    rows = spread(molecules(spark, sf_dir).join(own, "vec_id", "left"))
 
     def kernel(row):
         mol = M.Molecule()
@@ -245,13 +248,13 @@ def l3_surface_area(spark, sf_dir):
         for i, area in enumerate(D.surface_area(x, r, 24)):
             yield {"vec_id": row["vec_id"], "atom_id": i, "area": round(float(area), 4)}
 
-    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, atom_id int, area double")
+    return map_rows(spread(molecules(spark, sf_dir)), kernel, "vec_id long, atom_id int, area double")
 
 
 def next_pairs(spark, sf_dir):
     """Each conformer with the next one."""
     own = molecules(spark, sf_dir)
-    return own.join(own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("atoms").alias("other")), "vec_id")
+    return spread(own.join(own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("atoms").alias("other")), "vec_id"))
 
 
 def arrays(row):
@@ -284,3 +287,97 @@ def l6_tm_score(spark, sf_dir):
         yield {"vec_id": row["vec_id"], "score": round(D.tm_score(25 * q, 25 * t)[0], 6)}
 
     return map_rows(next_pairs(spark, sf_dir), kernel, "vec_id long, score double")
+
+
+@query()
+def l6_align_chains(spark, sf_dir):
+    def kernel(row):
+        q, t = arrays(row)
+        found = align_chains(25 * q, 25 * t)
+        yield {"vec_id": row["vec_id"], "pairs": len(found.pairs), "score": round(found.score()[1], 6)}
+
+    return map_rows(next_pairs(spark, sf_dir), kernel, "vec_id long, pairs int, score double")
+
+
+@query()
+def l7_align_shapes(spark, sf_dir):
+    """Rigid alignment of each conformer to the next one by shared volume."""
+    def kernel(row):
+        q, t = arrays(row)
+        qk, tk = ([CYCLE[(i + v) % 5] for i in range(21)] for v in (row["vec_id"], row["vec_id"] + 1))
+        r = [np.array([0.8 * periodic_table()[z].vdw_radius for z in k]) for k in (qk, tk)]
+        yield {"vec_id": row["vec_id"], "score": round(X.align_shapes(12 * q, r[0], qk, 12 * t, r[1], tk, seed=row["vec_id"])[1], 4)}
+
+    return map_rows(next_pairs(spark, sf_dir), kernel, "vec_id long, score double")
+
+
+@query()
+def f8_guess_bonds(spark, sf_dir):
+    """Bonds from coordinates, with as many to an atom as its element takes."""
+    def kernel(row):
+        mol = M.from_row(row["mol"])
+        bare = M.Molecule()
+        for a in mol.atoms:
+            bare.add_atom(M.Atom(a.z))
+        bare.confs = mol.confs
+        for b in X.guess_connectivity(bare, slack=0.1).bonds:
+            yield {"vec_id": row["vec_id"], "src": b.src, "dst": b.dst}
+
+    return map_rows(drawn(spark, sf_dir), kernel, "vec_id long, src int, dst int")
+
+
+@query(f"SELECT substr(line, strpos(line, ' ') + 1) AS name, bonds, true AS found FROM (VALUES {FACTS}) t(line, atoms, bonds, hydrogens, rings, aromatic, charge) WHERE line LIKE '%acetate' OR line LIKE '%benzene' OR line LIKE '%indane' OR line LIKE '%hexane'")
+def f13_coordinates(spark, sf_dir):
+    """Coordinates made from bonds, and the bonds (without hydrogens) found again from these (F9, F10, F13)."""
+    def kernel(row):
+        mol = M.from_row(row["mol"])
+        X.generate_coords(mol)
+        bare = M.Molecule()
+        for a in mol.atoms:
+            bare.add_atom(M.Atom(a.z))
+        bare.confs = mol.confs
+        X.guess_everything(bare, slack=0.3)
+        ends = [{(min(b.src, b.dst), max(b.src, b.dst)) for b in m.bonds} for m in (mol, bare)]
+        yield {"name": mol.name, "bonds": len(mol.bonds), "found": ends[0] == ends[1]}
+
+    own = corpus(spark).filter("line LIKE '%acetate' OR line LIKE '%benzene' OR line LIKE '%indane' OR line LIKE '%hexane'")
+    return map_rows(parse_column(own, "smi", "line").select("mol"), kernel, "name string, bonds int, found boolean")
+
+
+@query(f"SELECT substr(line, strpos(line, ' ') + 1) AS name, atoms + hydrogens AS shown, hydrogens AS hidden FROM (VALUES {FACTS}) t(line, atoms, bonds, hydrogens, rings, aromatic, charge)")
+def f6_hydrogens(spark, sf_dir):
+    """Implicit hydrogens made atoms, and atoms made implicit again (F6, F7)."""
+    def kernel(row):
+        full = M.reveal_hydrogens(M.from_row(row["mol"]))
+        shown = len(full.atoms)
+        yield {"name": full.name, "shown": shown, "hidden": sum(a.impl_h for a in M.hide_hydrogens(full).atoms)}
+
+    return map_rows(parse_column(corpus(spark), "smi", "line").select("mol"), kernel, "name string, shown int, hidden int")
+
+
+@query(WITH + " SELECT vec_id, 0.0::DOUBLE AS miss FROM embeddings")
+def g6_rotate_bonds(spark, sf_dir):
+    """A conformer's chain turned by a full circle in four steps is as before."""
+    def kernel(row):
+        mol = M.Molecule()
+        for i in range(len(row["atoms"])):
+            mol.add_atom(M.Atom(6))
+        for i in range(len(row["atoms"]) - 1):
+            mol.add_bond(i, i + 1)
+        x = y = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
+        for _ in range(4):
+            y = D.rotate_bond(mol.finish(), y, 9, 10, 90)
+        yield {"vec_id": row["vec_id"], "miss": round(float(np.abs(x - y).max()), 6) + 0.0}
+
+    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, miss double")
+
+
+@query(WITH + " SELECT vec_id, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM conformers GROUP BY 1")
+def m1_minimise(spark, sf_dir):
+    """The point with the least squared distances to a conformer's atoms, by the quasi-Newton minimiser: their mean."""
+    def kernel(row):
+        at = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
+        found = l_bfgs(lambda p: (float(np.square(at - p).sum()), 2 * (len(at) * p - at.sum(0))), np.zeros(3), tolerance=1e-9)
+        yield {"vec_id": row["vec_id"], **{c: round(float(v), 4) + 0.0 for c, v in zip("xyz", found.x, strict=True)}}
+
+    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, x double, y double, z double")

@@ -105,8 +105,8 @@ def _failed(text: str) -> dict:
 def text_rows(spark: SparkSession, fmt: str, path: str, stream: bool = False) -> DataFrame:
     """value: the records of the files, as the reader splits them."""
     separator, reader = READERS[fmt][0], spark.readStream if stream else spark.read
-    reader = reader.option("wholetext", "true") if separator is None else reader.option("lineSep", separator)
-    return reader.text(path).filter(F.length(F.trim("value")) > 0)
+    lines = reader.text(path, wholetext=True) if separator is None else reader.text(path, lineSep=separator)
+    return lines.filter(F.length(F.trim("value")) > 0)
 
 
 def read_molecules(spark: SparkSession, path: str, fmt: str | None = None, clean: bool = True, mode: str = "PERMISSIVE", stream: bool = False) -> DataFrame:
