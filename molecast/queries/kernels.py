@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import cif
 from ..functions import coordinates as X
 from ..functions import descriptors as D
 from ..functions import molecule as M
@@ -14,7 +15,7 @@ from ..functions import pdb as P
 from ..functions.chains import align_chains
 from ..functions.elements import periodic_table
 from ..functions.kernels import map_rows, spread
-from ..functions.optimize import l_bfgs
+from ..functions.optimize import bfgs, l_bfgs, nelder_mead
 from ..operators import geometry as G
 from ..plans.derive import CYCLE, SQL, bonds, molecules, table
 from ..sources import mmcif as C
@@ -381,3 +382,68 @@ def m1_minimise(spark, sf_dir):
         yield {"vec_id": row["vec_id"], **{c: round(float(v), 4) + 0.0 for c, v in zip("xyz", found.x, strict=True)}}
 
     return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, x double, y double, z double")
+
+
+@query(placed_sql(3))
+def a19_mmcif_round_trip(spark, sf_dir):
+    """Conformers written as loops of atom sites and read as molecules; the text is made by built-in expressions."""
+    keys = ("group_PDB", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z")
+    symbols = F.create_map(*(F.lit(v) for z in CYCLE for v in (z, periodic_table()[z].symbol)))
+    line = F.transform("atoms", lambda a, i: F.format_string("ATOM %s A%d LIG A 1 %.3f %.3f %.3f", symbols[F.array(*map(F.lit, CYCLE))[((i + F.col("vec_id")) % 5).cast("int")]], i, 12 * a["x"], 12 * a["y"], 12 * a["z"]))
+    text = molecules(spark, sf_dir).select("vec_id", F.concat(F.lit("data_m\nloop_\n" + "".join(f"_atom_site.{k}\n" for k in keys)), F.array_join(line, "\n")).alias("value"))
+    return placed(parse_column(text, "cif", "value", "vec_id long", clean=False), 3)
+
+
+@query("SELECT 'r' || n_regionkey AS block, CAST(n_nationkey AS INT) AS key, n_name AS name FROM nation")
+def b5_write_cif(spark, sf_dir):
+    """Files parsed, written aligned, and parsed again."""
+    def kernel(row):
+        for block in cif.read_blocks(row["value"]):
+            yield {"value": cif.write(block, align=True)}
+
+    again = map_rows(nation_text(spark, sf_dir).select("value"), kernel, "value string")
+    return C.category(C.long_rows(again), "_nation", ["key", "name"]).select("block", F.col("key").cast("int").alias("key"), "name")
+
+
+@query(WITH + " SELECT vec_id, 0.0::DOUBLE AS rmsd FROM embeddings")
+def l2_rmsd(spark, sf_dir):
+    """A conformer and a rigid motion of it differ by nothing."""
+    def kernel(row):
+        x = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
+        t = row["vec_id"] / 7
+        y = x @ np.array([[math.cos(t), -math.sin(t), 0], [math.sin(t), math.cos(t), 0], [0, 0, 1]]) + [1, 2, 3]
+        yield {"vec_id": row["vec_id"], "rmsd": round(D.superpose(x, y)[1], 5) + 0.0}
+
+    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, rmsd double")
+
+
+@query(WITH + " SELECT vec_id, true AS level FROM embeddings")
+def g4_fit_plane(spark, sf_dir):
+    """The plane of a conformer goes through its middle, and its normal has length one."""
+    def kernel(row):
+        x = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
+        p = D.fit_plane(x)
+        yield {"vec_id": row["vec_id"], "level": bool(abs(p[:3] @ x.mean(0) + p[3]) < 1e-9 and abs(np.linalg.norm(p[:3]) - 1) < 1e-9)}
+
+    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, level boolean")
+
+
+def mean_by(spark, sf_dir, minimise):
+    def kernel(row):
+        at = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
+        yield {"vec_id": row["vec_id"], **{c: round(float(v), 3) + 0.0 for c, v in zip("xyz", minimise(at), strict=True)}}
+
+    return map_rows(spread(molecules(spark, sf_dir)), kernel, "vec_id long, x double, y double, z double")
+
+
+MEANS = WITH + " SELECT vec_id, round(avg(x), 3) AS x, round(avg(y), 3) AS y, round(avg(z), 3) AS z FROM conformers GROUP BY 1"
+
+
+@query(MEANS)
+def m2_minimise_bfgs(spark, sf_dir):
+    return mean_by(spark, sf_dir, lambda at: bfgs(lambda p: (float(np.square(at - p).sum()), 2 * (len(at) * p - at.sum(0))), np.zeros(3), tolerance=1e-9).x)
+
+
+@query(MEANS)
+def m3_minimise_simplex(spark, sf_dir):
+    return mean_by(spark, sf_dir, lambda at: nelder_mead(lambda p: float(np.square(at - p).sum()), np.full(3, 0.01), spread=5.0, tolerance=1e-14).x)

@@ -365,3 +365,82 @@ def l3_open_probes(spark, sf_dir):
     dim = elements(spark).select(F.col("z").alias("num"), (F.col("vdw_radius") + 1.4).alias("r"))
     s = with_element(conformers(spark, sf_dir)).join(F.broadcast(dim), F.col("elem") == F.col("num")).select("vec_id", "atom_id", "r", *((12 * F.col(c)).alias(c) for c in "xyz"))
     return G.surface_area(s, 24, "vec_id", "atom_id").select("vec_id", "atom_id", F.col("open").alias("free"))
+
+
+# More of the inventory: joins within parsers, groupings, sets, merges
+
+
+@query(WITH + " SELECT a.vec_id, a.src AS s, b.dst AS d FROM bonds a JOIN bonds b ON b.vec_id = a.vec_id AND b.src = a.dst")
+def i1_two_sided_join(spark, sf_dir):
+    """Links whose both ends are looked up by a composite key."""
+    own = bonds(spark, sf_dir)
+    return own.alias("a").join(own.alias("b"), (F.col("a.vec_id") == F.col("b.vec_id")) & (F.col("b.src") == F.col("a.dst"))).select(F.col("a.vec_id").alias("vec_id"), F.col("a.src").alias("s"), F.col("b.dst").alias("d"))
+
+
+@query(WITH + " SELECT c.vec_id, c.atom_id, b.n FROM conformers c LEFT JOIN (SELECT vec_id, src AS atom_id, count(*) AS n FROM bonds GROUP BY 1, 2) b USING (vec_id, atom_id)")
+def i3_optional_join(spark, sf_dir):
+    """Atoms with what a later record says of them, if any does."""
+    said = bonds(spark, sf_dir).groupBy("vec_id", F.col("src").alias("atom_id")).agg(F.count("*").alias("n"))
+    return conformers(spark, sf_dir).select("vec_id", "atom_id").join(said, ["vec_id", "atom_id"], "left")
+
+
+@query(WITH + " SELECT vec_id, atom_id FROM conformers c WHERE EXISTS (SELECT 1 FROM bonds b WHERE b.vec_id = c.vec_id AND b.src = c.atom_id)")
+def i4_listed_only(spark, sf_dir):
+    """Only those that a list names stay."""
+    named = bonds(spark, sf_dir).select("vec_id", F.col("src").alias("atom_id"))
+    return conformers(spark, sf_dir).select("vec_id", "atom_id").join(named, ["vec_id", "atom_id"], "left_semi")
+
+
+@query(f"WITH {ELEMENTS} SELECT n_nationkey, n_name, e.num AS z FROM nation LEFT JOIN el e ON upper(e.symbol) = upper(substr(n_name, 1, 2))")
+def i6_symbol_lookup(spark, sf_dir):
+    """Elements by symbol, without case."""
+    dim = elements(spark).select(F.upper("symbol").alias("key"), "z")
+    return table(spark, sf_dir, "nation").join(F.broadcast(dim), F.upper(F.substring("n_name", 1, 2)) == F.col("key"), "left").select("n_nationkey", "n_name", "z")
+
+
+@query(f"WITH {ELEMENTS} SELECT num AS z, symbol FROM el WHERE num >= (SELECT num FROM el WHERE symbol = 'C') AND num < (SELECT num FROM el WHERE symbol = 'Fe')")
+def d4_element_range(spark, sf_dir):
+    """Elements from carbon up to iron."""
+    return elements(spark).filter("z >= 6 AND z < 26").select("z", "symbol")
+
+
+@query("""SELECT user_id, array_to_string(list(event_type ORDER BY event_id), '>')[1:40] AS types, min(event_id) AS first_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1""")
+def j2_first_seen_groups(spark, sf_dir):
+    """Groups with their members in order of appearance."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("m"), F.min("event_id").alias("first_id"), F.countDistinct("event_type").alias("kinds"))
+    return rows.select("user_id", F.substring(F.array_join(F.transform("m", lambda x: x["event_type"]), ">"), 1, 40).alias("types"), "first_id", "kinds")
+
+
+@query(WITH + " SELECT vec_id, array_to_string(list_sort(list(DISTINCT elem)), ',') AS kinds FROM atoms GROUP BY 1")
+def j4_distinct_kinds(spark, sf_dir):
+    return with_element(conformers(spark, sf_dir)).groupBy("vec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("elem")), lambda x: x.cast("string")), ",").alias("kinds"))
+
+
+@query(WITH + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2 DESC, src, dst) AS place, count(*) OVER (PARTITION BY vec_id) AS n FROM pairs) SELECT vec_id, src, dst FROM r WHERE place > ceil(0.1 * n)")
+def k3_drop_the_worst(spark, sf_dir):
+    """All pairs but the tenth that is farthest apart."""
+    w = Window.partitionBy("vec_id")
+    own = pairs(spark, sf_dir).withColumn("place", F.row_number().over(w.orderBy(F.desc("d2"), "src", "dst"))).withColumn("n", F.count("*").over(w))
+    return own.filter(F.col("place") > F.ceil(F.lit(0.1) * F.col("n"))).select("vec_id", "src", "dst")
+
+
+@query(WITH + " SELECT vec_id, atom_id, round(x, 6) AS x FROM conformers UNION ALL SELECT vec_id - 1, atom_id + 21, round(x, 6) FROM conformers WHERE vec_id > 0")
+def k6_merge_molecules(spark, sf_dir):
+    """Each molecule with the next one's atoms after its own."""
+    own = molecules(spark, sf_dir)
+    after = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("atoms").alias("more")).filter("vec_id >= 0")
+    met = own.join(after, "vec_id", "left").select("vec_id", F.concat("atoms", F.coalesce("more", F.slice("atoms", 1, 0))).alias("atoms"))
+    return met.select("vec_id", F.posexplode("atoms").alias("atom_id", "a")).select("vec_id", "atom_id", r6("a.x").alias("x"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'no' ELSE 'yes' END AS flag, lpad(CAST(s_nationkey AS VARCHAR), 4, '0') AS code, printf('%.2f', s_acctbal) AS amount FROM supplier""")
+def b7_format_scalars(spark, sf_dir):
+    """Flags, zero-padded whole numbers and fixed decimals as dictionary files spell them."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") < 0, "no").otherwise("yes").alias("flag"), F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("code"), F.format_string("%.2f", "s_acctbal").alias("amount"))
+
+
+@query("SELECT key, count(*) AS n FROM (SELECT '_' || replace(p_brand, '#', '.') AS key FROM part) GROUP BY 1 HAVING count(*) > 1")
+def b8_duplicate_keys(spark, sf_dir):
+    """Keys that come more than once."""
+    keys = table(spark, sf_dir, "part").select(F.concat(F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit("."))).alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
