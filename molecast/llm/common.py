@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
+__all__ = ["NULL_ID", "SPACE", "SPACE_CLASS", "cut", "literal_table", "runs", "small_side", "table"]
+
 #: ASCII white space of the text contracts, as bytes and as a regular-expression class.
 SPACE = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -18,23 +20,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 NULL_ID = -(1 << 63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="molecast-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back. A lost executor then costs no upstream work."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/molecast/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Mark df for broadcast only if its counted rows are within the limit; beyond it the planner's shuffle join is used."""
     return F.broadcast(df) if rows <= limit else df

@@ -45,8 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.components import components
 from .common import cut, runs, small_side, table
-from .graph import components
 
 U = np.uint64
 #: The count sketch has 2^SKETCH counters, sent in chunks of 2^CHUNK. Points have 2^GROUPS coordinates. A node of the tree has LEAF points.
@@ -332,7 +332,7 @@ def _with_blocks(parts: DataFrame, percent: int) -> DataFrame:
     return met.select("key", "block", F.when(F.col("others").isNull(), F.array("part")).otherwise(F.expr("transform(others, o -> xxhash64(least(block, o), greatest(block, o)))")).alias("tiles"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 250_000) -> DataFrame:
     """doc_id, n_shingles, component_id: two texts link when 100 * overlap >= percent * union of their sets; a component is what links reach."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
