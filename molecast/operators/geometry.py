@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spatial import AROUND, cells
+
 #: 2 pi / phi^2
 TURN = 2 * math.pi * 0.38196601125010515
 
@@ -86,25 +88,27 @@ def lens_volume(ra: Column, rb: Column, d: Column) -> Column:
     return F.when(gap <= 0, 0.0).when(d <= F.abs(ra - rb), small * small * small * (4 * math.pi / 3)).otherwise(F.lit(math.pi / 12) * gap * gap * (d + 2 * (ra + rb) - 3 / d * (ra - rb) * (ra - rb)))
 
 
-def surface_area(spheres: DataFrame, lattice: int, key: str = "mol", ident: str = "id") -> DataFrame:
+def surface_area(spheres: DataFrame, lattice: int, key: str = "mol", ident: str = "id", largest: float | None = None) -> DataFrame:
     """key, ident, open, area of spheres (key, ident, x, y, z, r): the probes of each sphere's lattice that no other sphere of the key holds.
 
-    Spheres that overlap are paired first, by key; each pair tests the probes of one of them in an array, so
-    that probes aren't joined with anything.
+    Spheres that can touch meet by key and cube, as in a range join, so that a large
+    molecule isn't paired with all of itself; each sphere then tests its own probes
+    against the list of its neighbours. ``largest`` is the largest radius, if known.
     """
-    spark = spheres.sparkSession
-    lat = fibonacci_lattice(spark, lattice).orderBy("i").collect()  # as many as the parameter says
-    probes = F.array(*(F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y"), F.lit(p.z).alias("z")) for p in lat))
-    a, b = spheres.alias("a"), spheres.alias("b")
-    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{ident}") != F.col(f"b.{ident}")), "left")
+    lattice_points = [(i, math.sqrt(1 - z * z) * math.cos(i * TURN), math.sqrt(1 - z * z) * math.sin(i * TURN), z) for i in range(lattice) for z in ((1 - 1 / lattice) - i * (2 / lattice),)]
+    probes = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for _, x, y, z in lattice_points))
+    reach = 2 * (largest if largest is not None else spheres.agg(F.max("r")).first()[0] or 1.0)
+    own = spheres.select(key, ident, "x", "y", "z", "r")
+    a, b = cells(own, reach, AROUND).alias("a"), cells(own, reach).alias("b")
     d = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"]
-    reach = F.col("a.r") + F.col("b.r")
-    near = F.when(dot(d, d) <= reach * reach, F.struct(*(F.col(f"b.{c}").alias(c) for c in ("x", "y", "z", "r"))))
-    lists = met.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{ident}").alias(ident)).agg(*(F.first(f"a.{c}").alias(c) for c in ("x", "y", "z", "r")), F.collect_list(near).alias("near"))
+    close = F.col("a.r") + F.col("b.r")
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "c0", "c1", "c2")]).filter((F.col(f"a.{ident}") != F.col(f"b.{ident}")) & (dot(d, d) <= close * close))
+    near = met.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{ident}").alias(ident)).agg(F.collect_list(F.struct(*(F.col(f"b.{c}").alias(c) for c in ("x", "y", "z", "r")))).alias("near"))
 
     def blocked(p: Column) -> Column:
         at = {c: F.col(c) + F.col("r") * p[c] for c in "xyz"}
         return F.exists("near", lambda s: sum(((at[c] - s[c]) * (at[c] - s[c]) for c in "yz"), (at["x"] - s["x"]) * (at["x"] - s["x"])) <= s["r"] * s["r"])
 
-    out = lists.withColumn("open", F.size(F.filter(probes, lambda p: ~blocked(p))))
+    free = F.when(F.col("near").isNull(), lattice).otherwise(F.size(F.filter(probes, lambda p: ~blocked(p))))
+    out = own.join(near, [key, ident], "left").withColumn("open", free)
     return out.select(key, ident, "open", (F.col("r") * F.col("r") * F.lit(4 * math.pi) * F.col("open") / lattice).alias("area"))

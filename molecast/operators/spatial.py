@@ -21,12 +21,13 @@ AROUND = tuple(product((-1, 0, 1), repeat=3))
 AHEAD = tuple(o for o in AROUND if o > (0, 0, 0))
 
 
-def _cells(df: DataFrame, cutoff: float, offsets=None) -> DataFrame:
-    cells = [F.floor(F.col(c) / F.lit(cutoff)) for c in ("x", "y", "z")]
+def cells(df: DataFrame, cutoff: float, offsets=None) -> DataFrame:
+    """Adds c0, c1, c2, the cube of each point; with offsets, a copy for each cube that far from it."""
+    own = [F.floor(F.col(c) / F.lit(cutoff)) for c in ("x", "y", "z")]
     if offsets is None:
-        return df.select("*", *(c.alias(f"c{i}") for i, c in enumerate(cells)))
+        return df.select("*", *(c.alias(f"c{i}") for i, c in enumerate(own)))
     steps = F.array(*(F.struct(*(F.lit(v).alias(f"o{i}") for i, v in enumerate(o))) for o in offsets))
-    return df.select("*", F.explode(steps).alias("o")).select(*df.columns, *((c + F.col(f"o.o{i}")).alias(f"c{i}") for i, c in enumerate(cells)))
+    return df.select("*", F.explode(steps).alias("o")).select(*df.columns, *((c + F.col(f"o.o{i}")).alias(f"c{i}") for i, c in enumerate(own)))
 
 
 def _named(df: DataFrame, ident: str, mark: str) -> DataFrame:
@@ -43,7 +44,7 @@ def distance_join(query: DataFrame, points: DataFrame, cutoff: float, query_id:
     if cutoff <= 0:
         raise ValueError("the cutoff must be positive")
     q, p = _named(query, query_id, "q"), _named(points, point_id, "p")
-    q, p = _cells(q, cutoff, AROUND if copy == "query" else None).alias("q"), _cells(p, cutoff, AROUND if copy != "query" else None).alias("p")
+    q, p = cells(q, cutoff, AROUND if copy == "query" else None).alias("q"), cells(p, cutoff, AROUND if copy != "query" else None).alias("p")
     met = q.join(p, [F.col(f"q.c{i}") == F.col(f"p.c{i}") for i in range(3)])
     return met.select(F.col("qid").alias("q"), F.col("pid").alias("p"), _distance("q", "p").alias("d2")).filter(F.col("d2") <= cutoff * cutoff)
 
@@ -53,8 +54,8 @@ def self_join(points: DataFrame, cutoff: float, point_id: str = "id") -> DataFra
     if cutoff <= 0:
         raise ValueError("the cutoff must be positive")
     base = _named(points, point_id, "p")
-    a = _cells(base.withColumn("own", F.lit(True)), cutoff, ((0, 0, 0),)).unionByName(_cells(base.withColumn("own", F.lit(False)), cutoff, AHEAD)).alias("a")
-    b = _cells(base, cutoff).alias("b")
+    a = cells(base.withColumn("own", F.lit(True)), cutoff, ((0, 0, 0),)).unionByName(cells(base.withColumn("own", F.lit(False)), cutoff, AHEAD)).alias("a")
+    b = cells(base, cutoff).alias("b")
     met = a.join(b, [F.col(f"a.c{i}") == F.col(f"b.c{i}") for i in range(3)]).filter(~F.col("a.own") | (F.col("a.pid") < F.col("b.pid")))
     return met.select(F.least("a.pid", "b.pid").alias("a"), F.greatest("a.pid", "b.pid").alias("b"), _distance("a", "b").alias("d2")).filter(F.col("d2") <= cutoff * cutoff)
 

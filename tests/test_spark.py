@@ -191,3 +191,24 @@ def test_dictionary_files(spark, tmp_path):
 def test_written_lines_are_read_back():
     for x in LINES:
         assert write_smiles(read_smiles(write_smiles(read_smiles(x)))) == write_smiles(read_smiles(x))
+
+
+def test_sql_functions(spark):
+    from molecast.functions.sql import register
+
+    register(spark)
+    r = spark.sql("SELECT smiles_summary('c1ccccc1O phenol') AS s, smiles_rewrite('OCC') AS w, smiles_rewrite('C(') AS bad, smiles_charges('CC') AS q, sphere_areas(array(0D, 0D, 0D), array(1D)) AS a").first()
+    assert (r.s.name, r.s.heavy_atoms, r.s.rings, r.s.hydrogens, r.s.error) == ("phenol", 7, 1, 6, None) and r.s.weight == pytest.approx(94.11, abs=0.01)
+    assert r.w == "OCC" and r.bad is None and len(r.q) == 2 and r.a[0] == pytest.approx(4 * np.pi * 2.4**2)
+    assert spark.sql("SELECT count(*) FROM smiles_rings('C12C3C4C1C5C2C3C45', true)").first()[0] == 24
+    rows = spark.sql("SELECT t.key, t.value FROM VALUES ('data_a\n_x.y 1') v(text), LATERAL cif_rows(v.text) t").collect()
+    assert [tuple(r) for r in rows] == [("_x.y", "1")]
+
+
+def test_stream_to_files(spark, tmp_path):
+    from molecast.streaming.molecules import stream_molecules, write_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.smi").write_text("CCO ethanol\nc1ccccc1 benzene\n")
+    write_stream(stream_molecules(spark, str(tmp_path / "in"), "smi"), str(tmp_path / "out"), str(tmp_path / "log"), "sdf").awaitTermination()
+    assert sorted(r.mol.name for r in read_molecules(spark, str(tmp_path / "out"), "sdf").collect()) == ["benzene", "ethanol"]
