@@ -212,3 +212,11 @@ def test_stream_to_files(spark, tmp_path):
     (tmp_path / "in" / "a.smi").write_text("CCO ethanol\nc1ccccc1 benzene\n")
     write_stream(stream_molecules(spark, str(tmp_path / "in"), "smi"), str(tmp_path / "out"), str(tmp_path / "log"), "sdf").awaitTermination()
     assert sorted(r.mol.name for r in read_molecules(spark, str(tmp_path / "out"), "sdf").collect()) == ["benzene", "ethanol"]
+
+
+def test_cut_and_purge(spark):
+    from molecast.plans.lineage import cut, purge
+
+    df = cut(spark.range(5), "five")
+    assert df.count() == 5 and "Range" not in df._jdf.queryExecution().executedPlan().toString()
+    assert purge(spark) and not purge(spark)
