@@ -17,7 +17,7 @@ result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ def words_of(text: str | None) -> set[str]:
 
 
 def features(words: set[str]) -> np.ndarray:
-    return np.unique(np.array([f for w in words for f in word_features(w)], np.int64))
+    return np.unique(np.fromiter((f for w in words for f in word_features(w)), np.int32))
 
 
 def counterfactuals(words: set[str]) -> list[set[str]]:
@@ -58,11 +58,13 @@ def counterfactuals(words: set[str]) -> list[set[str]]:
     return [words - {term} | {other} for term in sorted(words & GROUP.keys()) for other in GROUP[term] if other not in words]
 
 
-def fit(rows: list[tuple[str | None, int]], epochs: int = 4, fairness: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(rows: Iterable[tuple[str | None, int]], epochs: int = 4, fairness: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias from (text, label) rows."""
     model, rng = Ftrl(1 << BITS, 1, alpha=0.5, l1=3.0, l2=0.1), np.random.default_rng(seed)
-    seen = [(words_of(t), y) for t, y in rows]
-    data = [(features(w), float(y), [features(c) for c in counterfactuals(w)]) for w, y in seen]
+    data = []
+    for text, y in rows:  # only the features are kept: texts and words of a sample would fill the driver
+        words = words_of(text)
+        data.append((features(words), float(y), [features(c) for c in counterfactuals(words)]))
     if len({y for _, y, _ in data}) < 2:
         return np.zeros(1 << BITS), -np.inf
     for _ in range(epochs):
@@ -102,7 +104,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weight[f] for f in sorted(hit)), -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2000) -> Scorer:
     """Fit on the labelled documents: about ``sample`` of each label, chosen by a hash of the identifier."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__y IN (0, 1) AND __id IS NOT NULL")
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
@@ -112,8 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         bound = bound | ((F.col("__y") == y) & (share < min(1.0, sample / n)))
     picked = known.filter(bound)
     met = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(small_side(picked, picked.count(), 100_000), F.col("__doc") == F.col("__id"))
-    rows = sorted((str(r["__doc"]), r["__text"] or "", r["__y"]) for r in met.select("__doc", "__text", "__y").collect())
-    return Scorer(*fit([(t, y) for _, t, y in rows]))
+    # In the order of a hash, so that the fit doesn't depend on the partitions; one partition of the bounded sample is held at a time.
+    rows = met.select("__text", "__y").orderBy(F.xxhash64("__doc"), "__doc", F.xxhash64("__text"), "__y")
+    return Scorer(*fit((r["__text"], r["__y"]) for r in rows.toLocalIterator()))
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
