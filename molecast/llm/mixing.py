@@ -174,8 +174,10 @@ def copies(rate: Column, ident: Column) -> Column:
 
 
 def _repeated(rated: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    counted = rated.select(*columns, copies(F.col("__rate"), F.col(id_col)).alias("__copies")).filter("__copies > 0")
-    return counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    # Outer, and filtered by what it makes: a filter on the count would be moved below, and find the features and the rate again for each use.
+    counted = rated.select(*columns, copies(F.col("__rate"), F.col(id_col)).alias("__copies"))
+    each = counted.select(*columns, F.explode_outer(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies")))).alias("__copy"))
+    return each.filter("__copy IS NOT NULL").drop("__copy")
 
 
 #: Domains of the labels table and their target shares of all tokens.
