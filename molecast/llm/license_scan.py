@@ -133,7 +133,7 @@ def corpus_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share = F.pmod(F.xxhash64("line", F.lit(13)), F.lit(1 << 30))
     n = lines.count()
     named = r"(?i)licen[cs]e|copyright|creative commons|public domain|redistribut|spdx"
-    return sorted(r[0] for r in lines.filter(share < int((1 << 30) * min(1.0, sample / max(n, 1)))).filter(~F.col("line").rlike(named)).select(F.substring("line", 1, 2000)).collect())
+    return sorted(r[0] for r in lines.filter(share < int((1 << 30) * min(1.0, sample / max(n, 1)))).filter(~F.col("line").rlike(named)).select("line").collect())
 
 
 def licensed_lines(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
