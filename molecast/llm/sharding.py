@@ -69,15 +69,19 @@ def _find_cuts(rows: DataFrame, nodes: dict[int, Node], tolerance: float, whole:
         met = rows.join(F.broadcast(find), "node").filter(~F.col("second") | (F.col("k1") == F.col("at1")))
         bins = met.withColumn("bin", F.shiftright(key - F.col("low"), shift)).filter((F.col("bin") >= 0) & (F.col("bin") < 1 << DIGIT)).groupBy("node", "bin").agg(F.sum("weight").alias("w")).collect()
         for i, n in list(open_.items()):
-            sums, below = sorted((r["bin"], float(r["w"])) for r in bins if r["node"] == i), n.below
-            for b, w in sums:  # the bin in which the goal falls
-                if below + w >= n.goal or (b, w) == sums[-1]:
-                    break
-                below += w
-            low, last = n.low + (b << shift), shift == 0
-            leaf = n.weight / n.shards
+            sums = sorted((r["bin"], float(r["w"])) for r in bins if r["node"] == i)
+            if not sums:  # a node without rows
+                n.at1, n.at2 = 0, -1
+                del open_[i]
+                continue
+            at, below = 0, n.below
+            while at + 1 < len(sums) and below + sums[at][1] < n.goal:  # to the bin in which the goal falls
+                below += sums[at][1]
+                at += 1
+            digit, w = sums[at]
+            low, last = n.low + (digit << shift), shift == 0
             n.low, n.below = low, below
-            if w <= tolerance * n.weight or last and (n.key == "k2" or w <= whole * leaf):
+            if w <= tolerance * n.weight or last and (n.key == "k2" or w <= whole * n.weight / n.shards):
                 up = n.goal - below > below + w - n.goal
                 edge, n.left = (low + (1 << shift), below + w) if up else (low, below)
                 if n.key == "k1":
@@ -104,10 +108,11 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     base = {c: (span[f"min_{c}"] or 0.0, max((span[f"max_{c}"] or 0.0) - (span[f"min_{c}"] or 0.0), 1e-300)) for c in names}
     scaled = F.array(*(F.coalesce(((F.col(c) - F.lit(base[c][0])) / F.lit(base[c][1]) * (2**DIM_BITS - 1)).cast("long"), F.lit(0)) for c in names))
     now = rows.select("doc_id", "size", "text_crc32", "text_hash", "k2", "weight", scaled.alias("at"), F.lit(0).alias("node"))
-    nodes, leaves, level = {0: Node(float(total), shards, 0)}, {}, 0
-    while nodes := {i: n for i, n in nodes.items() if not (n.shards == 1 and leaves.update({i: n.first}) is None)}:
-        if not total:
-            leaves = {0: 0}
+    nodes, leaves, level = {0: Node(float(total), shards if total else 1, 0)}, {}, 0
+    while True:
+        leaves |= {i: n.first for i, n in nodes.items() if n.shards == 1}
+        nodes = {i: n for i, n in nodes.items() if n.shards > 1}
+        if not nodes:
             break
         ranges = now.groupBy("node").agg(*(f(F.col("at")[i]).alias(f"{f.__name__}{i}") for i in range(len(names)) for f in (F.min, F.max))).collect()
         for r in ranges:

@@ -43,6 +43,13 @@ def test_defined_cases(spark):
     assert [(r.shard, r.slot) for r in one] == [(0, 0)]
 
 
+def test_fewer_rows_than_shards(spark):
+    for n in (1, 2, 3, 5):
+        got = kd_shards(docs(spark, [(i, "word " * (i + 1)) for i in range(n)]), shards=16).collect()
+        assert sorted(r.doc_id for r in got) == list(range(n)) and all(0 <= r.shard < 16 for r in got)
+        assert len({(r.shard, r.slot) for r in got}) == n
+
+
 def test_slots_over_many_buckets(spark):
     placed = spark.range(1000).selectExpr("id AS doc_id", "id AS size", "id AS text_crc32", "CAST(id % 2 AS INT) AS shard")
     got = with_slots(placed, bucket_rows=50).collect()
