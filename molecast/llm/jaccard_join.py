@@ -61,7 +61,7 @@ class Words(dict):
     """Hash of each word, kept for the next time; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -157,7 +157,7 @@ def _prefixes(classes, n: int, percent: int):
                         seen.add(key)
                         heads.append(prefix(hashes, order, percent))
                         keys.append(key), sizes.append(len(hashes))
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 each = [len(h) for h in heads[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["sig", "key", "n"])

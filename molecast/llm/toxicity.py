@@ -94,7 +94,7 @@ class Scorer:
         hit: set[int] = set()
         for word in words_of(text):
             if (got := self.known.get(word)) is None:
-                if len(self.known) > 500_000:
+                if len(self.known) > 150_000:
                     self.known.clear()
                 got = self.known[word] = tuple(f for f in word_features(word) if f in self.weight)
             if got:
@@ -128,6 +128,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
         scorer.start()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+        scorer.start()  # the worker keeps the scorer for its next tasks, but not the words
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -141,6 +142,7 @@ def keep_civil(docs: DataFrame, scorer: Scorer, text_col: str = "text", cutoff:
         scorer.start()
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t) < cutoff for t in batch.column(at).to_pylist()], pa.bool_()))
+        scorer.start()
 
     return docs.mapInArrow(run, docs.schema)
 
