@@ -7,6 +7,12 @@ of corpus lines and of lines that mix template words. Its temperature is calibra
 on held-out lines, and a prediction is confirmed by comparison with the family's
 templates: the share of the paragraph's n-grams that a template of it has.
 
+A notice may share its line with other text. So each template is also laid on the
+line at each of its cues; such a span of the template's length is a notice if it has
+the same share of the template's n-grams and is predicted as the template's
+family. Of spans that overlap, the one with the most n-grams found stays. A line can
+name several families, once each; the whole line comes before its spans.
+
 The scan is DataFrame expressions only. A line can be predicted as a family only
 if its n-grams lift that family over the unknown class; of each n-gram that could,
 the rarest word is a cue, and lines without a cue are left out before n-grams are
@@ -20,12 +26,13 @@ each of its rows, each with what was found in all of them. An empty table gives
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from itertools import pairwise
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import literal_table, table
@@ -102,6 +109,9 @@ class LicenseModel:
         #: (n-gram, weight of each class, families whose templates have it)
         self.table = [(g, weights[i].tolist(), own[g]) for g, i in place.items()]
         self.cues = self._cues(weights, list(own), negatives)
+        cues = set(self.cues)
+        #: (cue, its place in the template, template, family, length, distinct words, n-grams)
+        self.seeds = [(w, i, t, k, len(ws), list(dict.fromkeys(ws)), grams_of(ws)) for t, (ws, k) in enumerate(lines) for i, w in enumerate(ws) if w in cues]
 
     def _cues(self, weights: np.ndarray, grams: list[str], negatives: list[str]) -> list[str]:
         """Words of which a line has one, or else the unknown class scores more than any family.
@@ -136,26 +146,70 @@ def corpus_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return sorted(r[0] for r in lines.filter(share < int((1 << 30) * min(1.0, sample / max(n, 1)))).filter(~F.col("line").rlike(named)).select("line").collect())
 
 
-def licensed_lines(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
-    """__row, line_no, family, probability, match: the lines predicted and confirmed as a licence."""
-    spark, families = docs.sparkSession, model.families
-    lines = docs.select("__row", F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    worded = lines.select("__row", "line_no", F.array_remove(F.split(F.lower("line"), SPLIT), "").alias("w"))
-    cued = worded.filter(F.arrays_overlap("w", F.lit(model.cues)))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
-    grams = cued.select("__row", "line_no", F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("g"))
-    grams = grams.select("__row", "line_no", "g", F.size("g").alias("n"))  # so that no row of the explosion carries the array
-    rows = literal_table(spark, model.table, "gram string, weights array<double>, inside array<int>")
+def _grams(w: str) -> Column:
+    """grams_of as an expression."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+
+
+def _predicted(grams: DataFrame, model: LicenseModel, keys: list[str]) -> DataFrame:
+    """The keys, and the best family's number i, its probability and, by family, the n-grams that its templates have; from keys and n-grams g."""
+    k = len(model.families)
+    rows = literal_table(grams.sparkSession, model.table, "gram string, weights array<double>, inside array<int>")
     # The outer form, as the planner would test g for emptiness first, and make it twice.
-    met = grams.select("__row", "line_no", "n", F.explode_outer("g").alias("gram")).join(F.broadcast(rows), "gram")
-    k = len(families)
-    sums = met.groupBy("__row", "line_no", "n").agg(F.array(*(F.sum(F.col("weights")[i]) for i in range(k + 1))).alias("sums"), F.array(*(F.count_if(F.array_contains("inside", i)) for i in range(k))).alias("hits"))
+    met = grams.select(*keys, F.explode_outer("g").alias("gram")).join(F.broadcast(rows), "gram")
+    sums = met.groupBy(*keys).agg(F.array(*(F.sum(F.col("weights")[i]) for i in range(k + 1))).alias("sums"), F.array(*(F.count_if(F.array_contains("inside", i)) for i in range(k))).alias("hits"))
     bias = F.array(*(F.lit(float(x)) for x in model.bias))
-    logits = sums.select("__row", "line_no", "n", "hits", F.zip_with("sums", bias, lambda x, c: (x + c) / model.heat).alias("z"))
-    top = logits.select("__row", "line_no", "n", "hits", "z", F.array_max("z").alias("top"), F.array_max(F.slice("z", 1, k)).alias("best"))
-    found = top.select("__row", "line_no", (F.array_position("z", F.col("best")) - 1).cast("int").alias("i"), "n", "hits", (F.exp(F.col("best") - F.col("top")) / F.aggregate("z", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))).alias("probability"))
-    named = F.array(*map(F.lit, families))[F.col("i")]
-    return found.select("__row", "line_no", named.alias("family"), "probability", (F.get("hits", F.col("i")) / F.col("n")).alias("match")).filter((F.col("probability") >= least) & (F.col("match") >= confirm))
+    logits = sums.select(*keys, "hits", F.zip_with("sums", bias, lambda x, c: (x + c) / model.heat).alias("z"))
+    top = logits.select(*keys, "hits", "z", F.array_max("z").alias("top"), F.array_max(F.slice("z", 1, k)).alias("best"))
+    return top.select(*keys, (F.array_position("z", F.col("best")) - 1).cast("int").alias("i"), "hits", (F.exp(F.col("best") - F.col("top")) / F.aggregate("z", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))).alias("probability"))
+
+
+def _spans(cued: DataFrame, model: LicenseModel, confirm: float) -> DataFrame:
+    """The distinct spans of lines that have the share of a template's n-grams, with their own n-grams g."""
+    spark, keys = cued.sparkSession, ["uid", "__row", "line_no"]
+    # A row for each template: k its words, own its n-grams, least its words at least; n of a template's words have n - 1 of its pairs at most, but for repeated words.
+    kinds = {t: (t, k, n, has, own, max(1, math.ceil((math.ceil(confirm * len(own) - 1e-9) + 1 - (n - len(has))) / 2))) for _, _, t, k, n, has, own in model.seeds}
+    radius = max(x[2] for x in kinds.values())
+    places = {}
+    for w, i, t, *_ in model.seeds:
+        places.setdefault(w, []).append({"at": i, "template": t})
+    cues = literal_table(spark, list(places.items()), "cue string, places array<struct<at:int,template:int>>")
+    templates = literal_table(spark, list(kinds.values()), "template int, i_own int, length int, has array<string>, own array<string>, least int")
+    # The words around a cue are cut out before a row is made for each template, so that a long line isn't copied for each.
+    near = cued.select(*keys, "w", F.posexplode_outer("w").alias("pos", "cue")).join(F.broadcast(cues), "cue")
+    back = F.least(F.col("pos"), F.lit(radius))
+    near = near.select(*keys, "pos", back.alias("back"), F.slice("w", F.col("pos") - back + 1, F.lit(2 * radius)).alias("v"), "places")
+    laid = near.select(*keys, "pos", "back", "v", F.inline_outer("places")).join(F.broadcast(templates), "template")
+    start, stop = F.greatest(F.col("back") - F.col("at"), F.lit(0)), F.least(F.col("back") - F.col("at") + F.col("length"), F.size("v"))
+    first = F.col("pos") - F.col("back")
+    laid = laid.select(*keys, "template", "i_own", "has", "own", "least", (first + start).alias("start"), (first + stop).alias("stop"), F.slice("v", start + 1, stop - start).alias("s"))
+    laid = laid.filter(F.size(F.array_intersect("s", "has")) >= F.col("least"))
+    laid = laid.select(*keys, "template", "i_own", "start", "stop", F.size("own").alias("whole"), F.array_intersect(_grams("s"), "own").alias("common"), _grams("s").alias("g"))
+    laid = laid.withColumn("found", F.size("common")).filter(F.col("found") >= F.col("whole") * confirm - 1e-9)
+    return laid.select(*keys, "template", "i_own", "start", "stop", "found", "whole", "g").distinct()
+
+
+def licensed_lines(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
+    """__row, line_no, family, probability, match: the families predicted and confirmed on each line, whole or in a span of it."""
+    # Rows may share an id, so lines are told apart by a key of their row; it only serves within one pass.
+    lines = docs.select(F.monotonically_increasing_id().alias("uid"), "__row", F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    worded = lines.select("uid", "__row", "line_no", F.array_remove(F.split(F.lower("line"), SPLIT), "").alias("w"))
+    cued = worded.filter(F.arrays_overlap("w", F.lit(model.cues)))
+    named = F.array(*map(F.lit, model.families))[F.col("i")].alias("family")
+    grams = cued.select("uid", "__row", "line_no", _grams("w").alias("g"))
+    grams = grams.select("uid", "__row", "line_no", "g", F.size("g").alias("n"))  # so that no row of the explosion carries the array
+    whole = _predicted(grams, model, ["uid", "__row", "line_no", "n"]).select("__row", "line_no", named, "probability", (F.get("hits", F.col("i")) / F.col("n")).alias("match"))
+    whole = whole.filter((F.col("probability") >= least) & (F.col("match") >= confirm))
+    keys = ["uid", "__row", "line_no", "template", "i_own", "start", "stop", "found", "whole", "g"]
+    spans = _predicted(_spans(cued, model, confirm), model, keys).filter((F.col("i") == F.col("i_own")) & (F.col("probability") >= least))
+    each = spans.select("uid", "__row", "line_no", F.struct((-F.col("found")).alias("order"), (-F.col("found") / F.col("whole")).alias("second"), "start", "stop", named, "probability", (F.col("found") / F.col("whole")).alias("match")).alias("x"))
+    each = each.groupBy("uid", "__row", "line_no").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    kept = F.expr("aggregate(xs, slice(xs, 1, 0), (kept, x) -> IF(exists(kept, y -> y.start < x.stop AND x.start < y.stop), kept, array_append(kept, x)))")
+    parts = each.select("__row", "line_no", F.explode(kept).alias("x")).select("__row", "line_no", "x.family", "x.probability", "x.match")
+    both = whole.withColumn("rank", F.lit(0)).unionByName(parts.withColumn("rank", F.lit(1)))
+    first = F.min(F.struct("rank", (-F.col("match")).alias("less"), (-F.col("probability")).alias("p"), "probability", "match")).alias("x")
+    return both.groupBy("__row", "line_no", "family").agg(first).select("__row", "line_no", "family", "x.probability", "x.match")
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -163,7 +217,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: st
     model = model or LicenseModel(corpus_lines(docs, id_col, text_col))
     plain = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     found = licensed_lines(plain, model, "__row", "__text", **options)
-    each = found.groupBy(F.col("__row").alias("__hit")).agg(F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n_license_lines"), F.array_sort(F.collect_list(F.struct("line_no", "family", "probability", "match"))).alias("lines"))
+    each = found.groupBy(F.col("__row").alias("__hit")).agg(F.array_sort(F.collect_set("family")).alias("families"), F.count_distinct("line_no").alias("n_license_lines"), F.array_sort(F.collect_list(F.struct("line_no", "family", "probability", "match"))).alias("lines"))
     base = plain.select(F.col("__row").alias("doc_id"), F.size(F.split(F.coalesce("__text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     out = base.join(each, F.col("doc_id").eqNullSafe(F.col("__hit")), "left")
     return out.select("doc_id", "n_lines", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"), "lines")

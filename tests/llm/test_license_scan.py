@@ -55,3 +55,17 @@ def test_templates_are_named_and_text_is_not(spark, model):
 def test_empty_table(spark, model):
     assert scan_licenses(docs(spark, []), model).collect() == []
     assert scan_licenses(docs(spark, [(1, "x")])).first().families == []
+
+
+def test_notices_within_longer_lines(spark, model):
+    around = "the words of a page about thing 7 and the other of it"
+    rows = [(i, f"{around} {t} {around} {around}") for i, t in enumerate(t for ts in TEMPLATES.values() for t in ts)]
+    rows += [(100, "Copyright (c) 2021 Jane Doe. Released under the MIT License."), (101, f"{around} Released under the MIT License. {around} {around}. Licensed under the Apache License, Version 2.0. {around}")]
+    rows += [(102, f"{around} Licensed under CC BY-NC 4.0. {around}"), (103, " ".join(NEGATIVES)), (104, f"{around} a copy of the software and its license {around}")]
+    rows += [(None, f"{around} Released under the MIT License. {around}"), (None, around)]
+    got = {r.doc_id: (r.families, r.n_license_lines) for r in scan_licenses(docs(spark, rows), model).collect()}
+    families = [k for k, ts in TEMPLATES.items() for _ in ts]
+    wrong = [(rows[i][1], got[i]) for i, k in enumerate(families) if got[i][0] != [k]]
+    assert len(wrong) <= 2, wrong
+    assert got[100] == (["MIT"], 1) and got[101] == (["Apache-2.0", "MIT"], 1) and got[102] == (["CC-BY-NC"], 1)
+    assert got[103] == got[104] == ([], 0) and got[None] == (["MIT"], 1)
