@@ -102,20 +102,20 @@ def need(total: np.ndarray | int, percent: int):
 
 
 def _first_pass(n: int):
-    """(doc_id, n, key) of each document, and at the end this task's part of the count sketch."""
+    """(doc_id, mark, n, key) of each document, and at the end this task's part of the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, names = Words(), np.zeros(1 << SKETCH, np.uint32), ["doc_id", "n", "key", "chunk", "counts"]
+        words, counts, names = Words(), np.zeros(1 << SKETCH, np.uint32), ["doc_id", "mark", "n", "key", "chunk", "counts"]
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 sets = [shingles(t, words, n) for t in part.column(1).to_pylist()]
                 counts += np.bincount((np.concatenate(sets) >> U(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
                 none = [None] * len(sets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         for i, chunk in enumerate(counts.reshape(-1, 1 << CHUNK)):
             if chunk.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([i], pa.int32()), pa.array([chunk.tobytes()])], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array([None], pa.int64()) for _ in range(4)), pa.array([i], pa.int32()), pa.array([chunk.tobytes()])], names)
 
     return run
 
@@ -286,14 +286,19 @@ class CountTree:
 
 
 def _sets(n: int):
-    """The hashes of each candidate's text, once for each tile."""
+    """The hashes of each candidate's text, once for each tile; copies within a task say it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, seen = Words(), set()
         for batch in batches:
+            if len(seen) > 200_000:
+                seen.clear()
             for lo in range(0, batch.num_rows, 200):
                 rows = []
                 for text, key, block, tiles in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(4)), strict=True):
+                    if key in seen:
+                        continue
+                    seen.add(key)
                     data = shingles(text, words, n).tobytes()
                     rows += [(tile, key, block, len(data) // 8, data) for tile in tiles]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["tile", "key", "block", "n", "data"])
@@ -332,12 +337,16 @@ def _with_blocks(parts: DataFrame, percent: int) -> DataFrame:
     return met.select("key", "block", F.when(F.col("others").isNull(), F.array("part")).otherwise(F.expr("transform(others, o -> xxhash64(least(block, o), greatest(block, o)))")).alias("tiles"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 250_000) -> DataFrame:
-    """doc_id, n_shingles, component_id: two texts link when 100 * overlap >= percent * union of their sets; a component is what links reach."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, mark, n, key), and the sets that have copies or links with an earlier row: key, first, the row (none, doc_id, mark) that comes first in the component.
+
+    The mark is a hash of the text. With the id it names a row's text, also where ids are null or on several texts.
+    """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = cut(plain.mapInArrow(_first_pass(n), "doc_id long, n long, key long, chunk int, counts binary"), "sets")
-    sets = first.filter("chunk IS NULL").select("doc_id", "n", "key")
+    marked = plain.withColumn("mark", F.xxhash64("text"))
+    first = cut(marked.mapInArrow(_first_pass(n), "doc_id long, mark long, n long, key long, chunk int, counts binary"), "sets")
+    sets = first.filter("chunk IS NULL").select("doc_id", "mark", "n", "key")
     chunks = first.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_chunks, "chunk int, counts binary").collect()  # at most 2^20 counters
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     classes = spark.sparkContext.broadcast(rarity(chunks, total))
@@ -348,20 +357,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = shared.withColumn("place", F.row_number().over(own.orderBy("m", "sig"))).withColumn("all", F.count("*").over(own)).filter(F.col("place") <= F.col("all") - least)
     ties = few.select("sig", "key", "n").repartition("sig").sortWithinPartitions("sig", "n", "key").mapInArrow(_ties(percent), "a long, b long")
     parts = components(ties)
-    reps = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    # The text of one document of each candidate set; documents with a null id can't be named, so theirs are found by key below.
+    # Ids come before null.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    reps = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    # The text of one document of each candidate set, by id and mark.
     wanted = cut(_with_blocks(reps.join(parts, reps.key == parts.node).select("key", "n", F.col("label").alias("part")), percent).join(reps.select("key", "rep"), "key"), "candidates")
     count = wanted.count()
-    named = wanted.select(F.coalesce("rep", F.lit(-(1 << 63))).alias("rep"), "key", "block", "tiles")
-    texts = plain.join(small_side(named, count, broadcast_rows), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("rep")).select("text", "key", "block", "tiles")
+    named = wanted.select(F.col("rep.doc_id").alias("of_id"), F.col("rep.mark").alias("of_mark"), "key", "block", "tiles")
+    texts = marked.join(small_side(named, count, broadcast_rows), (F.col("mark") == F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("text", "key", "block", "tiles")
     tiles = texts.mapInArrow(_sets(n), "tile long, key long, block long, n int, data binary")
     links = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
     found = components(links)
-    # The smallest id of each component, over sets that have copies or links.
+    # The first row of each component, over sets that have copies or links.
     named_sets = reps.join(found, reps.key == found.node, "left").select("key", "rep", "copies", F.coalesce("label", "key").alias("label"))
-    least = named_sets.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_key = named_sets.join(least, "label").filter("copies > 1 OR NOT rep <=> component_id").select(F.col("key").alias("of"), "component_id")
-    return sets.join(of_key, sets.key == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = named_sets.groupBy("label").agg(F.min("rep").alias("first"))
+    return sets, named_sets.join(least, "label").filter("copies > 1 OR NOT rep <=> first").select(F.col("key").alias("of"), "first")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 250_000) -> DataFrame:
+    """doc_id, n_shingles, component_id: two texts link when 100 * overlap >= percent * union of their sets; a component is what links reach."""
+    sets, of_key = _grouped(docs, id_col, text_col, n, percent, broadcast_rows)
+    return sets.join(of_key, sets.key == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

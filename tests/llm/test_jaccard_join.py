@@ -94,3 +94,27 @@ def test_repeated_words_have_distinct_shingles():
     text = " ".join(["a"] * 9 + ["b"] * 9 + ["a", "b"] * 9)
     w = text.split()
     assert len(shingles(text, Words())) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_null_ids_and_ids_with_several_texts(spark, limit):
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        base = words(rng, 60)
+        near = [*base[:-1], "end"]
+        ids = [(None, None), (7, None), (None, 7), (7, 7), (7, 100 + k)][k % 5]
+        rows += [(ids[0], " ".join(base)), (ids[1], " ".join(near)), (None, " ".join(words(rng, 60))), (7, " ".join(words(rng, 60)))]
+    rows += [(None, " ".join(base))] * 5 + [(7, " ".join(near))] * 3
+    got = jaccard_components(docs(spark, rows), broadcast_rows=limit).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
+def test_null_ids_alone_are_linked_by_their_own_texts(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(30):
+        base = words(rng, 60)
+        rows += [(k, " ".join(base[:-3] + [f"a{k}", f"b{k}", f"c{k}"])), (None, " ".join(base)), (None, " ".join(words(rng, 60)))]
+    got = jaccard_components(docs(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
