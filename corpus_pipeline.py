@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from molecast.llm.common import cut, small_side, table
 from molecast.llm.decontaminate import decontaminate
-from molecast.llm.jaccard_join import jaccard_components
+from molecast.llm.jaccard_join import near_copy_rows
 from molecast.llm.mixing import TARGETS, quality_domains, resample
 from molecast.llm.sharding import op3_sharding
 from molecast.llm.toxicity import keep_civil, train
@@ -23,10 +23,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest identifier stays."""
-    found = cut(jaccard_components(docs), "components")
-    gone = found.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small_side(gone, gone.count(), 1_000_000), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """Of each group of near copies one row stays: that with the smallest identifier, null being the last."""
+    found = cut(near_copy_rows(docs), "near_copies")
+    # Rows with the same id and text: all are taken out, and one is put back.
+    gone = found.filter("NOT stays OR copies > 1").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark"))
+    again = found.filter("stays AND copies > 1").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark"))
+    same = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
+    left = docs.join(small_side(gone, gone.count(), 1_000_000), same, "left_anti")
+    if not (many := again.count()):
+        return left
+    row = F.min(F.struct(*(docs[c] for c in docs.columns))).alias("row")
+    one = docs.join(small_side(again, many, 1_000_000), same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(row)
+    return left.unionByName(one.select("row.*"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

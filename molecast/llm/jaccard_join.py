@@ -380,6 +380,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sets.join(of_key, sets.key == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
+def near_copy_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 250_000) -> DataFrame:
+    """doc_id, mark, copies, stays: the rows of each component of several, by id and hash of the text, and how many rows are the same in both; the first of each component stays."""
+    sets, of_key = _grouped(docs, id_col, text_col, n, percent, broadcast_rows)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    return sets.join(of_key, sets.key == F.col("of")).select("doc_id", "mark", stays.alias("stays")).groupBy("doc_id", "mark", "stays").agg(F.count("*").alias("copies")).select("doc_id", "mark", "copies", "stays")
+
+
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document with its component of near copies."""
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -36,3 +36,17 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert held[4] == held[3]
     whole = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in whole} == held[4] and {r.law for r in whole} == {"bytes"}
+
+
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(7)
+    base = [" ".join(words(rng, 80)) for _ in range(9)]
+    rows = [(1, base[0]), (None, base[0] + " tail"), (None, base[1]), (None, base[2])]  # a null id has a copy, others haven't
+    rows += [(2, base[3]), (2, base[4]), (1, base[4] + " tail")]  # one of an id's two texts has a copy
+    rows += [(3, base[5])] * 3 + [(None, base[6])] * 4 + [(None, base[7]), (None, base[7] + " tail")] + [(4, None), (4, None), (None, ""), (5, base[8])]
+    left = sorted(((r.doc_id, r.text) for r in P.near_copies(spark, docs(spark, rows), "").collect()), key=repr)
+    sevens = [x for x in left if x[1] and x[1].startswith(base[7])]
+    assert len(sevens) == 1
+    assert [x for x in left if x not in sevens] == sorted([(1, base[0]), (None, base[1]), (None, base[2]), (2, base[3]), (1, base[4] + " tail"), (3, base[5]), (None, base[6]), (4, None), (4, None), (None, ""), (5, base[8])], key=repr)
