@@ -57,34 +57,43 @@ aggregate(
 """
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 12, share: float = 0.6, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, score, first_token: the documents that hold a copy of an item.
-
-    A copy is a segment that scores at least ``least``, or for short items ``share``
-    of their tokens.
-    """
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, least: int, share: float, broadcast_rows: int) -> DataFrame:
+    """doc_id, mark, item_id, first_token, score: the copies. The mark is a hash of the text; with the id it names a row's text, also where ids are null or on several texts."""
     tests = items.select(F.col(item_id).alias("item_id"), tokens(item_text).alias("t"))
     known = _seeds(tests, ["item_id"]).filter("seed IS NOT NULL").select("seed", "item_id", F.col("at").alias("place"))
-    plain = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), tokens(text_col).alias("t"))
     window = F.slice("t", F.greatest(F.col("at") - RADIUS, F.lit(0)) + 1, F.lit(2 * RADIUS)).alias("w")
     rows = known.count()
     if rows <= broadcast_rows:
         # The window is cut in the stage that finds the hit, so that a long text isn't copied for each.
-        hits = _seeds(plain, ["doc_id"]).join(F.broadcast(known), "seed").select("doc_id", "item_id", "at", "place", window)
+        hits = _seeds(plain, ["doc_id", "mark"]).join(F.broadcast(known), "seed").select("doc_id", "mark", "item_id", "at", "place", window)
     else:
-        found = _seeds(plain, ["doc_id"]).select("doc_id", "at", "seed").join(known, "seed").select("doc_id", "item_id", "at", "place").distinct()
-        hits = found.join(plain, "doc_id").select("doc_id", "item_id", "at", "place", window)
+        found = _seeds(plain, ["doc_id", "mark"]).select("doc_id", "mark", "at", "seed").join(known, "seed").select("doc_id", "mark", "item_id", "at", "place").distinct()
+        named_texts = plain.select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "t")
+        hits = found.join(named_texts, (F.col("mark") == F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("doc_id", "mark", "item_id", "at", "place", window)
     named = tests.select(F.col("item_id").alias("of"), F.col("t").alias("item"))
     hits = hits.join(small_side(named, rows, broadcast_rows), F.col("item_id").eqNullSafe(F.col("of")))
     floor = F.least(F.lit(least), F.ceil(F.size("item") * share))
-    scored = hits.select("doc_id", "item_id", (F.col("at") - F.least("at", "place")).alias("first_token"), floor.alias("floor"), F.expr(SCORE).alias("score"))
-    return scored.filter("score >= floor").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.min("first_token").alias("first_token"))
+    scored = hits.select("doc_id", "mark", "item_id", (F.col("at") - F.least("at", "place")).alias("first_token"), floor.alias("floor"), F.expr(SCORE).alias("score"))
+    return scored.filter("score >= floor").select("doc_id", "mark", "item_id", "first_token", "score")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 12, share: float = 0.6, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, score, first_token: the documents that hold a copy of an item.
+
+    A copy is a segment that scores at least ``least``, or for short items ``share``
+    of their tokens.
+    """
+    found = _found(docs, items, id_col, text_col, item_id, item_text, least, share, broadcast_rows)
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.min("first_token").alias("first_token"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 12, share: float = 0.6, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs, all columns, whose text holds no copy of an item."""
-    bad = cut(contaminated(docs, items, id_col, **options).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(small_side(bad, bad.count(), broadcast_rows), docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    found = _found(docs, items, id_col, text_col, item_id, item_text, least, share, broadcast_rows)
+    bad = cut(found.select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct(), "contaminated")
+    same = docs[id_col].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs[text_col]) == F.col("__mark"))
+    return docs.join(small_side(bad, bad.count(), broadcast_rows), same, "left_anti")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

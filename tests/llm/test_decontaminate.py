@@ -72,3 +72,17 @@ def test_no_python_on_the_executors(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string")
     plan = contaminated(docs(spark, [(1, "x")]).filter("doc_id > 0"), items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_null_ids_and_ids_with_several_texts(spark, limit):
+    rng = random.Random(4)
+    item = words(rng, 30)
+    bad = [" ".join(words(rng, 10) + item + words(rng, 10)) for _ in range(4)]
+    clean = [" ".join(words(rng, 50)) for _ in range(4)]
+    rows = [(None, bad[0]), (None, bad[1]), (None, clean[0]), (None, clean[1]), (None, None), (7, bad[2]), (7, clean[2]), (8, bad[3]), (9, clean[3])]
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = contaminated(docs(spark, rows), tests, broadcast_rows=limit).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.score) for r in got) == [(0, 1, 30), (7, 1, 30), (8, 1, 30)]
+    stay = decontaminate(docs(spark, rows), tests, broadcast_rows=limit).collect()
+    assert sorted(((r.doc_id, r.text) for r in stay), key=repr) == sorted([(None, clean[0]), (None, clean[1]), (None, None), (7, clean[2]), (9, clean[3])], key=repr)
