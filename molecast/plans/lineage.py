@@ -9,22 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own on a local master, and an error on a cluster, whose executors couldn't see such a folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is unset, and {master} needs a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="molecast-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/molecast/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back. A lost executor then costs no upstream work."""
-    path = f"{shared_dir(df.sparkSession)}/molecast/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def purge(spark: SparkSession) -> bool:
-    """Remove what cut() has written under the shared folder, when no result that reads it is needed any more. True if there was something."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/molecast")
+    """Remove what cut() has written for this application, when no result that reads it is needed any more. True if there was something."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
