@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-__all__ = ["NULL_ID", "SPACE", "SPACE_CLASS", "cut", "literal_table", "runs", "small_side", "table"]
+__all__ = ["NULL_ID", "SPACE", "SPACE_CLASS", "cut", "literal_table", "runs", "small_side", "spread_join", "table"]
 
 #: ASCII white space of the text contracts, as bytes and as a regular-expression class.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -25,6 +25,17 @@ def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list, rows: int, limit: int, how: str = "inner", salts: int = 8) -> DataFrame:
+    """left joined with right, whose counted rows have few repeats of a key: by a broadcast within the limit, else by a shuffle in which each key of left is dealt over ``salts`` tasks, so that a hot one doesn't fill a task.
+
+    The salt is of left's partitions, which a rerun of a lost task keeps.
+    """
+    if rows <= limit:
+        return left.join(F.broadcast(right), on, how)
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__of", F.pmod(F.spark_partition_id(), F.lit(salts))).join(salted, [*on, F.col("__of") == F.col("__salt")], how).drop("__of", "__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import components
-from .common import cut, runs, small_side, table
+from .common import cut, runs, spread_join, table
 
 U = np.uint64
 #: The count sketch has 2^SKETCH counters, sent in chunks of 2^CHUNK. Points have 2^GROUPS coordinates. A node of the tree has LEAF points.
@@ -55,6 +55,8 @@ SKETCH, CHUNK, GROUPS, LEAF = 20, 16, 6, 16
 TILE_HASHES, TILE_SETS = 250_000, 512
 #: Sets under one hash are counted up to this number, which stands for more.
 MANY = 1000
+#: Sets that a task remembers while it thins out ties.
+FOREST = 500_000
 
 
 class Words(dict):
@@ -227,6 +229,8 @@ def _ties(percent: int):
                 if ra != rb:
                     parent[max(ra, rb)] = min(ra, rb)
                     out.append((a, b))
+            if len(parent) > FOREST:  # what comes later may repeat a tie, and loses none
+                parent.clear()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
@@ -322,23 +326,26 @@ def _tiles(percent: int):
     return run
 
 
-def _with_blocks(parts: DataFrame, percent: int) -> DataFrame:
-    """Adds block and tiles to (key, n, part): the block is a part's size class and a share of it, the tiles are the pairs of the block with each block that may link with it."""
+def _with_blocks(parts: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """Adds block and tiles to (key, rep, n, part): the block is a part's size class and a share of it, the tiles are the pairs of the block with each block that may link with it."""
     wide = math.log(100 / percent) * 1.04 + 1e-9
     parts = parts.withColumn("cls", F.floor(F.log("n") / wide))
-    whole = parts.groupBy("part").agg(F.sum("n").alias("hashes"), F.count("*").alias("sets")).filter((F.col("hashes") > 2 * TILE_HASHES) | (F.col("sets") > 2 * TILE_SETS)).select("part")
-    shares = parts.join(whole, "part").groupBy("part", "cls").agg(F.ceil(F.greatest(F.sum("n") / TILE_HASHES, F.count("*") / TILE_SETS)).alias("own"))
-    near = shares.select("part", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"), F.struct("cls", "own").alias("s")).groupBy("part", "cls").agg(F.collect_list("s").alias("shares"))
+    # Sums by part and class are few, so that no task gets the rows of a large part.
+    sums = cut(parts.groupBy("part", "cls").agg(F.sum("n").alias("hashes"), F.count("*").alias("sets")), "parts")
+    whole = sums.groupBy("part").agg(F.sum("hashes").alias("h"), F.sum("sets").alias("s")).filter((F.col("h") > 2 * TILE_HASHES) | (F.col("s") > 2 * TILE_SETS)).select("part")
+    shares = sums.join(whole, "part").select("part", "cls", F.ceil(F.greatest(F.col("hashes") / TILE_HASHES, F.col("sets") / TILE_SETS)).alias("own"))
+    near = cut(shares.select("part", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"), F.struct("cls", "own").alias("s")).groupBy("part", "cls").agg(F.collect_list("s").alias("shares")).select(F.col("part").alias("of_part"), F.col("cls").alias("of_cls"), "shares"), "shares")
     own = F.expr("filter(shares, s -> s.cls = cls)[0].own")
     salt = F.pmod(F.xxhash64("key", F.lit(7)), own)
     block = F.xxhash64("part", "cls", salt)
     others = F.expr("flatten(transform(shares, s -> transform(sequence(0L, s.own - 1), j -> xxhash64(part, s.cls, j))))")
-    met = parts.join(near, ["part", "cls"], "left").withColumn("block", F.when(F.col("shares").isNotNull(), block).otherwise(F.col("part"))).withColumn("others", F.when(F.col("shares").isNotNull(), others))
-    return met.select("key", "block", F.when(F.col("others").isNull(), F.array("part")).otherwise(F.expr("transform(others, o -> xxhash64(least(block, o), greatest(block, o)))")).alias("tiles"))
+    met = spread_join(parts, near, [F.col("part") == F.col("of_part"), F.col("cls") == F.col("of_cls")], near.count(), broadcast_rows, "left")
+    met = met.withColumn("block", F.when(F.col("shares").isNotNull(), block).otherwise(F.col("part"))).withColumn("others", F.when(F.col("shares").isNotNull(), others))
+    return met.select("key", "rep", "block", F.when(F.col("others").isNull(), F.array("part")).otherwise(F.expr("transform(others, o -> xxhash64(least(block, o), greatest(block, o)))")).alias("tiles"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, mark, n, key), and the sets that have copies or links with an earlier row: key, first, the row (none, doc_id, mark) that comes first in the component.
+    """The documents (doc_id, mark, n, key), and the sets that have copies or links with an earlier row: of, first, the row (none, doc_id, mark) that comes first in the component.
 
     The mark is a hash of the text. With the id it names a row's text, also where ids are null or on several texts.
     """
@@ -360,31 +367,34 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     # Ids come before null.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     reps = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    candidates = cut(reps.join(parts, reps.key == parts.node).select("key", "rep", "n", "copies", F.col("label").alias("part")), "candidates")
+    count = candidates.count()
     # The text of one document of each candidate set, by id and mark.
-    wanted = cut(_with_blocks(reps.join(parts, reps.key == parts.node).select("key", "n", F.col("label").alias("part")), percent).join(reps.select("key", "rep"), "key"), "candidates")
-    count = wanted.count()
-    named = wanted.select(F.col("rep.doc_id").alias("of_id"), F.col("rep.mark").alias("of_mark"), "key", "block", "tiles")
-    texts = marked.join(small_side(named, count, broadcast_rows), (F.col("mark") == F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("text", "key", "block", "tiles")
+    named = cut(_with_blocks(candidates, percent, broadcast_rows), "blocks").select(F.col("rep.doc_id").alias("of_id"), F.col("rep.mark").alias("of_mark"), "key", "block", "tiles")
+    texts = spread_join(marked, named, [F.col("mark") == F.col("of_mark"), F.col("doc_id").eqNullSafe(F.col("of_id"))], count, broadcast_rows).select("text", "key", "block", "tiles")
     tiles = texts.mapInArrow(_sets(n), "tile long, key long, block long, n int, data binary")
     links = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
-    found = components(links)
-    # The first row of each component, over sets that have copies or links.
-    named_sets = reps.join(found, reps.key == found.node, "left").select("key", "rep", "copies", F.coalesce("label", "key").alias("label"))
-    least = named_sets.groupBy("label").agg(F.min("rep").alias("first"))
-    return sets, named_sets.join(least, "label").filter("copies > 1 OR NOT rep <=> first").select(F.col("key").alias("of"), "first")
+    found = cut(components(links), "components")
+    # The first row of each component of several sets, and the sets that aren't in it by themselves.
+    linked = cut(candidates.join(found, candidates.key == found.node).select("key", "rep", "label"), "linked")
+    least = cut(linked.groupBy("label").agg(F.min("rep").alias("first")).withColumnRenamed("label", "of_label"), "first")
+    later = spread_join(linked, least, [F.col("label") == F.col("of_label")], least.count(), broadcast_rows).select("key", "first")
+    several = reps.filter("copies > 1").select(F.col("key").alias("copied"), "rep")
+    of_key = several.join(later, F.col("key") == F.col("copied"), "full").select(F.coalesce("key", "copied").alias("of"), F.coalesce("first", "rep").alias("first"))
+    return sets, cut(of_key, "of-key")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 250_000) -> DataFrame:
     """doc_id, n_shingles, component_id: two texts link when 100 * overlap >= percent * union of their sets; a component is what links reach."""
     sets, of_key = _grouped(docs, id_col, text_col, n, percent, broadcast_rows)
-    return sets.join(of_key, sets.key == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+    return spread_join(sets, of_key, [F.col("key") == F.col("of")], of_key.count(), broadcast_rows, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def near_copy_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = 250_000) -> DataFrame:
     """doc_id, mark, copies, stays: the rows of each component of several, by id and hash of the text, and how many rows are the same in both; the first of each component stays."""
     sets, of_key = _grouped(docs, id_col, text_col, n, percent, broadcast_rows)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-    return sets.join(of_key, sets.key == F.col("of")).select("doc_id", "mark", stays.alias("stays")).groupBy("doc_id", "mark", "stays").agg(F.count("*").alias("copies")).select("doc_id", "mark", "copies", "stays")
+    return spread_join(sets, of_key, [F.col("key") == F.col("of")], of_key.count(), broadcast_rows).select("doc_id", "mark", stays.alias("stays")).groupBy("doc_id", "mark", "stays").agg(F.count("*").alias("copies")).select("doc_id", "mark", "copies", "stays")
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
