@@ -20,8 +20,8 @@ made (the result is the same).
 Weights and templates are a small table of fixed size, and are broadcast.
 
 Defined cases: null and empty texts have one empty line and no licence; a document
-that repeats a line counts it each time; an identifier that repeats gets a row for
-each of its rows, each with what was found in all of them. An empty table gives an empty result.
+that repeats a line counts it each time; rows that share an identifier, or have none,
+each have what their own text names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,10 +90,10 @@ def grams_of(words: list[str]) -> list[str]:
 class LicenseModel:
     """Weights by n-gram and family, biases, temperature; the n-grams of the templates; the cues."""
 
-    def __init__(self, negatives: list[str], seed: int = 7, variants: int = 12):
+    def __init__(self, negatives: list[str], seed: int = 7, variants: int = 12, templates: dict | None = None):
         rng = np.random.default_rng(seed)
-        self.families = list(TEMPLATES)
-        lines = [(words_of(t), k) for k, ts in enumerate(TEMPLATES.values()) for t in ts]
+        self.families = list(templates := templates or TEMPLATES)
+        lines = [(words_of(t), k) for k, ts in enumerate(templates.values()) for t in ts]
         vocabulary = sorted({w for ws, _ in lines for w in ws})
         varied = [([w for w in ws if rng.random() > 0.1] or ws, k) for ws, k in lines for _ in range(variants)]
         unknown = len(self.families)
@@ -167,7 +167,7 @@ def _predicted(grams: DataFrame, model: LicenseModel, keys: list[str]) -> DataFr
 
 def _spans(cued: DataFrame, model: LicenseModel, confirm: float) -> DataFrame:
     """The distinct spans of lines that have the share of a template's n-grams, with their own n-grams g."""
-    spark, keys = cued.sparkSession, ["uid", "__row", "line_no"]
+    spark, keys = cued.sparkSession, ["uid", "__row", "__mark", "line_no"]
     # A row for each template: k its words, own its n-grams, least its words at least; n of a template's words have n - 1 of its pairs at most, but for repeated words.
     kinds = {t: (t, k, n, has, own, max(1, math.ceil((math.ceil(confirm * len(own) - 1e-9) + 1 - (n - len(has))) / 2))) for _, _, t, k, n, has, own in model.seeds}
     radius = max(x[2] for x in kinds.values())
@@ -191,25 +191,25 @@ def _spans(cued: DataFrame, model: LicenseModel, confirm: float) -> DataFrame:
 
 
 def licensed_lines(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
-    """__row, line_no, family, probability, match: the families predicted and confirmed on each line, whole or in a span of it."""
-    # Rows may share an id, so lines are told apart by a key of their row; it only serves within one pass.
-    lines = docs.select(F.monotonically_increasing_id().alias("uid"), "__row", F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    worded = lines.select("uid", "__row", "line_no", F.array_remove(F.split(F.lower("line"), SPLIT), "").alias("w"))
+    """__row, __mark, line_no, family, probability, match: the families predicted and confirmed on each line, whole or in a span of it; rows of the same id and text are told once."""
+    # Rows may share an id, so lines are told apart by their id and the hash of the row's text; a key of the row serves within one pass.
+    lines = docs.select(F.monotonically_increasing_id().alias("uid"), "__row", F.xxhash64(text_col).alias("__mark"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    worded = lines.select("uid", "__row", "__mark", "line_no", F.array_remove(F.split(F.lower("line"), SPLIT), "").alias("w"))
     cued = worded.filter(F.arrays_overlap("w", F.lit(model.cues)))
     named = F.array(*map(F.lit, model.families))[F.col("i")].alias("family")
-    grams = cued.select("uid", "__row", "line_no", _grams("w").alias("g"))
-    grams = grams.select("uid", "__row", "line_no", "g", F.size("g").alias("n"))  # so that no row of the explosion carries the array
-    whole = _predicted(grams, model, ["uid", "__row", "line_no", "n"]).select("__row", "line_no", named, "probability", (F.get("hits", F.col("i")) / F.col("n")).alias("match"))
+    grams = cued.select("uid", "__row", "__mark", "line_no", _grams("w").alias("g"))
+    grams = grams.select("uid", "__row", "__mark", "line_no", "g", F.size("g").alias("n"))  # so that no row of the explosion carries the array
+    whole = _predicted(grams, model, ["uid", "__row", "__mark", "line_no", "n"]).select("__row", "__mark", "line_no", named, "probability", (F.get("hits", F.col("i")) / F.col("n")).alias("match"))
     whole = whole.filter((F.col("probability") >= least) & (F.col("match") >= confirm))
-    keys = ["uid", "__row", "line_no", "template", "i_own", "start", "stop", "found", "whole", "g"]
+    keys = ["uid", "__row", "__mark", "line_no", "template", "i_own", "start", "stop", "found", "whole", "g"]
     spans = _predicted(_spans(cued, model, confirm), model, keys).filter((F.col("i") == F.col("i_own")) & (F.col("probability") >= least))
-    each = spans.select("uid", "__row", "line_no", F.struct((-F.col("found")).alias("order"), (-F.col("found") / F.col("whole")).alias("second"), "start", "stop", named, "probability", (F.col("found") / F.col("whole")).alias("match")).alias("x"))
-    each = each.groupBy("uid", "__row", "line_no").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    each = spans.select("uid", "__row", "__mark", "line_no", F.struct((-F.col("found")).alias("order"), (-F.col("found") / F.col("whole")).alias("second"), "start", "stop", named, "probability", (F.col("found") / F.col("whole")).alias("match")).alias("x"))
+    each = each.groupBy("uid", "__row", "__mark", "line_no").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     kept = F.expr("aggregate(xs, slice(xs, 1, 0), (kept, x) -> IF(exists(kept, y -> y.start < x.stop AND x.start < y.stop), kept, array_append(kept, x)))")
-    parts = each.select("__row", "line_no", F.explode(kept).alias("x")).select("__row", "line_no", "x.family", "x.probability", "x.match")
+    parts = each.select("__row", "__mark", "line_no", F.explode(kept).alias("x")).select("__row", "__mark", "line_no", "x.family", "x.probability", "x.match")
     both = whole.withColumn("rank", F.lit(0)).unionByName(parts.withColumn("rank", F.lit(1)))
     first = F.min(F.struct("rank", (-F.col("match")).alias("less"), (-F.col("probability")).alias("p"), "probability", "match")).alias("x")
-    return both.groupBy("__row", "line_no", "family").agg(first).select("__row", "line_no", "family", "x.probability", "x.match")
+    return both.groupBy("__row", "__mark", "line_no", "family").agg(first).select("__row", "__mark", "line_no", "family", "x.probability", "x.match")
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -217,9 +217,9 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: st
     model = model or LicenseModel(corpus_lines(docs, id_col, text_col))
     plain = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     found = licensed_lines(plain, model, "__row", "__text", **options)
-    each = found.groupBy(F.col("__row").alias("__hit")).agg(F.array_sort(F.collect_set("family")).alias("families"), F.count_distinct("line_no").alias("n_license_lines"), F.array_sort(F.collect_list(F.struct("line_no", "family", "probability", "match"))).alias("lines"))
-    base = plain.select(F.col("__row").alias("doc_id"), F.size(F.split(F.coalesce("__text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    out = base.join(each, F.col("doc_id").eqNullSafe(F.col("__hit")), "left")
+    each = found.groupBy(F.col("__row").alias("__hit"), F.col("__mark").alias("__of")).agg(F.array_sort(F.collect_set("family")).alias("families"), F.count_distinct("line_no").alias("n_license_lines"), F.array_sort(F.collect_list(F.struct("line_no", "family", "probability", "match"))).alias("lines"))
+    base = plain.select(F.col("__row").alias("doc_id"), F.xxhash64("__text").alias("__mark"), F.size(F.split(F.coalesce("__text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    out = base.join(each, F.col("doc_id").eqNullSafe(F.col("__hit")) & (F.col("__mark") == F.col("__of")), "left")
     return out.select("doc_id", "n_lines", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"), "lines")
 
 
