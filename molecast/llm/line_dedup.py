@@ -10,10 +10,11 @@ An index within ``broadcast_bytes`` is sent to every task. A larger one stays
 sharded: probes (document, line hash) are routed to the shards, salted so that a
 very common line is spread over tasks, and stream past the shard's arrays.
 
-Defined cases: a null or empty text is one empty line. Each row counts as a
-document, so repeated rows count repeatedly and keep or lose a line together. A
-null id is below all others. Lines are split at \\n only. An empty table gives an
-empty result. Extra columns of the input are ignored.
+Defined cases: a null or empty text is one empty line. Documents are counted by
+their distinct ids: rows that share an id are one document, and keep or lose a line
+together; a null id is one id, below all others. There is a row of the result for
+each row of the input. Counts beyond 2^32 - 1 stand at that number. Lines are split
+at \\n only. An empty table gives an empty result. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE, cut, table
+from .common import NULL_ID, SPACE, cut, spread_join, table
 
 U = np.uint64
 SALTS = 8
@@ -104,7 +105,7 @@ class Shard:
         perfect = PerfectHash.build(a, b)
         order = np.empty(len(a), np.int64)
         order[perfect.slots(a, b)] = np.arange(len(a))
-        return cls(perfect, b[order], counts[order].astype(np.uint32), keepers[order])
+        return cls(perfect, b[order], np.minimum(counts[order], 2**32 - 1).astype(np.uint32), keepers[order])
 
     def to_bytes(self) -> bytes:
         head = np.array([len(self.perfect.sizes), len(self.prints), *self.perfect.sizes], np.int64)
@@ -138,28 +139,22 @@ def _doc_keys(raw: bytes, least: int) -> list[bytes]:
     return [k for k in dict.fromkeys(line_keys(raw)) if long_enough(k, least)]
 
 
-def _count_lines(least: int):
+def _hash_lines(least: int):
+    """(a, b, doc): the hashes of each document's long keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, list[int]] = {}
-            for doc, text in zip(_ids(batch), batch.column(1).to_pylist(), strict=True):
-                for key in _doc_keys((text or "").encode(), least):
-                    if (was := seen.get(key)) is None:
-                        seen[key] = [1, doc]
-                    else:
-                        was[0] += 1
-                        was[1] = max(was[1], doc)
-            a, b = digests(list(seen))
-            n, keeper = (np.array([v[i] for v in seen.values()], np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), n, keeper)], ["a", "b", "n", "keeper"])
+            _, _, ids, a, b = _flat(batch, least)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), ids)], ["a", "b", "doc"])
 
     return run
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, shard_keys: int = 1 << 17) -> DataFrame:
     """(shard, bits, data): the shards of the index over the line keys found in at least min_docs documents, about shard_keys keys each."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(_count_lines(min_chars), "a long, b long, n long, keeper long")
-    common = cut(lines.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper")).filter(F.col("n") >= min_docs), "lines")
+    lines = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(_hash_lines(min_chars), "a long, b long, doc long")
+    # The planner first makes (line, document) distinct, dealt by both, so that a very common line is spread over tasks.
+    common = cut(lines.groupBy("a", "b").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= min_docs), "lines")
     bits = max(0, (-(-common.count() // shard_keys) - 1).bit_length())
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -221,9 +216,10 @@ def _probe_all(index, bits: int, least: int):
 def _route(bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, ids, a, b = _flat(batch, least)
+            _, owner, ids, a, b = _flat(batch, least)
+            marks = batch.column(2).to_numpy()[owner]
             at = (a >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(a), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, (ids % SALTS).astype(np.int64), ids, a.view(np.int64), b.view(np.int64))], ["shard", "salt", "doc", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, marks % SALTS, ids, marks, a.view(np.int64), b.view(np.int64))], ["shard", "salt", "doc", "mark", "a", "b"])
 
     return run
 
@@ -244,10 +240,10 @@ def _probe_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shard, part = Shard.from_bytes(part.column(2)[0].as_py()), part.slice(1)
             if shard is None or not part.num_rows:
                 continue
-            ids, a, b = (part.column(i).to_numpy() for i in (3, 4, 5))
+            ids, marks, a, b = (part.column(i).to_numpy() for i in (3, 4, 5, 6))
             counts, keepers = shard.lookup(a.view(U), b.view(U))
             go = (counts > 0) & (keepers != ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (ids, a, b)], ["doc", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (ids, marks, a, b)], ["doc", "mark", "a", "b"])
 
 
 def _apply_hits(least: int):
@@ -276,12 +272,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if size["b"] <= broadcast_bytes:
         held = spark.sparkContext.broadcast([(r["shard"], bytes(r["data"])) for r in index.select("shard", "data").collect()])
         return plain.mapInArrow(_probe_all(held, size["bits"], min_chars), OUT)
-    probes = plain.mapInArrow(_route(size["bits"], min_chars), "shard long, salt long, doc long, a long, b long").withColumn("data", F.lit(None).cast("binary"))
+    # A row is named by its id and the hash of its text, also where ids are null or on several texts.
+    marked = plain.withColumn("mark", F.xxhash64("text"))
+    probes = marked.mapInArrow(_route(size["bits"], min_chars), "shard long, salt long, doc long, mark long, a long, b long").withColumn("data", F.lit(None).cast("binary"))
     none = F.lit(None).cast("long")
-    shards = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "data", none.alias("doc"), none.alias("a"), none.alias("b"))
-    met = shards.unionByName(probes).select("shard", "salt", "data", "doc", "a", "b").repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())
-    hits = met.mapInArrow(_probe_shard, "doc long, a long, b long").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
-    joined = plain.join(hits, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc"), "left").select("doc_id", "text", "hits")
+    shards = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "data", none.alias("doc"), none.alias("mark"), none.alias("a"), none.alias("b"))
+    met = shards.unionByName(probes).select("shard", "salt", "data", "doc", "mark", "a", "b").repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())
+    hits = cut(met.mapInArrow(_probe_shard, "doc long, mark long, a long, b long").groupBy("doc", F.col("mark").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("hits")), "line-hits")
+    joined = spread_join(marked, hits, [F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc"), F.col("mark") == F.col("of")], hits.count(), 10_000, "left").select("doc_id", "text", "hits")
     return joined.mapInArrow(_apply_hits(min_chars), OUT)
 
 
@@ -291,13 +289,14 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, line, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS key
-  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, text FROM documents),
+lines AS (
+  SELECT r, doc_id, id, i, line, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS key
+  FROM (SELECT r, doc_id, id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+        FROM (SELECT r, doc_id, id, string_split(coalesce(text, ''), chr(10)) AS parts FROM docs))),
 common AS (
-  SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT doc_id, key FROM lines WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3)
-SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL AND c.keeper <> l.doc_id) AS n_dropped,
-       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (c.key IS NULL OR c.keeper = l.doc_id), '')) AS kept_sha256
-FROM lines l LEFT JOIN common c ON c.key = l.key GROUP BY l.doc_id
+  SELECT key, max(id) AS keeper FROM (SELECT DISTINCT id, key FROM lines WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3)
+SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL AND c.keeper <> l.id) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (c.key IS NULL OR c.keeper = l.id), '')) AS kept_sha256
+FROM lines l LEFT JOIN common c ON c.key = l.key GROUP BY l.r
 """
