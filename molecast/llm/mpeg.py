@@ -5,12 +5,15 @@ is the byte of the frames' main data), behind an ID3v2 tag and an information
 frame with frame count, byte count and seek table. ``read_stream`` parses any
 stream of MPEG audio frames: it skips ID3v2 and ID3v1 tags, resynchronises on frame
 headers (a candidate counts only if another header or the end follows where it
-says, or if it is where a frame of its kind said), reads the variable-bitrate table, verifies the CRC of protected frames, and
-gives the exact duration (samples over rate), the offset of each frame, and the
-main data.
+says, or if it is where a frame of its kind said), reads the variable-bitrate table
+(of either kind, with its seek points), verifies the CRC of protected frames of all
+layers, and gives the exact duration (samples over rate), the offset of each frame,
+and the main data.
 
 Defined cases: a null payload is empty; bytes that belong to no frame are counted
-as skipped; a stream without frames has no frames and a duration of zero.
+as skipped; a stream without frames has no frames and a duration of zero; a table or
+tag that is cut off gives what of it is there, and any bytes can be read; frames of
+free format (no bitrate said) aren't frames.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ BITRATES = {
 }
 RATES = (44100, 48000, 32000)
 CRC_POLYNOMIAL = 0x8005
+#: Bits of a subband's allocation in Layer II, as (bits, subbands) runs, by the allocation table's name.
+ALLOCATION = {"2a": ((4, 11), (3, 12), (2, 4)), "2b": ((4, 11), (3, 12), (2, 7)), "2c": ((4, 2), (3, 6)), "2d": ((4, 2), (3, 10)), "half": ((4, 4), (3, 7), (2, 19))}
 #: The frames that encode_stream writes: MPEG-1 Layer III, protected, 32 kHz, mono, 320 kbit/s (index 14), that is 1440 bytes.
 HEADER = bytes((0xFF, 0xFA, 0xE8, 0xC0))
 SIDE = 17
@@ -56,6 +61,8 @@ class Header:
     length: int
     samples: int
     side: int
+    channels: int
+    joint: int  # the subband from which a pair of channels shares its allocation
 
 
 @lru_cache(4096)
@@ -72,12 +79,13 @@ def parse_header(four: bytes) -> Header | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and not mpeg1 else 1152
     length = (12000 * kbits // hertz + pad) * 4 if layer == 1 else samples * 125 * kbits // hertz + pad
     side = 0 if layer != 3 else (17 if mono else 32) if mpeg1 else (9 if mono else 17)
-    return Header(mpeg1, layer, not four[1] & 1, kbits, hertz, length, samples, side)
+    joint = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(mpeg1, layer, not four[1] & 1, kbits, hertz, length, samples, side, 1 if mono else 2, joint)
 
 
 @lru_cache(1 << 14)
 def frame_crc(covered: bytes) -> int:
-    """The CRC-16 of a protected Layer III frame: over the last two header bytes and the side information."""
+    """The CRC-16 over whole bytes."""
     crc = 0xFFFF
     for byte in covered:
         crc ^= byte << 8
@@ -86,6 +94,43 @@ def frame_crc(covered: bytes) -> int:
     return crc
 
 
+def _crc_bits(crc: int, bits: str) -> int:
+    for bit in bits:
+        top = (crc >> 15) ^ (bit == "1")
+        crc = (crc << 1 & 0xFFFF) ^ (CRC_POLYNOMIAL if top else 0)
+    return crc
+
+
+def _allocation(head: Header) -> list[int]:
+    """Bits of each subband's allocation in a Layer II frame."""
+    each = head.kbits // head.channels
+    if not head.mpeg1:
+        name = "half"
+    elif each < 56:
+        name = "2d" if head.rate == 32000 else "2c"
+    else:
+        name = "2b" if each >= 96 and head.rate != 48000 else "2a"
+    return [bits for bits, n in ALLOCATION[name] for _ in range(n)]
+
+
+def checksum(data: bytes, at: int, head: Header) -> int:
+    """The CRC that a protected frame should tell: over the last two header bytes and what decodes the samples (Layer III: side information; Layer II: allocation and scale factor selection; Layer I: allocation)."""
+    if head.layer == 3:
+        return frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side])
+    body = data[at + 6 : at + 6 + 64]
+    bits = f"{int.from_bytes(body):0{8 * len(body)}b}" if body else ""
+    widths = [4] * 32 if head.layer == 1 else _allocation(head)
+    end, chosen = 0, 0
+    for band, w in enumerate(widths):
+        for _ in range(head.channels if band < head.joint else 1):
+            used = "1" in bits[end : end + w]
+            chosen += used * (head.channels if band >= head.joint else 1)
+            end += w
+    if head.layer == 2:
+        end += 2 * chosen
+    return _crc_bits(frame_crc(data[at + 2 : at + 4]), bits[:end])
+
+
 def _tag_size(data: bytes, at: int) -> int:
     """Bytes of an ID3v2 tag at this place, or 0."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or any(x & 0x80 for x in data[at + 6 : at + 10]):
@@ -129,47 +174,84 @@ class Stream:
     skipped: int = 0
     told_frames: int | None = None
     told_bytes: int | None = None
-    seek: bytes = b""
+    seek: list[int] = field(default_factory=list)
     parts: list[bytes] = field(default_factory=list)
 
     @property
     def payload(self) -> bytes:
         main = b"".join(self.parts)
-        return main[: int(self.tags["payload"])] if self.tags.get("payload", "").isdigit() else main
+        told = self.tags.get("payload", "")
+        return main[: int(told)] if told.isascii() and told.isdigit() and len(told) < 19 else main
 
     @property
     def duration(self) -> float:
         return self.samples / self.rate if self.rate else 0.0
 
 
-def _read_tags(data: bytes, at: int, size: int, into: dict[str, str]) -> None:
-    wide, p, end = data[at + 3] >= 4, at + 10, min(at + size, len(data))
-    while p + 10 <= end and data[p]:
-        name = data[p : p + 4].decode("latin-1")
-        n = struct.unpack(">I", data[p + 4 : p + 8])[0]
-        if wide and not n & 0x80808080:
-            n = (n >> 24 & 127) << 21 | (n >> 16 & 127) << 14 | (n >> 8 & 127) << 7 | n & 127
-        text = data[p + 11 : p + 10 + n].decode("utf-8" if data[p + 10 : p + 11] == b"\x03" else "latin-1", "replace")
-        if name == "TXXX":
-            name, _, text = text.partition("\0")
-        if name[:1].isalnum():
-            into[name] = text
-        p += 10 + n
+#: Text encodings of tags, by their first byte.
+ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
+def _spread_size(four: bytes) -> int:
+    """A number in the low seven bits of its bytes."""
+    n = 0
+    for byte in four:
+        n = n << 7 | byte & 127
+    return n
+
+
+def _read_tags(tag: bytes, into: dict[str, str]) -> None:
+    """The text frames of an ID3v2 tag: version 2.2 has names and sizes of three bytes, 2.4 has sizes of seven bits a byte."""
+    version, flags, body = tag[3], tag[5], tag[10:]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and version > 2:
+        body = body[_spread_size(body[:4]) if version > 3 else int.from_bytes(body[:4]) + 4 :]
+    wide = 3 if version == 2 else 4
+    head = 6 if version == 2 else 10
+    p = 0
+    while p + head <= len(body) and body[p]:
+        name = body[p : p + wide].decode("latin-1")
+        size = body[p + wide : p + 2 * wide]
+        n = _spread_size(size) if version > 3 and not any(x & 0x80 for x in size) else int.from_bytes(size)
+        content = body[p + head : p + head + n]
+        if content and name[0] == "T":
+            text = content[1:].decode(ENCODINGS.get(content[0], "latin-1"), "replace")
+            if name in ("TXXX", "TXX"):
+                name, _, text = text.partition("\0")
+            if name[:1].isalnum():
+                into[name] = text.rstrip("\0")
+        p += head + n
+
+
+def _number(data: bytes, at: int, size: int) -> int | None:
+    """A big-endian number, or None if the bytes end before."""
+    piece = data[at : at + size]
+    return int.from_bytes(piece) if len(piece) == size else None
 
 
 def _table(data: bytes, at: int, head: Header, out: Stream) -> bool:
-    """Read a variable-bitrate table if this frame holds one."""
-    p = at + 4 + 2 * head.protected + head.side
-    if data[p : p + 4] in (b"Xing", b"Info"):
-        flags, p = struct.unpack(">I", data[p + 4 : p + 8])[0], p + 8
-        for bit, name in ((1, "told_frames"), (2, "told_bytes")):
-            if flags & bit:
-                setattr(out, name, struct.unpack(">I", data[p : p + 4])[0])
-                p += 4
-        out.seek = data[p : p + 100] if flags & 4 else b""
+    """Read a variable-bitrate table if this frame holds one. Seek points are byte offsets within the stream of frames."""
+    frame = data[at : at + head.length]
+    p = 4 + 2 * head.protected + head.side
+    if frame[p : p + 4] in (b"Xing", b"Info"):
+        flags, p = _number(frame, p + 4, 4) or 0, p + 8
+        if flags & 1:
+            out.told_frames, p = _number(frame, p, 4), p + 4
+        if flags & 2:
+            out.told_bytes, p = _number(frame, p, 4), p + 4
+        if flags & 4 and out.told_bytes is not None:
+            out.seek = [x * out.told_bytes // 256 for x in frame[p : p + 100]]
         return True
-    if data[at + 36 : at + 40] == b"VBRI":
-        out.told_bytes, out.told_frames = struct.unpack(">II", data[at + 46 : at + 54])
+    if frame[36:40] == b"VBRI":
+        out.told_bytes, out.told_frames = _number(frame, 46, 4), _number(frame, 50, 4)
+        entries, scale, size = (_number(frame, i, 2) or 0 for i in (54, 56, 58))
+        total = 0
+        for i in range(entries if 0 < size <= 4 else 0):
+            if (step := _number(frame, 62 + i * size, size)) is None:
+                break
+            total += step * scale
+            out.seek.append(total)
         return True
     return False
 
@@ -182,7 +264,7 @@ def read_stream(data: bytes) -> Stream:
         out.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
     while at < end:
         if size := _tag_size(data, at):
-            _read_tags(data, at, size, out.tags)
+            _read_tags(data[at : min(at + size, end)], out.tags)
             at += size
             continue
         head = parse_header(data[at : at + 4])
@@ -195,9 +277,8 @@ def read_stream(data: bytes) -> Stream:
             out.skipped += to - at
             at = to
             continue
-        if head.protected and head.layer == 3:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side]
-            out.bad_checksums += frame_crc(covered) != data[at + 4] << 8 | data[at + 5]
+        if head.protected:
+            out.bad_checksums += checksum(data, at, head) != _number(data, at + 4, 2)
         if not (first and _table(data, at, head, out)):
             out.offsets.append(at)
             out.samples += head.samples
@@ -226,23 +307,23 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
-READ = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_frames long, samples long, rate int, duration_s double, offsets array<long>, bad_checksums long, skipped_bytes long, told_frames long, tags map<string, string>"
+READ = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_frames long, samples long, rate int, duration_s double, offsets array<long>, bad_checksums long, skipped_bytes long, told_frames long, table_agrees boolean, seek array<long>, tags map<string, string>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string())]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string())]
     names = [x.split()[0] for x in READ.replace("map<string, string>", "map").split(", ")]
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             rows = []
             for doc, n, media in zip(*(batch.slice(lo, 512).column(i).to_pylist() for i in range(3)), strict=True):
                 s = read_stream(media)
-                rows.append((doc, n, s.payload, len(media), hashlib.sha256(media).hexdigest(), len(s.offsets), s.samples, s.rate, s.duration, s.offsets, s.bad_checksums, s.skipped, s.told_frames, list(s.tags.items())))
+                rows.append((doc, n, s.payload, len(media), hashlib.sha256(media).hexdigest(), len(s.offsets), s.samples, s.rate, s.duration, s.offsets, s.bad_checksums, s.skipped, s.told_frames, None if s.told_frames is None else s.told_frames == len(s.offsets), s.seek, list(s.tags.items())))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Parse a media column (doc_id, n_bytes, media): payload, exact duration, frame offsets, checksums, tags."""
+    """Parse a media column (doc_id, n_bytes, media): payload, exact duration, frame offsets, checksums, tags, and whether the table tells as many frames as there are."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, READ)
 
 
@@ -252,4 +333,5 @@ def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256",
         F.concat_ws(";", F.format_string("frames=%d", "n_frames"), F.format_string("samples=%d", "samples"), F.format_string("rate=%d", "rate"), F.format_string("bad_crc=%d", "bad_checksums"), F.format_string("last_offset=%d", F.try_element_at("offsets", F.lit(-1)))).alias("feature"),
+        "duration_s", "offsets", "table_agrees",
     )
