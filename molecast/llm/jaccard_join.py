@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import components
-from .common import cut, runs, spread_join, table
+from .common import cut, runs, small_side, spread_join, table
 
 U = np.uint64
 #: The count sketch has 2^SKETCH counters, sent in chunks of 2^CHUNK. Points have 2^GROUPS coordinates. A node of the tree has LEAF points.
@@ -363,11 +363,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     least = F.floor(F.floor((F.col("n") * percent + 99) / 100) / 10)  # must_share - 1
     few = shared.withColumn("place", F.row_number().over(own.orderBy("m", "sig"))).withColumn("all", F.count("*").over(own)).filter(F.col("place") <= F.col("all") - least)
     ties = few.select("sig", "key", "n").repartition("sig").sortWithinPartitions("sig", "n", "key").mapInArrow(_ties(percent), "a long, b long")
-    parts = components(ties)
+    parts = cut(components(ties), "components")
     # Ids come before null.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     reps = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    candidates = cut(reps.join(parts, reps.key == parts.node).select("key", "rep", "n", "copies", F.col("label").alias("part")), "candidates")
+    candidates = cut(reps.join(small_side(parts, parts.count(), broadcast_rows), reps.key == parts.node).select("key", "rep", "n", "copies", F.col("label").alias("part")), "candidates")
     count = candidates.count()
     # The text of one document of each candidate set, by id and mark.
     named = cut(_with_blocks(candidates, percent, broadcast_rows), "blocks").select(F.col("rep.doc_id").alias("of_id"), F.col("rep.mark").alias("of_mark"), "key", "block", "tiles")
@@ -376,7 +376,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     links = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
     found = cut(components(links), "components")
     # The first row of each component of several sets, and the sets that aren't in it by themselves.
-    linked = cut(candidates.join(found, candidates.key == found.node).select("key", "rep", "label"), "linked")
+    linked = cut(candidates.join(small_side(found, found.count(), broadcast_rows), candidates.key == found.node).select("key", "rep", "label"), "linked")
     least = cut(linked.groupBy("label").agg(F.min("rep").alias("first")).withColumnRenamed("label", "of_label"), "first")
     later = spread_join(linked, least, [F.col("label") == F.col("of_label")], least.count(), broadcast_rows).select("key", "first")
     several = reps.filter("copies > 1").select(F.col("key").alias("copied"), "rep")
