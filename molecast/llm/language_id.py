@@ -4,11 +4,13 @@ N-grams of one to three letters of the lower-cased text, words padded by a blank
 are hashed to 2^BITS features. Document frequencies come from all documents that
 may be learned from. Weights are fitted by follow-the-regularised-leader with
 elastic-net penalties on a bounded sample: about ``sample`` rows of each language,
-chosen by a hash of the identifier; a fifth of it calibrates the temperature.
+chosen by a hash of the identifier; a fifth of it calibrates the temperature. What
+comes to the driver of a sampled text is its features, at most 2^BITS of them.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; where
-no language can be learned, every text is; a null or empty language isn't learned
-from; repeated rows are predicted alike. An empty table gives an empty result.
+no language can be learned, every text is; a null language isn't learned from, an
+empty one is a language like others; more than ``most`` languages are an error;
+repeated rows are predicted alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -100,33 +102,46 @@ class Model:
         return self.langs[best], float(p[best])
 
 
-def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, n = np.unique(grams(text), return_counts=True)
-    values = n * idf[ids]
+def tfidf(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and their values, of unit length."""
+    values = counts * idf[ids]
     return ids, values / max(np.sqrt(np.square(values).sum()), 1e-12)
 
 
-def labelled_sample(rows: DataFrame, label: str, by: Column, sample: int) -> DataFrame:
-    """About ``sample`` rows of each label, by thresholds on a hash; all of those with fewer."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, at, ids, counts) of the sampled texts that have a letter."""
+    for batch in batches:
+        rows = []
+        for lang, at, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if has_letter(text):
+                ids, n = np.unique(grams(text), return_counts=True)
+                rows.append((lang, at, ids.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "at", "ids", "counts"])
+
+
+def labelled_sample(rows: DataFrame, label: str, by: Column, sample: int, most: int) -> DataFrame:
+    """About ``sample`` rows of each label, by thresholds on a hash, and all of those with fewer. The thresholds are a small table, of at most ``most`` labels."""
+    counts = rows.groupBy(F.col(label).alias("__of")).count()
+    if len(counts.limit(most + 1).collect()) > most:
+        raise ValueError(f"more than {most} values of {label}")
     share = F.pmod(F.xxhash64(by, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    bound = F.lit(False)
-    for value, n in counts.items():
-        bound = bound | ((F.col(label) == F.lit(value)) & (share < F.lit(min(1.0, sample / n))))
-    return rows.filter(bound)
+    return rows.join(F.broadcast(counts), F.col(label) == F.col("__of")).filter(share < sample / F.col("count")).drop("__of", "count")
 
 
-def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = 800) -> Model:
-    """Learn from all rows of docs that have a language: frequencies from every row, weights from about ``sample`` of each language."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND lang <> ''")
+def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = 800, most: int = 1000) -> Model:
+    """Learn from all rows of docs that have a language: frequencies from every row, weights from about ``sample`` of each language and never more than twice as many in all."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL")
     n, found = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + found)) + 1
-    got = sorted(labelled_sample(rows, "lang", F.col("doc_id").cast("string"), sample).collect(), key=lambda r: (str(r["doc_id"]), r["text"] or ""))
-    got = [r for r in got if has_letter(r["text"])]
-    langs = sorted({r["lang"] for r in got})
+    picked = labelled_sample(rows, "lang", F.col("doc_id").cast("string"), sample, most)
+    kinds = max(1, rows.select("lang").distinct().count())
+    # In the order of a hash and bounded, also where rows share an id.
+    told = picked.select("lang", F.xxhash64("doc_id", "text").alias("at"), "text").mapInArrow(_counted, "lang string, at long, ids binary, counts binary").orderBy("at", "lang").limit(2 * sample * kinds)
+    got = [(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in told.toLocalIterator()]
+    langs = sorted({lang for lang, _, _ in got})
     if not langs:
         return Model([], idf, np.zeros((WIDTH, 0)), np.zeros(0), 1.0)
-    x, y = [tfidf(r["text"], idf) for r in got], np.array([langs.index(r["lang"]) for r in got])
+    x, y = [tfidf(ids, counts, idf) for _, ids, counts in got], np.array([langs.index(lang) for lang, _, _ in got])
     held = np.arange(len(x)) % 5 == 4
     weights, bias = fit_multinomial([r for r, h in zip(x, held, strict=True) if not h], y[~held], WIDTH, len(langs), l1=0.05, l2=0.05, alpha=1.0)
     logits = np.array([r[1] @ weights[r[0]] + bias for r, h in zip(x, held, strict=True) if h]).reshape(-1, len(langs))
