@@ -5,9 +5,9 @@ widest dimension (range within the node over range of the table) until the leave
 hold about the target bytes; leaves are the shards, and the law is ``bytes``.
 
 Medians are exact up to a tolerance and distributed: the rows of all nodes of a
-level are counted by digits of an order-preserving 60-bit key (dimension, then text
-hash), one digit a round, and only the bin that holds the median is refined. What
-comes to the driver is bounded by nodes times bins. Rows with equal texts have
+level are counted by digits of an order-preserving key (dimension, then text hash),
+one digit a round; executors find the bin that holds the median of each node, and
+only that is refined. What comes to the driver is one row a node. Rows with equal texts have
 equal keys, so a cut goes between texts; only a text whose copies weigh more than
 ``whole`` of a leaf is itself cut, by a hash of the identifier.
 
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import cut, literal_table, table
 
 #: Bits of a digit; of the key; and of these, of the dimension.
-DIGIT, KEY_BITS, DIM_BITS = 12, 60, 30
+DIGIT, KEY_BITS, DIM_BITS = 8, 56, 28
 
 
 @dataclass
@@ -64,21 +64,21 @@ def _find_cuts(rows: DataFrame, nodes: dict[int, Node], tolerance: float, whole:
     """Set at1 (and at2) of each node: rows with k1 < at1, or k1 = at1 and k2 < at2, go left."""
     spark, open_, shift = rows.sparkSession, dict(nodes), KEY_BITS - DIGIT
     while open_:
-        find = literal_table(spark, [(i, n.low, n.key == "k2", n.at1 or 0) for i, n in open_.items()], "node int, low long, second boolean, at1 long")
+        find = literal_table(spark, [(i, n.low, n.key == "k2", n.at1 or 0, n.goal - n.below) for i, n in open_.items()], "node int, low long, second boolean, at1 long, goal double")
         key = F.when(F.col("second"), F.col("k2")).otherwise(F.col("k1"))
         met = rows.join(F.broadcast(find), "node").filter(~F.col("second") | (F.col("k1") == F.col("at1")))
-        bins = met.withColumn("bin", F.shiftright(key - F.col("low"), shift)).filter((F.col("bin") >= 0) & (F.col("bin") < 1 << DIGIT)).groupBy("node", "bin").agg(F.sum("weight").alias("w")).collect()
+        bins = met.withColumn("bin", F.shiftright(key - F.col("low"), shift)).filter((F.col("bin") >= 0) & (F.col("bin") < 1 << DIGIT)).groupBy("node", "goal", "bin").agg(F.sum("weight").alias("w"))
+        # A node has at most 2^DIGIT bins. The one in which its goal falls is the first that reaches it, else the last.
+        of = Window.partitionBy("node")
+        sums = bins.withColumn("to", F.sum("w").over(of.orderBy("bin"))).withColumn("last", F.max("bin").over(of))
+        cuts = sums.filter((F.col("to") >= F.col("goal")) | (F.col("bin") == F.col("last"))).groupBy("node").agg(F.min(F.struct("bin", "w", (F.col("to") - F.col("w")).alias("before"))).alias("x"))
+        found = {r["node"]: r["x"] for r in cuts.collect()}
         for i, n in list(open_.items()):
-            sums = sorted((r["bin"], float(r["w"])) for r in bins if r["node"] == i)
-            if not sums:  # a node without rows
+            if i not in found:  # a node without rows
                 n.at1, n.at2 = 0, -1
                 del open_[i]
                 continue
-            at, below = 0, n.below
-            while at + 1 < len(sums) and below + sums[at][1] < n.goal:  # to the bin in which the goal falls
-                below += sums[at][1]
-                at += 1
-            digit, w = sums[at]
+            digit, w, below = int(found[i]["bin"]), float(found[i]["w"]), n.below + float(found[i]["before"])
             low, last = n.low + (digit << shift), shift == 0
             n.low, n.below = low, below
             if w <= tolerance * n.weight or last and (n.key == "k2" or w <= whole * n.weight / n.shards):

@@ -55,3 +55,22 @@ def test_slots_over_many_buckets(spark):
     got = with_slots(placed, bucket_rows=50).collect()
     for s in (0, 1):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(500))
+
+
+def test_equals_a_plain_tree(spark):
+    """One node's cut is the weighted median of the widest dimension, found by sorting."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, rng.randrange(1, 400)))) for i in range(600)]
+    got = {r.doc_id: r for r in kd_shards(docs(spark, rows), shards=2, tolerance=0.0).collect()}
+    sizes = {i: len(t.encode()) + 1 for i, t in rows}
+    # Texts have one line and no wide letters, so bytes is the only dimension with a range.
+    below, total = 0, sum(sizes.values())
+    order = sorted(sizes, key=lambda i: sizes[i])
+    for i in order:
+        if below + sizes[i] > total / 2:
+            middle = sizes[i]
+            break
+        below += sizes[i]
+    assert all(got[i].shard == 0 for i in order if sizes[i] < middle) and all(got[i].shard == 1 for i in order if sizes[i] > middle)
+    left = sum(sizes[i] for i in order if got[i].shard == 0)
+    assert abs(left - total / 2) <= max(sizes.values())
