@@ -34,11 +34,11 @@ component is null). An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -117,21 +117,32 @@ def _first_pass(n: int):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         for i, chunk in enumerate(counts.reshape(-1, 1 << CHUNK)):
             if chunk.any():
-                yield pa.RecordBatch.from_arrays([*(pa.array([None], pa.int64()) for _ in range(4)), pa.array([i], pa.int32()), pa.array([chunk.tobytes()])], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array([None], pa.int64()) for _ in range(4)), pa.array([i], pa.int32()), pa.array([zlib.compress(chunk.astype(np.uint64).tobytes(), 1)])], names)
 
     return run
 
 
-def _sum_chunks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in rows["counts"])
-    return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
+def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each chunk over a task's rows, as they come: at most 2^SKETCH counters are held."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint64)
+            total[chunk] = total[chunk] + raw if chunk in total else raw
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+
+def _sketch(chunks: DataFrame, fan: int = 64) -> DataFrame:
+    """The chunks added up, in two levels, so that no task gets those of all tasks."""
+    some = chunks.withColumn("of", F.pmod(F.spark_partition_id(), F.lit(fan))).repartition("chunk", "of").select("chunk", "counts").mapInArrow(_sum_chunks, "chunk int, counts binary")
+    return some.repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
 
 
 def rarity(chunks: list, total: int) -> np.ndarray:
     """Rarity class of each counter: 0 up to four times the mean load and 16, then by powers of two."""
     counts = np.zeros(1 << SKETCH)
     for row in chunks:
-        counts[row["chunk"] << CHUNK : (row["chunk"] + 1) << CHUNK] = np.frombuffer(row["counts"], np.uint64)
+        counts[row["chunk"] << CHUNK : (row["chunk"] + 1) << CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
     return np.maximum(0, np.ceil(np.log2(np.maximum(1, counts / (4 * total / (1 << SKETCH) + 16))))).astype(np.uint8)
 
 
@@ -354,7 +365,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     marked = plain.withColumn("mark", F.xxhash64("text"))
     first = cut(marked.mapInArrow(_first_pass(n), "doc_id long, mark long, n long, key long, chunk int, counts binary"), "sets")
     sets = first.filter("chunk IS NULL").select("doc_id", "mark", "n", "key")
-    chunks = first.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_chunks, "chunk int, counts binary").collect()  # at most 2^20 counters
+    chunks = _sketch(first.filter("chunk IS NOT NULL").select("chunk", "counts")).collect()  # at most 2^20 counters
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     classes = spark.sparkContext.broadcast(rarity(chunks, total))
     rows = plain.mapInArrow(_prefixes(classes, n, percent), "sig long, key long, n int")
