@@ -79,14 +79,14 @@ def _softmax(scores: list[Column]) -> list[Column]:
     return [x / total for x in e]
 
 
-def fit_domains(rows: list[tuple[list[int], int]], labels: np.ndarray, count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit_domains(rows: list[tuple[np.ndarray, int]], labels: np.ndarray, count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights (BUCKETS + SHAPES, domains) and biases, both divided by the temperature, from the buckets and shapes of a bounded sample."""
     if not len(rows) or len(set(labels.tolist())) < 2:
         return np.zeros((BUCKETS + SHAPES, count)), np.zeros(count)
     x = []
     for row, form in rows:
-        ids, n = np.unique(np.array(row, np.int64), return_counts=True)
-        x.append((np.append(ids, form), np.append(n / np.sqrt(max(len(row), 1)), 1.0)))
+        ids, n = np.unique(row, return_counts=True)
+        x.append((np.append(ids, form).astype(np.int32), np.append(n / np.sqrt(max(len(row), 1)), 1.0).astype(np.float32)))
     held = np.arange(len(x)) % 5 == 4
     weights, bias = fit_multinomial([r for r, h in zip(x, held, strict=True) if not h], labels[~held], BUCKETS + SHAPES, count, epochs=8, seed=seed, alpha=1.0, l1=0.1, l2=0.001)
     logits = np.array([v @ weights[ids] + bias for (ids, v), h in zip(x, held, strict=True) if h]).reshape(-1, count)
@@ -115,15 +115,16 @@ class Domains:
         return scored.select(*had, "__tokens", *(p.alias(f"__p{k}") for k, p in enumerate(found)))
 
 
-def train_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", label: str = "domain", sample: int = 6000) -> Domains:
+def train_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", label: str = "domain", sample: int = 4000) -> Domains:
     """Fit on about ``sample`` labelled rows, chosen by a hash of the identifier, and never more than twice as many."""
     known = labelled.select(F.col(id_col).alias("__key"), F.col(label).alias("__label")).filter(F.col("__label").isin(domains) & F.col("__key").isNotNull())
     share = F.pmod(F.xxhash64(F.col("__key").cast("string"), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     picked = known.filter(share < min(1.0, sample / max(known.count(), 1)))
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(small_side(picked, picked.count(), 4 * sample), F.col("__doc") == F.col("__key"))
-    # What comes to the driver is bounded in rows, and in buckets of a row; one order, so that the fit doesn't depend on the partitions.
-    got = rows.select("__label", F.xxhash64("__text").alias("__mark"), words("__text").alias("__words")).select("__label", "__mark", F.slice(grams(), 1, 4 * BUCKETS).alias("g"), shape().alias("s")).orderBy("__mark", "__label").limit(2 * sample).collect()
-    return Domains(*fit_domains([(r["g"], r["s"]) for r in got], np.array([domains.index(r["__label"]) for r in got], int), len(domains)))
+    # What comes to the driver is bounded in rows, and in buckets of a row; one order, so that the fit doesn't depend on the partitions. Rows come one by one, as lists of numbers are large.
+    told = rows.select("__label", F.xxhash64("__text").alias("__mark"), words("__text").alias("__words")).select("__label", "__mark", F.slice(grams(), 1, 4 * BUCKETS).alias("g"), shape().alias("s")).orderBy("__mark", "__label").limit(2 * sample)
+    got = [(r["__label"], np.array(r["g"], np.int16), r["s"]) for r in told.toLocalIterator()]
+    return Domains(*fit_domains([x[1:] for x in got], np.array([domains.index(x[0]) for x in got], int), len(domains)))
 
 
 def _rate(history: list[list[float]], count: int) -> Column:
