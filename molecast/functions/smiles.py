@@ -6,6 +6,7 @@ import re
 
 from .elements import by_symbol
 from .molecule import AROMATIC, DOUBLE, QUADRUPLE, SINGLE, TRIPLE, Atom, Molecule
+from .perception import bond_order_sums
 
 BRACKET = re.compile(r"\[(\d+)?([A-Z][a-z]?|[bcnops]|se|as|\*)(@{0,2})(H\d*)?(\+\+?|--?|[+-]\d+|\+\d+)?(?::(\d+))?\]")
 ORGANIC = re.compile(r"Cl|Br|[BCNOFPSI*]|[bcnops]")
@@ -132,10 +133,10 @@ def read_smiles(line: str) -> Molecule:
         if not mol.bonds[i].ring:
             mol.bonds[i].bo, mol.bonds[i].aromatic = SINGLE, False
     _read_geometry(mol, slashes)
+    totals = bond_order_sums(mol, 0)
     for i in plain:
-        a = mol.atoms[i]
+        a, total = mol.atoms[i], totals[i]
         if a.z:
-            total = mol.bond_order_sum(i, 0)
             fill = FILL.get(a.z, (1,))
             a.impl_h = max(0, next((v for v in fill if v >= total), fill[-1]) - total)
     for i, a in enumerate(mol.atoms):
@@ -176,7 +177,7 @@ def _read_geometry(mol: Molecule, slashes: dict[tuple[int, int], str]) -> None:
 
 def write_smiles(mol: Molecule) -> str:
     """A line of one text for each fragment and the name; not canonical. Configurations of double bonds are written where the notation needs no more than one mark at an end."""
-    out, number, seen = [], {}, set()
+    out, number, seen, totals = [], {}, set(), bond_order_sums(mol, 0)
     closing: dict[int, list[int]] = {}
     order: list[int] = []
     tree: dict[int, list[tuple[int, int]]] = {}
@@ -215,7 +216,7 @@ def write_smiles(mol: Molecule) -> str:
             symbol = symbol.lower()
         filled = None
         if a.z in FILL or a.z in (9, 17, 35, 53):
-            total, fill = mol.bond_order_sum(u, 0), FILL.get(a.z, (1,))
+            total, fill = totals[u], FILL.get(a.z, (1,))
             filled = max(0, next((v for v in fill if v >= total), fill[-1]) - total)
         turn = ""
         if a.chirality:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import cif
 from .descriptors import gasteiger, surface_area
-from .molecule import relevant_rings, sanitize, smallest_rings
+from .molecule import relevant_rings, smallest_rings
+from .perception import sanitize
 from .smiles import SmilesError, read_smiles, write_smiles
 
 SUMMARY = "name string, heavy_atoms int, bonds int, hydrogens int, charge int, rings int, aromatic_atoms int, weight double, error string"

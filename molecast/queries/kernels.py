@@ -15,6 +15,7 @@ from ..functions import pdb as P
 from ..functions.chains import align_chains
 from ..functions.elements import periodic_table
 from ..functions.kernels import map_rows, spread
+from ..functions.perception import sanitize
 from ..functions.optimize import bfgs, l_bfgs, nelder_mead
 from ..operators import geometry as G
 from ..plans.derive import CYCLE, SQL, bonds, molecules, table
@@ -73,7 +74,7 @@ def f12_charge_totals(spark, sf_dir):
     def kernel(row):
         mol = M.from_row(row["mol"])
         explicit = M.reveal_hydrogens(mol)
-        M.sanitize(explicit)
+        sanitize(explicit)
         D.gasteiger(explicit)
         yield {"name": mol.name, "total": round(sum(a.pcharge for a in explicit.atoms), 6) + 0.0}
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cif, mol2, pdb, sdf, smiles
 from ..functions.kernels import map_rows
-from ..functions.molecule import SCHEMA, Molecule, from_row, hide_hydrogens, sanitize, to_row
+from ..functions.molecule import SCHEMA, Molecule, from_row, hide_hydrogens, to_row
+from ..functions.perception import sanitize
 
 #: Format name to (how files are split: None for whole files, or the separator; text to molecules).
 READERS: dict[str, tuple[str | None, Callable[[str], Iterator[Molecule]]]] = {}

@@ -9,6 +9,7 @@ from molecast.functions import molecule as M
 from molecast.functions.coordinates import align_shapes, generate_coords, guess_everything
 from molecast.functions.chains import align_chains, best_path
 from molecast.functions.elements import find_element, periodic_table
+from molecast.functions.perception import sanitize
 from molecast.functions.optimize import bfgs, l_bfgs, l_bfgs_b, nelder_mead
 from molecast.functions.smiles import SmilesError, read_smiles, write_smiles
 
@@ -18,9 +19,9 @@ LINES = ["CC", "C#N", "CC(=O)[O-]", "c1ccccc1", "c1ccc2CCCc2c1", "C[C@@H](C(=O)O
 @pytest.mark.parametrize("line", LINES)
 def test_smiles_round_trip(line):
     a = read_smiles(line)
-    assert M.sanitize(a) is None
+    assert sanitize(a) is None
     b = read_smiles(write_smiles(a))
-    assert M.sanitize(b) is None
+    assert sanitize(b) is None
     for f in (lambda m: sorted((x.z, x.impl_h, x.fcharge, x.isotope, x.aromatic, x.hyb) for x in m.atoms), lambda m: sorted(x.bo for x in m.bonds), lambda m: [x.config for x in m.bonds if x.config], lambda m: m.num_sssr):
         assert f(a) == f(b)
 
@@ -56,7 +57,7 @@ def test_rings_of_cubane_and_indole():
 def test_charges():
     def q(line):
         m = read_smiles(line)
-        M.sanitize(m)
+        sanitize(m)
         assert D.gasteiger(m) is None
         return [a.pcharge for a in m.atoms]
 
@@ -66,7 +67,7 @@ def test_charges():
     guanidinium = q("NC(=[NH2+])N.[Cl-]")
     assert guanidinium[0] == pytest.approx(guanidinium[2], abs=1e-6) == pytest.approx(guanidinium[3], abs=1e-6) and guanidinium[4] == pytest.approx(-1)
     iron = read_smiles("C[Fe]")
-    M.sanitize(iron)
+    sanitize(iron)
     assert "charge type" in D.gasteiger(iron)
 
 
@@ -137,7 +138,7 @@ def test_minimisers():
 
 def test_hydrogens_appear_and_hide():
     ethanol = read_smiles("CCO")
-    M.sanitize(ethanol)
+    sanitize(ethanol)
     assert generate_coords(ethanol)
     full = M.reveal_hydrogens(ethanol)
     assert len(full.atoms) == 9 and full.confs[0].shape == (9, 3)
@@ -149,9 +150,9 @@ def test_hydrogens_appear_and_hide():
 @pytest.mark.parametrize("line", ["CCO", "c1ccccc1", "CC(=O)O", "C1CCCCC1", "CC#N"])
 def test_coordinates_give_back_the_bonds(line):
     a = read_smiles(line)
-    M.sanitize(a)
+    sanitize(a)
     a = M.reveal_hydrogens(a)
-    M.sanitize(a)
+    sanitize(a)
     assert generate_coords(a, seed=3)
     b = M.Molecule()
     for x in a.atoms:
@@ -250,7 +251,7 @@ def test_connection_tables():
 
 def test_typed_sections():
     m = read_smiles("CC(=O)[O-]")
-    M.sanitize(m)
+    sanitize(m)
     text = mol2.write_mol2(m)
     assert "O.co2" in text and "C.2" in text
     again = mol2.read_mol2(next(mol2.records("# a comment\n" + text)))
