@@ -13,10 +13,10 @@ from pyspark.sql.types import StructType
 CHUNK = 512
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores. Rows of costly kernels are small, so that splits by bytes would leave most cores idle; what is moved costs less than a kernel's step."""
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def spread(df: DataFrame, bytes_each: int = 4 << 20) -> DataFrame:
+    """Deal rows over tasks of about ``bytes_each`` by the planner's estimate, and at least one to a core. Rows of costly kernels are small, so that the scan's splits would leave most cores idle; what is moved costs less than a kernel's step."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(100_000, -(-size // bytes_each))))
 
 
 def map_rows(df: DataFrame, kernel: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:

@@ -88,27 +88,49 @@ def lens_volume(ra: Column, rb: Column, d: Column) -> Column:
     return F.when(gap <= 0, 0.0).when(d <= F.abs(ra - rb), small * small * small * (4 * math.pi / 3)).otherwise(F.lit(math.pi / 12) * gap * gap * (d + 2 * (ra + rb) - 3 / d * (ra - rb) * (ra - rb)))
 
 
-def surface_area(spheres: DataFrame, lattice: int, key: str = "mol", ident: str = "id", largest: float | None = None) -> DataFrame:
+def surface_area(spheres: DataFrame, lattice: int, key: str = "mol", ident: str = "id", largest: float | None = None, small: int = 256) -> DataFrame:
     """key, ident, open, area of spheres (key, ident, x, y, z, r): the probes of each sphere's lattice that no other sphere of the key holds.
 
-    Spheres that can touch meet by key and cube, as in a range join, so that a large
-    molecule isn't paired with all of itself; each sphere then tests its own probes
-    against the list of its neighbours. ``largest`` is the largest radius, if known.
+    Molecules of up to ``small`` spheres are gathered into a row, and each sphere is tested
+    within it. In larger ones, spheres that can touch meet by key and cube, as in a range
+    join, so that no molecule is paired with all of itself. ``largest`` is the largest
+    radius, if known.
     """
     lattice_points = [(i, math.sqrt(1 - z * z) * math.cos(i * TURN), math.sqrt(1 - z * z) * math.sin(i * TURN), z) for i in range(lattice) for z in ((1 - 1 / lattice) - i * (2 / lattice),)]
     probes = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for _, x, y, z in lattice_points))
-    reach = 2 * (largest if largest is not None else spheres.agg(F.max("r")).first()[0] or 1.0)
     own = spheres.select(key, ident, "x", "y", "z", "r")
-    a, b = cells(own, reach, AROUND).alias("a"), cells(own, reach).alias("b")
-    d = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"]
-    close = F.col("a.r") + F.col("b.r")
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "c0", "c1", "c2")]).filter((F.col(f"a.{ident}") != F.col(f"b.{ident}")) & (dot(d, d) <= close * close))
-    near = met.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{ident}").alias(ident)).agg(F.collect_list(F.struct(*(F.col(f"b.{c}").alias(c) for c in ("x", "y", "z", "r")))).alias("near"))
 
     def blocked(p: Column) -> Column:
         at = {c: F.col(c) + F.col("r") * p[c] for c in "xyz"}
         return F.exists("near", lambda s: sum(((at[c] - s[c]) * (at[c] - s[c]) for c in "yz"), (at["x"] - s["x"]) * (at["x"] - s["x"])) <= s["r"] * s["r"])
 
-    free = F.when(F.col("near").isNull(), lattice).otherwise(F.size(F.filter(probes, lambda p: ~blocked(p))))
-    out = own.join(near, [key, ident], "left").withColumn("open", free)
-    return out.select(key, ident, "open", (F.col("r") * F.col("r") * F.lit(4 * math.pi) * F.col("open") / lattice).alias("area"))
+    def areas(near: DataFrame) -> DataFrame:
+        free = F.when(F.col("near").isNull() | (F.size("near") == 0), lattice).otherwise(F.size(F.filter(probes, lambda p: ~blocked(p))))
+        return near.withColumn("open", free).select(key, ident, "open", (F.col("r") * F.col("r") * F.lit(4 * math.pi) * F.col("open") / lattice).alias("area"))
+
+    def close(a: dict, b: dict) -> Column:
+        d, reach = [a[c] - b[c] for c in "xyz"], a["r"] + b["r"]
+        return dot(d, d) <= reach * reach
+
+    def rows(part: DataFrame) -> DataFrame:
+        each = part.groupBy(key).agg(F.collect_list(F.struct(ident, "x", "y", "z", "r")).alias("all"))
+        one = each.select(key, "all", F.explode("all").alias("s")).select(key, "all", f"s.{ident}", "s.x", "s.y", "s.z", "s.r")
+        near = F.filter("all", lambda o: (o[ident] != F.col(ident)) & close({c: F.col(c) for c in "xyzr"}, o))
+        return areas(one.select(key, ident, "x", "y", "z", "r", near.alias("near")))
+
+    def cubes(part: DataFrame) -> DataFrame:
+        reach = 2 * (largest if largest is not None else part.agg(F.max("r")).first()[0] or 1.0)
+        a, b = cells(part, reach, AROUND).alias("a"), cells(part, reach).alias("b")
+        met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "c0", "c1", "c2")]).filter((F.col(f"a.{ident}") != F.col(f"b.{ident}")) & close({c: F.col(f"a.{c}") for c in "xyzr"}, {c: F.col(f"b.{c}") for c in "xyzr"}))
+        near = met.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{ident}").alias(ident)).agg(F.collect_list(F.struct(*(F.col(f"b.{c}").alias(c) for c in "xyzr"))).alias("near"))
+        return areas(part.join(near, [key, ident], "left"))
+
+    sizes = own.groupBy(F.col(key).alias("__of")).agg(F.count("*").alias("__n"))
+    most = sizes.agg(F.max("__n"), F.min("__n")).first()
+    if (most[0] or 0) <= small:
+        return rows(own)
+    if most[1] > small:
+        return cubes(own)
+    large = sizes.filter(F.col("__n") > small)
+    same = F.col(key) == F.col("__of")
+    return rows(own.join(large, same, "left_anti")).unionByName(cubes(own.join(large, same, "left_semi")))

@@ -8,6 +8,7 @@ nested loop over all pairs.
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -71,12 +72,26 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _levels(df: DataFrame, sizes: list[float], around: bool = False, level: bool = False) -> DataFrame:
+    """Adds level, c0, c1, c2: the cube of each point for each size, or of its own level; with around, also the cubes next to it."""
+    chosen = F.array(*map(F.lit, sizes))
+    df = df if level else df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(sizes) - 1))))
+    own = [F.floor(F.col(c) / F.get(chosen, F.col("level"))) for c in "xyz"]
+    if not around:
+        return df.select(*df.columns, *(c.alias(f"c{i}") for i, c in enumerate(own)))
+    steps = F.array(*(F.struct(*(F.lit(v).alias(f"o{i}") for i, v in enumerate(o))) for o in AROUND))
+    return df.select(*df.columns, F.explode(steps).alias("o")).select(*df.columns, *((c + F.col(f"o.o{i}")).alias(f"c{i}") for i, c in enumerate(own)))
+
+
 def knn_join(query: DataFrame, points: DataFrame, k: int, cutoff: float | None = None, query_id: str = "id", point_id: str = "id") -> DataFrame:
     """q, p, d2, place: the k nearest points of each query, within the cutoff if given; ties go to the smaller id.
 
-    Without a cutoff the cubes start at a size that holds about k points and double;
-    after each round the queries that have k points within the size are done, and only
-    the others go on, until the size spans all points.
+    Without a cutoff each query looks at cubes of a size of its own: the smallest, of
+    halves of the whole extent, whose cube around the query holds so many points that k
+    should be within the size. One pass answers most queries, also where some regions
+    are much denser than others; those with fewer than k points within their size go on
+    with twice the size. Of points at the same place only the k smallest ids matter, so
+    that a crowded place isn't joined with itself.
     """
     if k <= 0:
         return distance_join(query, points, cutoff or 1.0, query_id, point_id).withColumn("place", F.lit(1)).limit(0)
@@ -88,19 +103,30 @@ def knn_join(query: DataFrame, points: DataFrame, k: int, cutoff: float | None =
         return _nearest(distance_join(query, points, 1.0, query_id, point_id), k)
     low = [min(box[f"b{2 * i}"], box[f"q{2 * i}"]) for i in range(3)]
     high = [max(box[f"b{2 * i + 1}"], box[f"q{2 * i + 1}"]) for i in range(3)]
-    sides = [max(h - lo, 1e-9) for lo, h in zip(low, high, strict=True)]
-    whole = sum(s * s for s in sides) ** 0.5 * (1 + 1e-9)
-    size = min(whole, max(max(sides) * 1e-6, (sides[0] * sides[1] * sides[2] * k / box["n"]) ** (1 / 3)))
-    out, left = None, query.select(F.col(query_id).alias("id"), "x", "y", "z")
+    whole = max(sum((h - lo) ** 2 for lo, h in zip(low, high, strict=True)) ** 0.5, 1e-9) * (1 + 1e-9)
+    # Evenly spread points would need this many halves; some more are for denser regions.
+    halves = 5 + max(0, math.ceil(math.log2(max(1.0, box["n"] / k)) / 3))
+    sizes = [whole / 2**j for j in range(halves)]
+    place = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("pid"))
+    p = _named(points, point_id, "p").withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    q = _named(query, query_id, "q")
+    held = _levels(p, sizes)
+    counts = held.groupBy("level", "c0", "c1", "c2").agg(F.count("*").alias("n"))
+    # A ball of a cube's size around a query has about four times the cube's volume.
+    dense = _levels(q, sizes).join(counts, ["level", "c0", "c1", "c2"]).filter(F.col("n") >= max(1.0, k / 2))
+    level = dense.groupBy(F.col("qid").alias("of")).agg(F.max("level").alias("level"))
+    left = cut(q.join(level, F.col("qid").eqNullSafe(F.col("of")), "left").select("qid", "x", "y", "z", F.coalesce("level", F.lit(0)).alias("level")), "queries")
+    limit = F.get(F.array(*(F.lit(s * s) for s in sizes)), F.col("a.level"))
+    out = None
     while True:
-        found = _nearest(distance_join(left, points, size, "id", point_id), k)
-        if size >= whole:
-            return found if out is None else out.unionByName(found)
-        found = cut(found, "nearest")
-        done = found.filter(F.col("place") == k).select(F.col("q").alias("id"))
-        ready = found.join(done.withColumnRenamed("id", "q"), "q", "left_semi").select(*found.columns)
+        a, b = _levels(left, sizes, around=True, level=True).alias("a"), held.alias("b")
+        met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("level", "c0", "c1", "c2")])
+        near = met.select(F.col("qid").alias("q"), F.col("pid").alias("p"), _distance("a", "b").alias("d2"), F.col("a.level").alias("level"), limit.alias("most")).filter(F.col("d2") <= F.col("most"))
+        found = cut(_nearest(near.drop("most"), k), "nearest")
+        # Level 0 spans everything, so its queries are done with what they have.
+        done = found.filter((F.col("place") == k) | (F.col("level") == 0)).select(F.col("q").alias("of")).distinct()
+        ready = found.join(done, F.col("q").eqNullSafe(F.col("of")), "left_semi").select("q", "p", "d2", "place")
         out = ready if out is None else out.unionByName(ready)
-        left = cut(left.join(done, "id", "left_anti"), "unmet")
+        left = cut(left.join(done, F.col("qid").eqNullSafe(F.col("of")), "left_anti").filter("level > 0").withColumn("level", F.col("level") - 1), "unmet")
         if left.isEmpty():
             return out
-        size = min(2 * size, whole)
