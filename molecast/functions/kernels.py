@@ -14,8 +14,9 @@ CHUNK = 512
 
 
 def spread(df: DataFrame, bytes_each: int = 4 << 20) -> DataFrame:
-    """Deal rows over tasks of about ``bytes_each`` by the planner's estimate, and at least one to a core. Rows of costly kernels are small, so that the scan's splits would leave most cores idle; what is moved costs less than a kernel's step."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Deal rows over tasks of about ``bytes_each`` of what the plan reads, and at least one to a core. Rows of costly kernels are small, so that the scan's splits would leave most cores idle; what is moved costs less than a kernel's step."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # a join's own estimate is the product of its sides
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(100_000, -(-size // bytes_each))))
 
 

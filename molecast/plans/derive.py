@@ -6,7 +6,7 @@ one conformer is derived within its row, so that no derivation shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bonds join atoms at most this far apart.
@@ -51,6 +51,22 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.select("vec_id", "src", "dst", (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"))
 
 
+def bonded(spark: SparkSession, sf_dir: str, cutoff: float = BOND) -> DataFrame:
+    """vec_id, atoms, bonds array<struct<src, dst>>: conformers with their bonds, found within the row."""
+    last = F.size("atoms") - 1
+
+    def near(i: Column) -> Column:
+        a = F.get("atoms", i)
+
+        def close(j: Column) -> Column:
+            d = [a[c] - F.get("atoms", j)[c] for c in "xyz"]
+            return d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= cutoff * cutoff
+
+        return F.transform(F.filter(F.sequence(i + 1, last), close), lambda j: F.struct(i.alias("src"), j.alias("dst")))
+
+    return molecules(spark, sf_dir).select("vec_id", "atoms", F.flatten(F.transform(F.sequence(F.lit(0), last - 1), near)).alias("bonds"))
+
+
 def bonds(spark: SparkSession, sf_dir: str, cutoff: float = BOND) -> DataFrame:
     """vec_id, src, dst, d2 of the pairs within the cutoff."""
     return pairs(spark, sf_dir).filter(F.col("d2") <= cutoff * cutoff)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,13 +13,14 @@ from ..functions import coordinates as X
 from ..functions import descriptors as D
 from ..functions import molecule as M
 from ..functions import pdb as P
+from ..functions import sdf
 from ..functions.chains import align_chains
 from ..functions.elements import periodic_table
 from ..functions.kernels import map_rows, spread
+from ..functions.optimize import bfgs, l_bfgs_b, nelder_mead
 from ..functions.perception import sanitize
-from ..functions.optimize import bfgs, l_bfgs, nelder_mead
 from ..operators import geometry as G
-from ..plans.derive import CYCLE, SQL, bonds, molecules, table
+from ..plans.derive import CYCLE, SQL, bonded, molecules, table
 from ..sources import mmcif as C
 from ..sources.molecules import format_column, parse_column
 from . import query
@@ -33,11 +35,20 @@ CORPUS = (
     ("C%12CCCCC%12 cyclohexane", 6, 6, 12, 1, 0, 0), ("OS(=O)(=S)O thiosulfate", 5, 4, 2, 0, 0, 0), ("c1cc[nH]c1 pyrrole", 5, 5, 5, 1, 5, 0), ("c1ccsc1 thiophene", 5, 5, 4, 1, 5, 0), ("NC(=[NH2+])N.[Cl-] guanidinium chloride", 5, 3, 6, 0, 0, 0),
     ("c1ccc2ccccc2c1 naphthalene", 10, 11, 8, 2, 10, 0), ("Cn1cnc2c1c(=O)n(C)c(=O)n2C caffeine", 14, 15, 10, 2, 9, 0), ("C12C3C4C1C5C2C3C45 cubane", 8, 12, 8, 5, 0, 0), ("[N+](=O)([O-])c1ccccc1 nitrobenzene", 9, 9, 5, 1, 6, 0), ("C1CCCC2C1CCCC2 decalin", 10, 11, 18, 2, 0, 0),
 )
-FACTS = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in CORPUS)
+FACTS = ", ".join(f"({i}, " + ", ".join(str(v) for v in row[1:]) + ")" for i, row in enumerate(CORPUS))
+#: A line for each part: two of the lines above, by its key, and a chain. Facts of separate molecules add up.
+LINES = f"""facts(i, atoms, bonds, hydrogens, rings, aromatic, charge) AS (VALUES {FACTS}),
+chains AS (SELECT p_partkey AS key, p_partkey % 20 AS i, (p_partkey // 20) % 20 AS j, 1 + p_partkey % 7 AS c FROM part),
+lines AS (SELECT key, 'part ' || key AS name, a.atoms + b.atoms + c AS atoms, a.bonds + b.bonds + c - 1 AS bonds, a.hydrogens + b.hydrogens + 2 * c + 2 AS hydrogens, a.rings + b.rings AS rings, a.aromatic + b.aromatic AS aromatic, a.charge + b.charge AS charge, a.i AS first, b.i AS second
+ FROM chains JOIN facts a ON a.i = chains.i JOIN facts b ON b.i = chains.j)"""
 
 
-def corpus(spark):
-    return spark.createDataFrame([(row[0],) for row in CORPUS], "line string")
+def corpus(spark, sf_dir):
+    """key, line: a line for each part."""
+    known = F.array(*(F.lit(row[0].split()[0]) for row in CORPUS))
+    key = F.col("p_partkey")
+    line = F.concat(F.get(known, (key % 20).cast("int")), F.lit("."), F.get(known, F.floor(key / 20).cast("int") % 20), F.lit("."), F.repeat(F.lit("C"), (1 + key % 7).cast("int")), F.lit(" part "), key.cast("string"))
+    return table(spark, sf_dir, "part").select(key.alias("key"), line.alias("line"))
 
 
 def facts(df):
@@ -48,50 +59,62 @@ def facts(df):
     return df.select(*df.columns[:-2], F.col("mol.name").alias("name"), F.size(a).alias("atoms"), F.size("mol.bonds").alias("bonds"), h.alias("hydrogens"), (F.size("mol.bonds") - F.size(a) + F.col("mol.num_fragments")).alias("rings"), F.size(F.filter(a, lambda x: x["aromatic"])).alias("aromatic"), total.alias("charge"))
 
 
-@query(f"SELECT line, substr(line, strpos(line, ' ') + 1) AS name, atoms, bonds, hydrogens, rings, aromatic, charge FROM (VALUES {FACTS}) t(line, atoms, bonds, hydrogens, rings, aromatic, charge)")
+FACT_COLUMNS = "name, atoms, bonds, hydrogens, rings, aromatic, charge"
+
+
+@query(f"WITH {LINES} SELECT key, {FACT_COLUMNS} FROM lines")
 def a6_read_smiles(spark, sf_dir):
     """Lines parsed and sanitised (also F1 to F5)."""
-    return facts(parse_column(corpus(spark), "smi", "line", "line string"))
+    return facts(parse_column(corpus(spark, sf_dir), "smi", "line", "key long"))
 
 
-@query(f"SELECT substr(line, strpos(line, ' ') + 1) AS name, atoms, bonds, hydrogens, rings, aromatic, charge FROM (VALUES {FACTS}) t(line, atoms, bonds, hydrogens, rings, aromatic, charge)")
+@query(f"WITH {LINES} SELECT key, {FACT_COLUMNS} FROM lines")
 def b1_write_smiles(spark, sf_dir):
     """Lines parsed, written, and parsed again."""
-    text = format_column(parse_column(corpus(spark), "smi", "line"), "smi")
-    return facts(parse_column(text, "smi", "value"))
+    text = format_column(parse_column(corpus(spark, sf_dir), "smi", "line", "key long"), "smi", keep="key long")
+    return facts(parse_column(text, "smi", "value", "key long"))
 
 
-@query(f"SELECT substr(line, strpos(line, ' ') + 1) AS name, atoms, bonds, hydrogens, rings, aromatic, charge FROM (VALUES {FACTS}) t(line, atoms, bonds, hydrogens, rings, aromatic, charge) WHERE line LIKE '%c1ccccc1%' OR line LIKE 'C%'")
+@query(f"WITH {LINES} SELECT key, {FACT_COLUMNS} FROM lines")
 def b2_sdf_of_smiles(spark, sf_dir):
     """Lines parsed, written as connection tables, and read."""
-    own = parse_column(corpus(spark).filter("line LIKE '%c1ccccc1%' OR line LIKE 'C%'"), "smi", "line")
-    return facts(parse_column(format_column(own, "sdf"), "sdf", "value"))
+    own = parse_column(corpus(spark, sf_dir), "smi", "line", "key long")
+    return facts(parse_column(format_column(own, "sdf", keep="key long"), "sdf", "value", "key long"))
+
+
+@query(f"WITH {LINES} SELECT key, {FACT_COLUMNS} FROM lines")
+def a9_extended_tables(spark, sf_dir):
+    """Lines parsed, written as extended connection tables, and read."""
+    def kernel(row):
+        yield {"key": row["key"], "value": sdf.write_sdf(M.from_row(row["mol"]), version=3000)}
+
+    own = map_rows(parse_column(corpus(spark, sf_dir), "smi", "line", "key long").select("key", "mol"), kernel, "key long, value string")
+    return facts(parse_column(own, "sdf", "value", "key long"))
 
 
-@query(f"SELECT substr(line, strpos(line, ' ') + 1) AS name, round(CAST(charge AS DOUBLE), 6) AS total FROM (VALUES {FACTS}) t(line, atoms, bonds, hydrogens, rings, aromatic, charge) WHERE line NOT LIKE '%Na%'")
+@query(f"WITH {LINES} SELECT key, round(CAST(charge AS DOUBLE), 5) AS total FROM lines")
 def f12_charge_totals(spark, sf_dir):
-    """Partial charges of atoms with those of their implicit hydrogens add up to the formal charge; here they do once hydrogens are atoms of their own."""
+    """Partial charges add up to the formal charge, once hydrogens are atoms of their own; without a type for some atom there is no total."""
     def kernel(row):
         mol = M.from_row(row["mol"])
         explicit = M.reveal_hydrogens(mol)
         sanitize(explicit)
-        D.gasteiger(explicit)
-        yield {"name": mol.name, "total": round(sum(a.pcharge for a in explicit.atoms), 6) + 0.0}
+        failed = D.gasteiger(explicit)
+        yield {"key": row["key"], "total": None if failed else round(sum(a.pcharge for a in explicit.atoms), 5) + 0.0}
 
-    return map_rows(parse_column(corpus(spark).filter("line NOT LIKE '%Na%'"), "smi", "line").select("mol"), kernel, "name string, total double")
+    return map_rows(parse_column(corpus(spark, sf_dir), "smi", "line", "key long").select("key", "mol"), kernel, "key long, total double")
 
 
 def drawn(spark, sf_dir):
     """vec_id, mol: the derived conformers as molecules, with coordinates 12 times as large, their bonds, and one residue."""
-    own = bonds(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("bonds"))
-    rows = spread(molecules(spark, sf_dir).join(own, "vec_id", "left"))
+    rows = spread(bonded(spark, sf_dir))
 
     def kernel(row):
         mol = M.Molecule()
         mol.name = f"conformer {row['vec_id']}"
         for i in range(len(row["atoms"])):
             mol.add_atom(M.Atom(CYCLE[(i + row["vec_id"]) % 5]))
-        for b in row["bonds"] or ():
+        for b in row["bonds"]:
             mol.add_bond(b["src"], b["dst"])
         mol.confs = [12 * np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])]
         mol.subs = [{"name": "LIG", "id": row["vec_id"] % 1000, "category": 1, "atom_ids": list(range(len(mol.atoms))), "props": {"chain": "A"}}]
@@ -145,11 +168,23 @@ def a15_pdb_model(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier")
 def a10_sdf_items(spark, sf_dir):
-    """Suppliers written as data items and read back; built-in expressions only."""
-    text = table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("> <NAME>\n%s\n\n> <NATION>\n%s\n\n$$$$\n", "s_name", F.col("s_nationkey").cast("string")).alias("text"))
-    keys, values = F.regexp_extract_all("text", F.lit(r">\s*<([^>]+)>\n((?:.+\n)*)"), 1), F.regexp_extract_all("text", F.lit(r">\s*<([^>]+)>\n((?:.+\n)*)"), 2)
-    items = text.select("s_suppkey", F.map_from_arrays(keys, F.transform(values, lambda v: F.rtrim(v, F.lit("\n")))).alias("m"))
-    return items.select("s_suppkey", F.element_at("m", "NAME").alias("name"), F.element_at("m", "NATION").alias("nation"))
+    """Suppliers written as data items and read back by the reader's own function."""
+    def kernel(row):
+        found = sdf.data_items(row["text"].splitlines())
+        yield {"s_suppkey": row["s_suppkey"], "name": found.get("NAME"), "nation": found.get("NATION")}
+
+    text = table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("> 12 <NAME> (x)\n%s\n\n>  <NATION>\n%s\n\n$$$$\n", "s_name", F.col("s_nationkey").cast("string")).alias("text"))
+    return map_rows(text, kernel, "s_suppkey long, name string, nation string")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'no' ELSE 'yes' END AS flag, lpad(CAST(s_nationkey AS VARCHAR), 4, '0') AS code, printf('%.2f', s_acctbal) AS amount, CASE WHEN s_nationkey = 0 THEN '?' ELSE CAST(s_nationkey AS VARCHAR) END AS maybe FROM supplier""")
+def b7_format_scalars(spark, sf_dir):
+    """Flags, zero-padded whole numbers, fixed decimals and what is missing, as dictionary files spell them, by the writer's own function."""
+    def kernel(row):
+        amount, code = float(row["s_acctbal"]), int(row["s_nationkey"])
+        yield {"s_suppkey": row["s_suppkey"], "flag": cif.format_value(amount >= 0), "code": cif.format_value(code, width=4), "amount": cif.format_value(amount, precision=2), "maybe": cif.format_value(code or None)}
+
+    return map_rows(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey"), kernel, "s_suppkey long, flag string, code string, amount string, maybe string")
 
 
 def nation_text(spark, sf_dir):
@@ -179,11 +214,12 @@ def a18_prefix_search(spark, sf_dir):
 @query(r"""SELECT p_partkey, CASE WHEN v = '' THEN '''''' WHEN v IN ('?', '.') OR regexp_matches(v, '\s') OR regexp_full_match(v, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?(\(\d+\))?') OR regexp_matches(v, '^[_#$''"\[\];]') THEN '''' || v || '''' ELSE v END AS quoted
  FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN '_' || p_brand ELSE replace(p_type, ' ', '-') END AS v FROM part)""")
 def b6_quote_values(spark, sf_dir):
-    """Values with the quotes that a dictionary file needs; built-in expressions only."""
+    """Values with the quotes that a dictionary file needs, by the writer's own function."""
+    def kernel(row):
+        yield {"p_partkey": row["p_partkey"], "quoted": cif.quote(row["v"])}
+
     v = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, F.col("p_size").cast("string")).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("_"), "p_brand")).otherwise(F.replace("p_type", F.lit(" "), F.lit("-")))
-    own = table(spark, sf_dir, "part").select("p_partkey", v.alias("v"))
-    needs = F.col("v").isin("?", ".") | F.col("v").rlike(r"\s") | F.col("v").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?(\(\d+\))?$") | F.col("v").rlike(r"""^[_#$'"\[\];]""")
-    return own.select("p_partkey", F.when(F.col("v") == "", "''").when(needs, F.concat(F.lit("'"), "v", F.lit("'"))).otherwise(F.col("v")).alias("quoted"))
+    return map_rows(table(spark, sf_dir, "part").select("p_partkey", v.alias("v")), kernel, "p_partkey long, quoted string")
 
 
 RINGS = WITH + """, cut AS (WITH RECURSIVE r(vec_id, s, d, u) AS (SELECT vec_id, src, dst, src FROM bonds UNION SELECT r.vec_id, r.s, r.d, e.dst FROM r JOIN both_ways e ON e.vec_id = r.vec_id AND e.src = r.u AND NOT (e.src = r.s AND e.dst = r.d) AND NOT (e.src = r.d AND e.dst = r.s)) SELECT DISTINCT vec_id, s, d FROM r WHERE u = d)"""
@@ -203,15 +239,27 @@ def rings(spark, sf_dir, finder, schema, **options):
     return map_rows(drawn(spark, sf_dir), kernel, schema)
 
 
-@query(WITH + """ SELECT vec_id, count(*) AS rings FROM (SELECT a.vec_id, a.src, a.dst, b.dst AS c FROM bonds a JOIN bonds b ON b.vec_id = a.vec_id AND b.src = a.dst JOIN bonds c ON c.vec_id = a.vec_id AND c.src = a.src AND c.dst = b.dst
- UNION ALL SELECT a.vec_id, a.src, a.dst, c.dst FROM both_ways a JOIN both_ways b ON b.vec_id = a.vec_id AND b.src = a.dst AND b.dst > a.src JOIN both_ways c ON c.vec_id = a.vec_id AND c.src = b.dst AND c.dst > a.dst AND c.dst > a.src JOIN both_ways d ON d.vec_id = a.vec_id AND d.src = c.dst AND d.dst = a.src WHERE a.dst > a.src) GROUP BY 1""")
+@query(WITH + """, walk AS (WITH RECURSIVE w(vec_id, first, tip, path) AS (SELECT vec_id, src, dst, [src, dst] FROM both_ways WHERE dst > src
+  UNION ALL SELECT w.vec_id, w.first, e.dst, list_append(w.path, e.dst) FROM w JOIN both_ways e ON e.vec_id = w.vec_id AND e.src = w.tip WHERE e.dst > w.first AND NOT list_contains(w.path, e.dst) AND len(w.path) < 6) SELECT * FROM w)
+ SELECT w.vec_id, len(path) AS size, count(*) // 2 AS rings FROM walk w JOIN both_ways e ON e.vec_id = w.vec_id AND e.src = w.tip AND e.dst = w.first WHERE len(path) > 2 GROUP BY 1, 2""")
+def e6_small_rings(spark, sf_dir):
+    """Simple rings of up to six atoms, by size."""
+    def find(vec_id, mol):
+        sizes = Counter(len(r) for r in M.all_rings(mol, 6, most=10**9)[0])
+        for size, n in sizes.items():
+            yield {"vec_id": vec_id, "size": size, "rings": n}
+
+    return rings(spark, sf_dir, find, "vec_id long, size long, rings long")
+
+
+@query()
 def e6_all_rings(spark, sf_dir):
-    """Rings of three and four atoms."""
+    """Simple rings of any size, where no atom is in more than the usual limit of a hundred; whole tells whether that is so."""
     def find(vec_id, mol):
-        if found := M.all_rings(mol, 4, most=10**9)[0]:
-            yield {"vec_id": vec_id, "rings": len(found)}
+        found, whole = M.all_rings(mol)
+        yield {"vec_id": vec_id, "whole": whole, "rings": len(found) if whole else None}
 
-    return rings(spark, sf_dir, find, "vec_id long, rings long")
+    return rings(spark, sf_dir, find, "vec_id long, whole boolean, rings long")
 
 
 @query(WITH + """, parts AS (SELECT vec_id, count(*) AS m FROM bonds GROUP BY 1),
@@ -227,27 +275,28 @@ def e7_relevant_rings(spark, sf_dir):
     return rings(spark, sf_dir, lambda v, mol: [{"vec_id": v, "size": len(r), "ring": r} for r in M.relevant_rings(mol)], "vec_id long, size int, ring array<int>")
 
 
-@query(WITH + " SELECT vec_id, 0.0::DOUBLE AS miss FROM embeddings")
+@query(WITH + " SELECT vec_id, round(sum(sqrt(d2)), 5) AS total, round(max(d2), 5) AS widest, round(sum(d2 * src), 5) AS weighed FROM pairs GROUP BY 1")
 def g7_embed_distances(spark, sf_dir):
-    """Conformers rebuilt from their distances have the same distances."""
+    """Conformers rebuilt from their distances alone: sums over the pairs of the new coordinates."""
     def kernel(row):
         x = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
-        d2 = np.square(x[:, None] - x[None]).sum(2)
-        y = D.embed_distances(d2)
-        yield {"vec_id": row["vec_id"], "miss": round(float(np.abs(np.square(y[:, None] - y[None]).sum(2) - d2).max()), 6) + 0.0}
+        y = D.embed_distances(np.square(x[:, None] - x[None]).sum(2))
+        i, j = np.triu_indices(len(y), 1)
+        d2 = np.square(y[i] - y[j]).sum(1)
+        yield {"vec_id": row["vec_id"], "total": round(float(np.sqrt(d2).sum()), 5), "widest": round(float(d2.max()), 5), "weighed": round(float((d2 * i).sum()), 5)}
 
-    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, miss double")
+    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, total double, widest double, weighed double")
 
 
 @query(WITH + ", " + ELEMENTS + f""", s AS (SELECT vec_id, atom_id, 12 * x AS x, 12 * y AS y, 12 * z AS z, rvdw + 1.4 AS r FROM atoms JOIN el ON el.num = elem),
- l AS (SELECT sqrt(1 - z * z) * cos(i * {G.TURN!r}) AS px, sqrt(1 - z * z) * sin(i * {G.TURN!r}) AS py, z AS pz FROM (SELECT i, {1 - 1 / 24!r}::DOUBLE - i * {2 / 24!r}::DOUBLE AS z FROM range(24) t(i)))
- SELECT s.vec_id, s.atom_id, round({4 * math.pi!r} * any_value(s.r) * any_value(s.r) * count(*) FILTER (NOT EXISTS (SELECT 1 FROM s o WHERE o.vec_id = s.vec_id AND o.atom_id <> s.atom_id AND (s.x + s.r * px - o.x) * (s.x + s.r * px - o.x) + (s.y + s.r * py - o.y) * (s.y + s.r * py - o.y) + (s.z + s.r * pz - o.z) * (s.z + s.r * pz - o.z) <= o.r * o.r)) / 24, 4) AS area FROM s, l GROUP BY 1, 2""")
+ l AS (SELECT sqrt(1 - z * z) * cos(i * {G.TURN!r}) AS px, sqrt(1 - z * z) * sin(i * {G.TURN!r}) AS py, z AS pz FROM (SELECT i, {1 - 1 / 92!r}::DOUBLE - i * {2 / 92!r}::DOUBLE AS z FROM range(92) t(i)))
+ SELECT s.vec_id, s.atom_id, round({4 * math.pi!r} * any_value(s.r) * any_value(s.r) * count(*) FILTER (NOT EXISTS (SELECT 1 FROM s o WHERE o.vec_id = s.vec_id AND o.atom_id <> s.atom_id AND (s.x + s.r * px - o.x) * (s.x + s.r * px - o.x) + (s.y + s.r * py - o.y) * (s.y + s.r * py - o.y) + (s.z + s.r * pz - o.z) * (s.z + s.r * pz - o.z) <= o.r * o.r)) / 92, 4) AS area FROM s, l GROUP BY 1, 2""")
 def l3_surface_area(spark, sf_dir):
     """Surface area of the atoms, by the kernel."""
     def kernel(row):
         x = 12 * np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
         r = np.array([periodic_table()[CYCLE[(i + row["vec_id"]) % 5]].vdw_radius for i in range(len(x))])
-        for i, area in enumerate(D.surface_area(x, r, 24)):
+        for i, area in enumerate(D.surface_area(x, r)):
             yield {"vec_id": row["vec_id"], "atom_id": i, "area": round(float(area), 4)}
 
     return map_rows(spread(molecules(spark, sf_dir)), kernel, "vec_id long, atom_id int, area double")
@@ -263,13 +312,26 @@ def arrays(row):
     return [np.array([[a["x"], a["y"], a["z"]] for a in row[c]]) for c in ("atoms", "other")]
 
 
-@query()
+#: Kabsch's least deviation of each conformer from the next one, by the singular values of their covariance in closed form.
+LEAST = WITH + """, duo AS (SELECT a.vec_id, a.x AS x, a.y AS y, a.z AS z, b.x AS u, b.y AS v, b.z AS w FROM conformers a JOIN conformers b ON b.vec_id = a.vec_id + 1 AND b.atom_id = a.atom_id),
+mid AS (SELECT *, avg(x) OVER p AS mx, avg(y) OVER p AS my, avg(z) OVER p AS mz, avg(u) OVER p AS mu, avg(v) OVER p AS mv, avg(w) OVER p AS mw FROM duo WINDOW p AS (PARTITION BY vec_id)),
+cov AS (SELECT vec_id, count(*) AS n, sum((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz) + (u - mu) * (u - mu) + (v - mv) * (v - mv) + (w - mw) * (w - mw)) AS g,
+ sum((x - mx) * (u - mu)) AS a, sum((x - mx) * (v - mv)) AS b, sum((x - mx) * (w - mw)) AS c, sum((y - my) * (u - mu)) AS d, sum((y - my) * (v - mv)) AS e, sum((y - my) * (w - mw)) AS f, sum((z - mz) * (u - mu)) AS h, sum((z - mz) * (v - mv)) AS i, sum((z - mz) * (w - mw)) AS j FROM mid GROUP BY 1),
+sq AS (SELECT *, a * (e * j - f * i) - b * (d * j - f * h) + c * (d * i - e * h) AS det, a * a + d * d + h * h AS p, b * b + e * e + i * i AS q, c * c + f * f + j * j AS r, a * b + d * e + h * i AS s, a * c + d * f + h * j AS t, b * c + e * f + i * j AS k FROM cov),
+eig AS (SELECT *, (p + q + r) / 3 AS m, sqrt(((p - (p + q + r) / 3) ** 2 + (q - (p + q + r) / 3) ** 2 + (r - (p + q + r) / 3) ** 2 + 2 * (s * s + t * t + k * k)) / 6) AS o FROM sq),
+ang AS (SELECT *, acos(greatest(-1, least(1, ((p - m) * ((q - m) * (r - m) - k * k) - s * (s * (r - m) - k * t) + t * (s * k - (q - m) * t)) / (2 * o * o * o)))) / 3 AS phi FROM eig),
+least_ AS (SELECT vec_id, round(sqrt(greatest(0, g - 2 * (sqrt(greatest(0, m + 2 * o * cos(phi))) + sqrt(greatest(0, m + 2 * o * cos(phi + 4 * pi() / 3))) + sign(det) * sqrt(greatest(0, m + 2 * o * cos(phi + 2 * pi() / 3))))) / n), 5) AS rmsd FROM ang)"""
+
+
+@query(LEAST + " SELECT vec_id, rmsd, rmsd AS moved FROM least_")
 def l1_superpose(spark, sf_dir):
+    """The least deviation of each conformer from the next one, as told, and as measured after the turn."""
     def kernel(row):
-        m, rmsd = D.superpose(*arrays(row))
-        yield {"vec_id": row["vec_id"], "rmsd": round(rmsd, 6), "turn": [round(float(v), 6) for v in m.ravel()]}
+        q, t = arrays(row)
+        m, rmsd = D.superpose(q, t)
+        yield {"vec_id": row["vec_id"], "rmsd": round(rmsd, 5) + 0.0, "moved": round(float(np.sqrt(np.square(D.move(m, q) - t).sum(1).mean())), 5) + 0.0}
 
-    return map_rows(next_pairs(spark, sf_dir), kernel, "vec_id long, rmsd double, turn array<double>")
+    return map_rows(next_pairs(spark, sf_dir), kernel, "vec_id long, rmsd double, moved double")
 
 
 @query()
@@ -328,61 +390,80 @@ def f8_guess_bonds(spark, sf_dir):
     return map_rows(drawn(spark, sf_dir), kernel, "vec_id long, src int, dst int")
 
 
-@query(f"SELECT substr(line, strpos(line, ' ') + 1) AS name, bonds, true AS found FROM (VALUES {FACTS}) t(line, atoms, bonds, hydrogens, rings, aromatic, charge) WHERE line LIKE '%acetate' OR line LIKE '%benzene' OR line LIKE '%indane' OR line LIKE '%hexane'")
+@query(f"WITH facts(i, atoms, bonds, hydrogens, rings, aromatic, charge) AS (VALUES {FACTS}) SELECT n_nationkey AS key, bonds, bonds AS found FROM nation JOIN facts ON i = n_nationkey % 20")
 def f13_coordinates(spark, sf_dir):
-    """Coordinates made from bonds, and the bonds (without hydrogens) found again from these (F9, F10, F13)."""
+    """Coordinates made from the bonds of a line, and how many of the bonds (without hydrogens) are found again from these (F9, F10, F13)."""
     def kernel(row):
         mol = M.from_row(row["mol"])
-        X.generate_coords(mol)
-        bare = M.Molecule()
-        for a in mol.atoms:
-            bare.add_atom(M.Atom(a.z))
-        bare.confs = mol.confs
-        X.guess_everything(bare, slack=0.3)
-        ends = [{(min(b.src, b.dst), max(b.src, b.dst)) for b in m.bonds} for m in (mol, bare)]
-        yield {"name": mol.name, "bonds": len(mol.bonds), "found": ends[0] == ends[1]}
-
-    own = corpus(spark).filter("line LIKE '%acetate' OR line LIKE '%benzene' OR line LIKE '%indane' OR line LIKE '%hexane'")
-    return map_rows(parse_column(own, "smi", "line").select("mol"), kernel, "name string, bonds int, found boolean")
-
-
-@query(f"SELECT substr(line, strpos(line, ' ') + 1) AS name, atoms + hydrogens AS shown, hydrogens AS hidden FROM (VALUES {FACTS}) t(line, atoms, bonds, hydrogens, rings, aromatic, charge)")
+        found = set()
+        if X.generate_coords(mol):
+            bare = M.Molecule()
+            for a in mol.atoms:
+                bare.add_atom(M.Atom(a.z))
+            bare.confs = mol.confs
+            X.guess_everything(bare, slack=0.3)
+            found = {(min(b.src, b.dst), max(b.src, b.dst)) for b in bare.bonds}
+        yield {"key": row["key"], "bonds": len(mol.bonds), "found": len(found & {(min(b.src, b.dst), max(b.src, b.dst)) for b in mol.bonds}) if len(found) == len(mol.bonds) else None}
+
+    known = F.array(*(F.lit(r[0]) for r in CORPUS))
+    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.get(known, (F.col("n_nationkey") % 20).cast("int")).alias("line"))
+    return map_rows(parse_column(own, "smi", "line", "key long").select("key", "mol"), kernel, "key long, bonds int, found int")
+
+
+@query(f"WITH {LINES} SELECT key, atoms + hydrogens AS shown, hydrogens AS hidden FROM lines")
 def f6_hydrogens(spark, sf_dir):
     """Implicit hydrogens made atoms, and atoms made implicit again (F6, F7)."""
     def kernel(row):
         full = M.reveal_hydrogens(M.from_row(row["mol"]))
         shown = len(full.atoms)
-        yield {"name": full.name, "shown": shown, "hidden": sum(a.impl_h for a in M.hide_hydrogens(full).atoms)}
+        yield {"key": row["key"], "shown": shown, "hidden": sum(a.impl_h for a in M.hide_hydrogens(full).atoms)}
+
+    return map_rows(parse_column(corpus(spark, sf_dir), "smi", "line", "key long").select("key", "mol"), kernel, "key long, shown int, hidden int")
+
 
-    return map_rows(parse_column(corpus(spark), "smi", "line").select("mol"), kernel, "name string, shown int, hidden int")
+TURNED = 37.0
 
 
-@query(WITH + " SELECT vec_id, 0.0::DOUBLE AS miss FROM embeddings")
+@query(WITH + f""", axis AS (SELECT a.vec_id, b.x AS px, b.y AS py, b.z AS pz, (b.x - a.x) / l AS ux, (b.y - a.y) / l AS uy, (b.z - a.z) / l AS uz FROM (SELECT a.vec_id, sqrt({'(a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2'}) AS l FROM conformers a JOIN conformers b USING (vec_id) WHERE a.atom_id = 9 AND b.atom_id = 10) n JOIN conformers a USING (vec_id) JOIN conformers b USING (vec_id) WHERE a.atom_id = 9 AND b.atom_id = 10),
+ v AS (SELECT c.vec_id, c.atom_id, px, py, pz, ux, uy, uz, c.x - px AS x, c.y - py AS y, c.z - pz AS z, ux * (c.x - px) + uy * (c.y - py) + uz * (c.z - pz) AS d, CASE WHEN atom_id > 10 THEN radians({TURNED}::DOUBLE) ELSE 0 END AS t FROM conformers c JOIN axis USING (vec_id))
+ SELECT vec_id, atom_id, round(px + x * cos(t) + (uy * z - uz * y) * sin(t) + ux * d * (1 - cos(t)), 5) AS x, round(py + y * cos(t) + (uz * x - ux * z) * sin(t) + uy * d * (1 - cos(t)), 5) AS y, round(pz + z * cos(t) + (ux * y - uy * x) * sin(t) + uz * d * (1 - cos(t)), 5) AS z FROM v""")
 def g6_rotate_bonds(spark, sf_dir):
-    """A conformer's chain turned by a full circle in four steps is as before."""
+    """Conformers as chains, their second half turned by an angle around the bond in the middle."""
     def kernel(row):
         mol = M.Molecule()
         for i in range(len(row["atoms"])):
             mol.add_atom(M.Atom(6))
         for i in range(len(row["atoms"]) - 1):
             mol.add_bond(i, i + 1)
-        x = y = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
-        for _ in range(4):
-            y = D.rotate_bond(mol.finish(), y, 9, 10, 90)
-        yield {"vec_id": row["vec_id"], "miss": round(float(np.abs(x - y).max()), 6) + 0.0}
+        x = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
+        for i, p in enumerate(D.rotate_bond(mol.finish(), x, 9, 10, TURNED)):
+            yield {"vec_id": row["vec_id"], "atom_id": i, **{c: round(float(v), 5) + 0.0 for c, v in zip("xyz", p, strict=True)}}
 
-    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, miss double")
+    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, atom_id int, x double, y double, z double")
 
 
-@query(WITH + " SELECT vec_id, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM conformers GROUP BY 1")
-def m1_minimise(spark, sf_dir):
-    """The point with the least squared distances to a conformer's atoms, by the quasi-Newton minimiser: their mean."""
+def valley(a: float):
+    """A curved valley with its end at (a, a^2)."""
+    def f(p):
+        x, y = p
+        return float((a - x) ** 2 + 100 * (y - x * x) ** 2), np.array([-2 * (a - x) - 400 * x * (y - x * x), 200 * (y - x * x)])
+
+    return f
+
+
+def ends(spark, sf_dir, minimise, digits=4):
+    """Where a minimiser ends in the valley of each conformer's first coordinate."""
     def kernel(row):
-        at = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
-        found = l_bfgs(lambda p: (float(np.square(at - p).sum()), 2 * (len(at) * p - at.sum(0))), np.zeros(3), tolerance=1e-9)
-        yield {"vec_id": row["vec_id"], **{c: round(float(v), 4) + 0.0 for c, v in zip("xyz", found.x, strict=True)}}
+        x, y = minimise(5 * row["atoms"][0]["x"])
+        yield {"vec_id": row["vec_id"], "x": round(float(x), digits) + 0.0, "y": round(float(y), digits) + 0.0}
 
-    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, x double, y double, z double")
+    return map_rows(spread(molecules(spark, sf_dir)), kernel, "vec_id long, x double, y double")
+
+
+@query(WITH + " SELECT vec_id, round(least(5 * x, 0.25), 4) AS x, round(least(5 * x, 0.25) ** 2, 4) AS y FROM points")
+def m1_minimise(spark, sf_dir):
+    """The end of a curved valley, by the quasi-Newton minimiser; a bound keeps it from many of them."""
+    return ends(spark, sf_dir, lambda a: l_bfgs_b(valley(a), np.array([-1.2, 1.0]), (None, np.array([0.25, np.inf])), tolerance=1e-9, steps=2000).x)
 
 
 @query(placed_sql(3))
@@ -406,45 +487,40 @@ def b5_write_cif(spark, sf_dir):
     return C.category(C.long_rows(again), "_nation", ["key", "name"]).select("block", F.col("key").cast("int").alias("key"), "name")
 
 
-@query(WITH + " SELECT vec_id, 0.0::DOUBLE AS rmsd FROM embeddings")
+@query(LEAST + " SELECT vec_id, rmsd FROM least_")
 def l2_rmsd(spark, sf_dir):
-    """A conformer and a rigid motion of it differ by nothing."""
+    """The deviation of a conformer, moved as a rigid body, from the next one is the least one of the two."""
     def kernel(row):
-        x = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
+        x, other = arrays(row)
         t = row["vec_id"] / 7
         y = x @ np.array([[math.cos(t), -math.sin(t), 0], [math.sin(t), math.cos(t), 0], [0, 0, 1]]) + [1, 2, 3]
-        yield {"vec_id": row["vec_id"], "rmsd": round(D.superpose(x, y)[1], 5) + 0.0}
+        yield {"vec_id": row["vec_id"], "rmsd": round(D.superpose(y, other)[1], 5) + 0.0}
 
-    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, rmsd double")
+    return map_rows(next_pairs(spark, sf_dir), kernel, "vec_id long, rmsd double")
 
 
-@query(WITH + " SELECT vec_id, true AS level FROM embeddings")
+@query(WITH + """, mid AS (SELECT vec_id, x - avg(x) OVER p AS x, y - avg(y) OVER p AS y, z - avg(z) OVER p AS z FROM conformers WINDOW p AS (PARTITION BY vec_id)),
+ cov AS (SELECT vec_id, sum(x * x) AS p, sum(y * y) AS q, sum(z * z) AS r, sum(x * y) AS s, sum(x * z) AS t, sum(y * z) AS k FROM mid GROUP BY 1),
+ eig AS (SELECT *, (p + q + r) / 3 AS m, sqrt(((p - (p + q + r) / 3) ** 2 + (q - (p + q + r) / 3) ** 2 + (r - (p + q + r) / 3) ** 2 + 2 * (s * s + t * t + k * k)) / 6) AS o FROM cov)
+ SELECT vec_id, round(m + 2 * o * cos(acos(greatest(-1, least(1, ((p - m) * ((q - m) * (r - m) - k * k) - s * (s * (r - m) - k * t) + t * (s * k - (q - m) * t)) / (2 * o * o * o)))) / 3 + 2 * pi() / 3), 6) AS off FROM eig""")
 def g4_fit_plane(spark, sf_dir):
-    """The plane of a conformer goes through its middle, and its normal has length one."""
+    """Squared distances of a conformer's atoms from its plane: the least eigenvalue of their scatter."""
     def kernel(row):
         x = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
         p = D.fit_plane(x)
-        yield {"vec_id": row["vec_id"], "level": bool(abs(p[:3] @ x.mean(0) + p[3]) < 1e-9 and abs(np.linalg.norm(p[:3]) - 1) < 1e-9)}
-
-    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, level boolean")
-
-
-def mean_by(spark, sf_dir, minimise):
-    def kernel(row):
-        at = np.array([[a["x"], a["y"], a["z"]] for a in row["atoms"]])
-        yield {"vec_id": row["vec_id"], **{c: round(float(v), 3) + 0.0 for c, v in zip("xyz", minimise(at), strict=True)}}
+        yield {"vec_id": row["vec_id"], "off": round(float(np.square(x @ p[:3] + p[3]).sum()), 6) + 0.0}
 
-    return map_rows(spread(molecules(spark, sf_dir)), kernel, "vec_id long, x double, y double, z double")
+    return map_rows(molecules(spark, sf_dir), kernel, "vec_id long, off double")
 
 
-MEANS = WITH + " SELECT vec_id, round(avg(x), 3) AS x, round(avg(y), 3) AS y, round(avg(z), 3) AS z FROM conformers GROUP BY 1"
+VALLEY = WITH + " SELECT vec_id, round(5 * x, {d}) AS x, round(25 * x * x, {d}) AS y FROM points"
 
 
-@query(MEANS)
+@query(VALLEY.replace("{d}", "4"))
 def m2_minimise_bfgs(spark, sf_dir):
-    return mean_by(spark, sf_dir, lambda at: bfgs(lambda p: (float(np.square(at - p).sum()), 2 * (len(at) * p - at.sum(0))), np.zeros(3), tolerance=1e-9).x)
+    return ends(spark, sf_dir, lambda a: bfgs(valley(a), np.array([-1.2, 1.0]), tolerance=1e-9, steps=2000).x)
 
 
-@query(MEANS)
+@query(VALLEY.replace("{d}", "3"))
 def m3_minimise_simplex(spark, sf_dir):
-    return mean_by(spark, sf_dir, lambda at: nelder_mead(lambda p: float(np.square(at - p).sum()), np.full(3, 0.01), spread=5.0, tolerance=1e-14).x)
+    return ends(spark, sf_dir, lambda a: nelder_mead(lambda p: valley(a)(p)[0], np.array([-1.2, 1.0]), tolerance=1e-18).x, 3)

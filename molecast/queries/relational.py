@@ -284,13 +284,12 @@ def j5_centroids(spark, sf_dir):
     return conformers(spark, sf_dir).groupBy("vec_id").agg(r6(F.avg(x)).alias("cx"), r6(F.avg(y)).alias("cy"), r6(F.avg(z)).alias("cz"), r6(F.min(x)).alias("lx"), r6(F.max(x)).alias("hx"), r6(F.sqrt(F.avg(x * x + y * y + z * z))).alias("rms"))
 
 
-@query(WITH + """, s AS (SELECT vec_id, src AS atom_id, least(CAST(floor(12 * sqrt(d2)) AS INT), 5) AS shell FROM (SELECT vec_id, src, d2 FROM pairs UNION ALL SELECT vec_id, dst, d2 FROM pairs))
- SELECT vec_id, atom_id, count(*) FILTER (shell = 0) AS s0, count(*) FILTER (shell = 1) AS s1, count(*) FILTER (shell = 2) AS s2, count(*) FILTER (shell = 3) AS s3, count(*) FILTER (shell = 4) AS s4 FROM s GROUP BY 1, 2""")
+@query(WITH + " SELECT vec_id, atom_id, CAST(floor(12 * sqrt(d2)) AS INT) AS shell, count(*) AS n FROM (SELECT vec_id, src AS atom_id, d2 FROM pairs UNION ALL SELECT vec_id, dst, d2 FROM pairs) GROUP BY 1, 2, 3")
 def j6_shell_histogram(spark, sf_dir):
-    """Neighbours of each atom by whole-number shells of distance."""
+    """Neighbours of each atom by whole-number shells of distance, all of them."""
     p = pairs(spark, sf_dir)
-    ends = p.select("vec_id", F.explode(F.array("src", "dst")).alias("atom_id"), F.floor(12 * F.sqrt("d2")).alias("shell"))
-    return ends.groupBy("vec_id", "atom_id").agg(*(F.count_if(F.col("shell") == i).alias(f"s{i}") for i in range(5)))
+    ends = p.select("vec_id", F.explode(F.array("src", "dst")).alias("atom_id"), F.floor(12 * F.sqrt("d2")).cast("int").alias("shell"))
+    return ends.groupBy("vec_id", "atom_id", "shell").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, min(event_id) AS first_event, arg_max(event_type, (value, -event_id)) AS top_type, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds, count(*) AS n FROM events GROUP BY 1")
@@ -358,23 +357,25 @@ def l8_shape_overlap(spark, sf_dir):
 
 
 @query(WITH + ", " + ELEMENTS + f""", s AS (SELECT vec_id, atom_id, 12 * x AS x, 12 * y AS y, 12 * z AS z, rvdw + 1.4 AS r FROM atoms JOIN el ON el.num = elem),
- l AS (SELECT sqrt(1 - z * z) * cos(i * {G.TURN!r}) AS px, sqrt(1 - z * z) * sin(i * {G.TURN!r}) AS py, z AS pz FROM (SELECT i, {1 - 1 / 24!r}::DOUBLE - i * {2 / 24!r}::DOUBLE AS z FROM range(24) t(i)))
+ l AS (SELECT sqrt(1 - z * z) * cos(i * {G.TURN!r}) AS px, sqrt(1 - z * z) * sin(i * {G.TURN!r}) AS py, z AS pz FROM (SELECT i, {1 - 1 / 92!r}::DOUBLE - i * {2 / 92!r}::DOUBLE AS z FROM range(92) t(i)))
  SELECT s.vec_id, s.atom_id, CAST(count(*) FILTER (NOT EXISTS (SELECT 1 FROM s o WHERE o.vec_id = s.vec_id AND o.atom_id <> s.atom_id AND (s.x + s.r * px - o.x) * (s.x + s.r * px - o.x) + (s.y + s.r * py - o.y) * (s.y + s.r * py - o.y) + (s.z + s.r * pz - o.z) * (s.z + s.r * pz - o.z) <= o.r * o.r)) AS INT) AS free FROM s, l GROUP BY 1, 2""")
 def l3_open_probes(spark, sf_dir):
     """Unblocked probes of each atom's sphere."""
     dim = elements(spark).select(F.col("z").alias("num"), (F.col("vdw_radius") + 1.4).alias("r"))
     s = with_element(conformers(spark, sf_dir)).join(F.broadcast(dim), F.col("elem") == F.col("num")).select("vec_id", "atom_id", "r", *((12 * F.col(c)).alias(c) for c in "xyz"))
-    return G.surface_area(s, 24, "vec_id", "atom_id").select("vec_id", "atom_id", F.col("open").alias("free"))
+    return G.surface_area(s, 92, "vec_id", "atom_id").select("vec_id", "atom_id", F.col("open").alias("free"))
 
 
 # More of the inventory: joins within parsers, groupings, sets, merges
 
 
-@query(WITH + " SELECT a.vec_id, a.src AS s, b.dst AS d FROM bonds a JOIN bonds b ON b.vec_id = a.vec_id AND b.src = a.dst")
+@query(WITH + " SELECT b.vec_id, b.src, b.dst, s.elem AS src_elem, d.elem AS dst_elem, round(d.x - s.x, 6) AS dx FROM bonds b JOIN atoms s ON s.vec_id = b.vec_id AND s.atom_id = b.src JOIN atoms d ON d.vec_id = b.vec_id AND d.atom_id = b.dst")
 def i1_two_sided_join(spark, sf_dir):
-    """Links whose both ends are looked up by a composite key."""
-    own = bonds(spark, sf_dir)
-    return own.alias("a").join(own.alias("b"), (F.col("a.vec_id") == F.col("b.vec_id")) & (F.col("b.src") == F.col("a.dst"))).select(F.col("a.vec_id").alias("vec_id"), F.col("a.src").alias("s"), F.col("b.dst").alias("d"))
+    """Links whose ends are both looked up among the sites, by a key of two columns."""
+    sites = with_element(conformers(spark, sf_dir)).select("vec_id", "atom_id", "elem", "x")
+    links, s, d = bonds(spark, sf_dir).alias("b"), sites.alias("s"), sites.alias("d")
+    met = links.join(s, (F.col("s.vec_id") == F.col("b.vec_id")) & (F.col("s.atom_id") == F.col("b.src"))).join(d, (F.col("d.vec_id") == F.col("b.vec_id")) & (F.col("d.atom_id") == F.col("b.dst")))
+    return met.select("b.vec_id", "b.src", "b.dst", F.col("s.elem").alias("src_elem"), F.col("d.elem").alias("dst_elem"), r6(F.col("d.x") - F.col("s.x")).alias("dx"))
 
 
 @query(WITH + " SELECT c.vec_id, c.atom_id, b.n FROM conformers c LEFT JOIN (SELECT vec_id, src AS atom_id, count(*) AS n FROM bonds GROUP BY 1, 2) b USING (vec_id, atom_id)")
@@ -404,11 +405,11 @@ def d4_element_range(spark, sf_dir):
     return elements(spark).filter("z >= 6 AND z < 26").select("z", "symbol")
 
 
-@query("""SELECT user_id, array_to_string(list(event_type ORDER BY event_id), '>')[1:40] AS types, min(event_id) AS first_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1""")
+@query("""SELECT user_id, array_to_string(list(event_type ORDER BY event_id), '>') AS types, min(event_id) AS first_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1""")
 def j2_first_seen_groups(spark, sf_dir):
     """Groups with their members in order of appearance."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("m"), F.min("event_id").alias("first_id"), F.countDistinct("event_type").alias("kinds"))
-    return rows.select("user_id", F.substring(F.array_join(F.transform("m", lambda x: x["event_type"]), ">"), 1, 40).alias("types"), "first_id", "kinds")
+    return rows.select("user_id", F.array_join(F.transform("m", lambda x: x["event_type"]), ">").alias("types"), "first_id", "kinds")
 
 
 @query(WITH + " SELECT vec_id, array_to_string(list_sort(list(DISTINCT elem)), ',') AS kinds FROM atoms GROUP BY 1")
@@ -433,12 +434,6 @@ def k6_merge_molecules(spark, sf_dir):
     return met.select("vec_id", F.posexplode("atoms").alias("atom_id", "a")).select("vec_id", "atom_id", r6("a.x").alias("x"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'no' ELSE 'yes' END AS flag, lpad(CAST(s_nationkey AS VARCHAR), 4, '0') AS code, printf('%.2f', s_acctbal) AS amount FROM supplier""")
-def b7_format_scalars(spark, sf_dir):
-    """Flags, zero-padded whole numbers and fixed decimals as dictionary files spell them."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") < 0, "no").otherwise("yes").alias("flag"), F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("code"), F.format_string("%.2f", "s_acctbal").alias("amount"))
-
-
 @query("SELECT key, count(*) AS n FROM (SELECT '_' || replace(p_brand, '#', '.') AS key FROM part) GROUP BY 1 HAVING count(*) > 1")
 def b8_duplicate_keys(spark, sf_dir):
     """Keys that come more than once."""
