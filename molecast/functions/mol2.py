@@ -128,33 +128,72 @@ def _carboxylates(mol: Molecule) -> None:
             a.fcharge = -1
 
 
+#: Type names of carbon, nitrogen, oxygen, sulfur and phosphorus by what their bonds are like.
+LINEAR, FLAT, ROUND = {6: "C.1", 7: "N.1"}, {6: "C.2", 7: "N.2", 8: "O.2", 16: "S.2"}, {6: "C.3", 7: "N.3", 8: "O.3", 15: "P.3", 16: "S.3"}
+#: Type names of metals by their neighbours.
+METALS = {24: (("Cr.oh", 6), ("Cr.th", 0)), 27: (("Co.oh", 0),)}
+
+
+def _acid(mol: Molecule, i: int) -> bool:
+    """Whether an oxygen shares a charge with another bare one at a carbon or phosphorus."""
+    if len(mol.near[i]) != 1 or mol.hydrogens(i):
+        return False
+    hub = mol.near[i][0][0]
+    bare = [k for k, _ in mol.near[hub] if mol.atoms[k].z == 8 and mol.all_neighbours(k) == 1]
+    return mol.atoms[hub].z in (6, 15) and len(bare) > 1 and any(mol.atoms[k].fcharge < 0 for k in bare)
+
+
+def _carbonyls(mol: Molecule, i: int) -> list[int]:
+    """Neighbours by a single bond that are carbons doubly bonded to oxygen or sulfur: what makes a nitrogen an amide's."""
+    return [j for j, e in mol.near[i] if mol.atoms[j].z == 6 and mol.bonds[e].bo == SINGLE and any(mol.bonds[f].bo == DOUBLE and mol.atoms[k].z in (8, 16) for k, f in mol.near[j])]
+
+
+def _shape(mol: Molecule, i: int) -> int:
+    """Hybridization; by the bond orders where it is unknown or the atom ends a chain."""
+    a, orders = mol.atoms[i], mol.orders(i)
+    if a.hyb in (SP, SP2, SP3) and mol.all_neighbours(i) > 1:
+        return a.hyb
+    if TRIPLE in orders or orders.count(DOUBLE) > 1:
+        return SP
+    return SP2 if DOUBLE in orders or AROMATIC in orders else SP3
+
+
 def atom_type(mol: Molecule, i: int) -> str:
     """The type name of an atom."""
     a = mol.atoms[i]
-    s = a.element.symbol if a.z else "Du"
+    if a.z == 0:
+        return "Du"
+    if a.z in METALS:
+        return next(name for name, least in METALS[a.z] if len(mol.near[i]) >= least)
+    shape = _shape(mol, i)
     if a.z == 6:
+        amino = [j for j, _ in mol.near[i] if mol.atoms[j].z == 7]
         if a.aromatic:
             return "C.ar"
-        if a.hyb == SP2 and len(mol.near[i]) == 3 and all(mol.atoms[j].z == 7 for j, _ in mol.near[i]):
+        if shape == SP2 and len(amino) == 3 and (any(mol.atoms[j].fcharge > 0 for j in amino) or a.fcharge > 0):
             return "C.cat"
-        return {SP: "C.1", SP2: "C.2"}.get(a.hyb, "C.3")
-    if a.z == 7:
+    elif a.z == 7:
         if a.aromatic:
             return "N.ar"
-        if any(mol.atoms[j].z == 6 and any(mol.bonds[f].bo == DOUBLE and mol.atoms[k].z in (8, 16) for k, f in mol.near[j]) and mol.bonds[e].bo == SINGLE for j, e in mol.near[i]):
-            return "N.am"
         if mol.all_neighbours(i) == 4:
             return "N.4"
-        return {SP: "N.1", SP2: "N.2" if DOUBLE in mol.orders(i) else "N.pl3"}.get(a.hyb, "N.3")
-    if a.z == 8:
-        ends = [k for j, _ in mol.near[i] for k, _ in mol.near[j] if mol.atoms[k].z == 8 and mol.all_neighbours(k) == 1]
-        if len(mol.near[i]) == 1 and not a.impl_h and len(ends) == 2 and mol.atoms[mol.near[i][0][0]].z in (6, 15) and any(mol.atoms[k].fcharge for k in ends):
+        if _carbonyls(mol, i):
+            return "N.am"
+        if shape == SP2 and DOUBLE not in mol.orders(i):
+            return "N.pl3"
+    elif a.z == 8:
+        if _acid(mol, i):
             return "O.co2"
-        return "O.2" if DOUBLE in mol.orders(i) or a.aromatic else "O.3"
-    if a.z == 16:
-        oxo = sum(mol.atoms[j].z == 8 and mol.bonds[e].bo == DOUBLE for j, e in mol.near[i])
-        return "S.O2" if oxo > 1 else "S.O" if oxo == 1 else "S.2" if DOUBLE in mol.orders(i) or a.aromatic else "S.3"
-    return "P.3" if a.z == 15 else s
+        shape = SP2 if a.aromatic or DOUBLE in mol.orders(i) else SP3
+    elif a.z == 16:
+        oxides = sum(mol.atoms[j].z == 8 and len(mol.near[j]) == 1 and (mol.bonds[e].bo == DOUBLE or mol.atoms[j].fcharge < 0) for j, e in mol.near[i])
+        if len(mol.near[i]) > 2 and oxides:
+            return "S.O2" if oxides > 1 else "S.O"
+        shape = SP2 if a.aromatic or DOUBLE in mol.orders(i) else SP3
+    elif a.z == 15:
+        shape = SP3
+    names = {SP: {**FLAT, **LINEAR}, SP2: FLAT}.get(shape, ROUND)
+    return names.get(a.z) or ROUND.get(a.z) or a.element.symbol
 
 
 def write_mol2(mol: Molecule, conf: int | None = None, write_sub: bool = True) -> str:
@@ -172,7 +211,7 @@ def write_mol2(mol: Molecule, conf: int | None = None, write_sub: bool = True) -
     def bond_type(b) -> str:
         if b.bo == AROMATIC or b.aromatic:
             return "ar"
-        if b.bo == SINGLE and {"N.am"} & {kinds[b.src], kinds[b.dst]} and any(mol.bonds[f].bo == DOUBLE and mol.atoms[k].z in (8, 16) for end in (b.src, b.dst) if mol.atoms[end].z == 6 for k, f in mol.near[end]):
+        if b.bo == SINGLE and {"N.am"} & {kinds[b.src], kinds[b.dst]} and any(b.other(i) in _carbonyls(mol, i) for i in (b.src, b.dst)):
             return "am"
         return str(b.bo) if b.bo in (1, 2, 3) else "un"
 

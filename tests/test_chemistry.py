@@ -6,10 +6,11 @@ import pytest
 from molecast.functions import cif, mol2, pdb, sdf
 from molecast.functions import descriptors as D
 from molecast.functions import molecule as M
-from molecast.functions.coordinates import align_shapes, generate_coords, guess_everything
+from molecast.functions.coordinates import align_flexible, align_shapes, generate_coords, guess_connectivity, guess_everything, rotatable_bonds
 from molecast.functions.chains import align_chains, best_path
 from molecast.functions.elements import find_element, periodic_table
-from molecast.functions.perception import sanitize
+from molecast.functions.guess2d import guess_charges, guess_charges_and_hydrogens, guess_hydrogens
+from molecast.functions.perception import localised_orders, sanitize
 from molecast.functions.optimize import bfgs, l_bfgs, l_bfgs_b, nelder_mead
 from molecast.functions.smiles import SmilesError, read_smiles, write_smiles
 
@@ -291,3 +292,172 @@ def test_dictionary_files():
     with pytest.raises(ValueError):
         cif.format_value(float("nan"))
     assert cif.validate(cif.Frame("x", [(["_a", "_a"], [])])) == "_a comes twice" and cif.validate(cif.Frame("x", [(["a"], [])])) and cif.validate(block) is None
+
+
+def stripped(mol, hydrogens=False, charges=False):
+    """The molecule with elements and bonds, and with what is asked for."""
+    out = M.Molecule()
+    for a in mol.atoms:
+        out.add_atom(M.Atom(a.z, impl_h=a.impl_h if hydrogens else 0, fcharge=a.fcharge if charges else 0))
+    for b in mol.bonds:
+        out.add_bond(b.src, b.dst, b.bo)
+    return out.finish()
+
+
+@pytest.mark.parametrize("line", ["CC(=O)O", "c1cc[nH]c1", "c1ccncc1", "c1c[nH]cn1", "c1ccc2[nH]ccc2c1", "C[N+](C)(C)C", "c1cc[o+]cc1", "[Na+].[Cl-]", "O=[N+]([O-])c1ccccc1", "CC(=O)[O-]", "C[NH3+]", "c1ccc2ccccc2c1", "[cH-]1cccc1", "C[n+]1ccccc1", "CS(=O)(=O)N", "OP(=O)(O)O", "C#N", "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "F[B-](F)(F)F", "[Mg+2].[Cl-].[Cl-]"])
+def test_charges_and_hydrogens_of_drawn_structures(line):
+    mol = read_smiles(line)
+    charges, hydrogens = stripped(mol, hydrogens=True), stripped(mol, charges=True)
+    guess_charges(charges)
+    guess_hydrogens(hydrogens)
+    assert [a.fcharge for a in charges.atoms] == [a.fcharge for a in mol.atoms]
+    assert [a.impl_h for a in hydrogens.atoms] == [a.impl_h for a in mol.atoms]
+    both = stripped(mol)
+    guess_charges_and_hydrogens(both)
+    assert sanitize(both) is None
+    if line in ("CC(=O)O", "c1cc[nH]c1", "C[N+](C)(C)C", "c1cc[o+]cc1", "[Na+].[Cl-]", "C[n+]1ccccc1", "F[B-](F)(F)F", "Cn1cnc2c1c(=O)n(C)c(=O)n2C"):
+        assert [(a.fcharge, a.impl_h) for a in both.atoms] == [(a.fcharge, a.impl_h) for a in mol.atoms]
+
+
+def test_localised_structures():
+    for line, doubles in (("c1ccccc1", 3), ("c1ccc2cccc2cc1", 5), ("c1cc[nH]c1", 2), ("c1cc2ccc3cccc4ccc(c1)c2c34", 8), ("O=c1cc[nH]cc1", 2), ("Cn1cnc2c1c(=O)n(C)c(=O)n2C", 2)):
+        mol = read_smiles(line)
+        orders = localised_orders(mol)
+        shared = [i for i, b in enumerate(mol.bonds) if b.bo == M.AROMATIC]
+        assert sum(orders[i] == 2 for i in shared) == doubles and all(orders[i] in (1, 2) for i in shared)
+        assert all(sum(orders[e] == 2 for _, e in mol.near[i]) <= 1 for i in range(len(mol.atoms)))
+    odd = M.Molecule()
+    for _ in range(5):
+        odd.add_atom(M.Atom(6, impl_h=1))
+    for i in range(5):
+        odd.add_bond(i, (i + 1) % 5, M.AROMATIC)
+    assert localised_orders(odd.finish()) is None
+
+
+@pytest.mark.parametrize(("line", "kinds"), [("CC(=O)NC", "C.3 C.2 O.2 N.am C.3"), ("CC(=O)[O-]", "C.3 C.2 O.co2 O.co2"), ("NC(=[NH2+])N", "N.pl3 C.cat N.2 N.pl3"), ("CS(=O)(=O)C", "C.3 S.O2 O.2 O.2 C.3"), ("CS(=O)C", "C.3 S.O O.2 C.3"), ("C#N", "C.1 N.1"), ("c1ccncc1", "C.ar C.ar C.ar N.ar C.ar C.ar"), ("C[N+](C)(C)C", "C.3 N.4 C.3 C.3 C.3"), ("C=C=C", "C.2 C.1 C.2"), ("CP(=O)([O-])[O-]", "C.3 P.3 O.co2 O.co2 O.co2"), ("Nc1ccccc1", "N.pl3 C.ar C.ar C.ar C.ar C.ar C.ar"), ("ClCBr", "Cl C.3 Br"), ("CSC", "C.3 S.3 C.3"), ("CC(=S)N", "C.3 C.2 S.2 N.am")])
+def test_type_names(line, kinds):
+    mol = read_smiles(line)
+    sanitize(mol)
+    assert " ".join(mol2.atom_type(mol, i) for i in range(len(mol.atoms))) == kinds
+
+
+def small_graphs(seed=4, n=40):
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        size = int(rng.integers(3, 9))
+        mol = M.Molecule()
+        for _ in range(size):
+            mol.add_atom(M.Atom(6))
+        for i in range(size):
+            for j in range(i):
+                if rng.random() < 0.4:
+                    mol.add_bond(i, j)
+        yield mol.finish()
+
+
+def cycles_of(mol):
+    """All simple cycles as sets of bonds, by walking every path."""
+    found = {}
+
+    def walk(start, at, seen, used):
+        for j, e in mol.near[at]:
+            if j == start and len(seen) > 2 and e not in used:
+                found.setdefault(frozenset((*used, e)), len(seen))
+            elif j > start and j not in seen:
+                walk(start, j, (*seen, j), (*used, e))
+
+    for i in range(len(mol.atoms)):
+        walk(i, i, (i,), ())
+    return found
+
+
+def independent(vectors):
+    """Rank of sets of bonds under symmetric difference."""
+    basis = []
+    for v in vectors:
+        v = sum(1 << e for e in v)
+        for b in basis:
+            v = min(v, v ^ b)
+        if v:
+            basis.append(v)
+    return len(basis)
+
+
+def test_rings_equal_brute_force():
+    """All rings, relevant rings (no sum of shorter ones) and the size of the least basis."""
+    def bonds_of(mol, ring):
+        return frozenset(mol.find_bond(a, b) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))
+
+    for mol in small_graphs():
+        every = cycles_of(mol)
+        found, whole = M.all_rings(mol, most=10**9)
+        assert whole and {bonds_of(mol, r) for r in found} == set(every) and len(found) == len(every)
+        relevant = set()
+        for c, n in every.items():
+            shorter = [x for x, m in every.items() if m < n]
+            if independent([*shorter, c]) > independent(shorter):
+                relevant.add(c)
+        assert {bonds_of(mol, r) for r in M.relevant_rings(mol)} == relevant
+        least = M.smallest_rings(mol)
+        assert independent([bonds_of(mol, r) for r in least]) == len(least) == mol.num_sssr
+        basis, total = [], 0
+        for c, n in sorted(every.items(), key=lambda x: x[1]):
+            if independent([*basis, c]) > len(basis):
+                basis.append(c)
+                total += n
+        assert sum(map(len, least)) == total
+
+
+def test_connectivity_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        mol = M.Molecule()
+        for z in rng.choice([1, 6, 7, 8, 16, 26], 14):
+            mol.add_atom(M.Atom(int(z)))
+        x = rng.normal(0, 2, (14, 3))
+        mol.confs = [x]
+        guess_connectivity(mol, slack=0.4)
+        left = [1 if a.z == 1 else 4 if a.element.period == 2 else 6 for a in mol.atoms]
+        want = set()
+        for d, i, j in sorted((float(np.linalg.norm(x[i] - x[j])), j, i) for i in range(14) for j in range(i)):
+            a, b = mol.atoms[i], mol.atoms[j]
+            if 26 not in (a.z, b.z) and d <= a.element.cov_radius + b.element.cov_radius + 0.4 and left[i] and left[j]:
+                left[i], left[j] = left[i] - 1, left[j] - 1
+                want.add((i, j))
+        assert {(min(b.src, b.dst), max(b.src, b.dst)) for b in mol.bonds} == want
+
+
+def test_alignments_tell_what_they_do():
+    """Scores are those of the motion and pairs that come with them, and not below a plain superposition's."""
+    rng = np.random.default_rng(6)
+    x = np.cumsum(rng.normal(0, 2, (40, 3)), 0)
+    y = x @ np.linalg.qr(rng.normal(size=(3, 3)))[0] + rng.normal(0, 1.5, x.shape)
+    score, motion = D.tm_score(x, y)
+    d0 = D.tm_scale(40)
+    of = lambda m: float((1 / (1 + np.square(D.move(m, x) - y).sum(1) / d0**2)).sum() / 40)
+    assert score == pytest.approx(of(motion)) and score >= of(D.superpose(x, y)[0])
+    m, keep, rmsd = D.trimmed_superpose(x, y, cutoff=2.0)
+    off = np.square(D.move(m, x[keep]) - y[keep]).sum(1)
+    assert rmsd == pytest.approx(math.sqrt(off.mean()), abs=1e-9)
+    kinds, r = [6] * 12, np.full(12, 1.4)
+    q, t = x[:12], D.move(motion, x[:12]) + 0.3
+    move, share = align_shapes(q, r, kinds, t, r, kinds)
+    own = D.shape_overlap(r, kinds, t, r, kinds, t)
+    assert share == pytest.approx(D.shape_overlap(r, kinds, D.move(move, q), r, kinds, t) / own, abs=1e-9) and share > 0.9
+
+
+def test_flexible_alignment_beats_a_rigid_one():
+    mol = read_smiles("CCCCCO")
+    sanitize(mol)
+    assert generate_coords(mol)
+    x = mol.confs[0]
+    assert rotatable_bonds(mol) == [(1, 2), (2, 3), (3, 4)]
+    bent = D.rotate_bond(mol, D.rotate_bond(mol, x, 1, 2, 110), 3, 4, -80)
+    kinds, r = [a.z for a in mol.atoms], np.array([0.8 * a.element.vdw_radius for a in mol.atoms])
+    rigid = align_shapes(x, r, kinds, bent, r, kinds)[1]
+    placed, share = align_flexible(mol, x, r, bent, r, kinds)
+    assert share > max(0.9, rigid) and placed.shape == x.shape
+    own = D.shape_overlap(r, kinds, bent, r, kinds, bent)
+    assert share == pytest.approx(D.shape_overlap(r, kinds, placed, r, kinds, bent) / own, abs=1e-9)
+    for b in mol.bonds:  # lengths stay
+        assert np.linalg.norm(placed[b.src] - placed[b.dst]) == pytest.approx(np.linalg.norm(x[b.src] - x[b.dst]))
