@@ -10,6 +10,7 @@ from molecast.functions.coordinates import align_flexible, align_shapes, generat
 from molecast.functions.chains import align_chains, best_path
 from molecast.functions.elements import find_element, periodic_table
 from molecast.functions.guess2d import guess_charges, guess_charges_and_hydrogens, guess_hydrogens
+from molecast.functions.guess3d import guess_types
 from molecast.functions.perception import localised_orders, sanitize
 from molecast.functions.optimize import bfgs, l_bfgs, l_bfgs_b, nelder_mead
 from molecast.functions.smiles import SmilesError, read_smiles, write_smiles
@@ -461,3 +462,41 @@ def test_flexible_alignment_beats_a_rigid_one():
     assert share == pytest.approx(D.shape_overlap(r, kinds, placed, r, kinds, bent) / own, abs=1e-9)
     for b in mol.bonds:  # lengths stay
         assert np.linalg.norm(placed[b.src] - placed[b.dst]) == pytest.approx(np.linalg.norm(x[b.src] - x[b.dst]))
+
+
+TYPED = "CCO CC(=O)O CC(=O)[O-] c1ccccc1 c1ccncc1 c1cc[nH]c1 CC#N C#CC C=CC=C O=C1CCCN1 CC(=O)NC Cn1cnc2c1c(=O)n(C)c(=O)n2C CS(=O)(=O)C CS(=O)C O=[N+]([O-])c1ccccc1 C[N+](C)(C)C NC(=[NH2+])N OP(=O)(O)OC C1CCCCC1 c1ccc2ccccc2c1 c1ccc2[nH]ccc2c1 c1ccoc1 c1ccsc1 C=O N#Cc1ccccc1 O=C1C=CC(=O)C=C1 Nc1ccccc1 C1CC1 CN=[N+]=[N-] Oc1ccccc1 CC(C)=O c1cnc[nH]1 CSC C=C FC(F)F Clc1ccccc1Br".split()
+
+
+@pytest.mark.parametrize("line", TYPED)
+def test_types_from_coordinates(line):
+    """Bonds and charges of a structure with hydrogens are found again from its coordinates; without hydrogens, where lengths and angles tell."""
+    for full in (True, False):
+        mol = read_smiles(line)
+        sanitize(mol)
+        if full:
+            mol = M.reveal_hydrogens(mol)
+            sanitize(mol)
+        assert generate_coords(mol)
+        bare = M.Molecule()
+        for a in mol.atoms:
+            bare.add_atom(M.Atom(a.z))
+        for b in mol.bonds:
+            bare.add_bond(b.src, b.dst)
+        bare.confs = mol.confs
+        assert guess_types(bare.finish()) is None
+        if full or line not in ("CC(=O)[O-]", "NC(=[NH2+])N", "CN=[N+]=[N-]", "c1cnc[nH]1"):
+            assert [(a.fcharge, a.impl_h, a.aromatic) for a in bare.atoms] == [(a.fcharge, a.impl_h, a.aromatic) for a in mol.atoms], full
+
+
+def test_coordinates_keep_the_hands_of_centres():
+    def hand(line):
+        mol = read_smiles(line)
+        sanitize(mol)
+        assert generate_coords(mol)
+        x = mol.confs[0]
+        first = {mol.atoms[j].z: j for j, _ in mol.near[1]}
+        a, b, c = (x[first[z]] - x[1] for z in (7, 6, 8))
+        return a @ np.cross(b, c) > 0
+
+    # The same centre, its neighbours told in another order with the mark that this asks for.
+    assert hand("N[C@@H](C)O") == hand("N[C@H](O)C") == hand("N[C@@](O)(F)C") != hand("N[C@H](C)O") == hand("N[C@@H](O)C")
