@@ -11,19 +11,36 @@ from .molecule import SINGLE, Atom, Molecule
 STANDARD = set("ALA ARG ASN ASP ASX CYS GLN GLU GLX GLY HIS ILE LEU LYS MET PHE PRO PYL SEC SER THR TRP TYR VAL A C G U I DA DC DG DT DI".split())
 
 
-def models(text: str):
-    """(number, lines) of each model: what is before the first and after the last goes to each."""
+#: Records that end a file: what is said after the coordinates of all models.
+FOOTERS = ("CONECT", "MASTER", "END")
+
+
+def frame(text: str) -> tuple[list[str], list[tuple[int, list[str]]], list[str]]:
+    """Header lines, (number, lines) of each model, and footer lines. A file without model records is one model; the footer is what ends it, from the last line back to the first that isn't of a footer's kind."""
     lines = text.splitlines()
-    starts = [i for i, x in enumerate(lines) if x.startswith("MODEL ") or x.rstrip() == "MODEL"]
+    stop = len(lines)
+    while stop and (not lines[stop - 1].strip() or lines[stop - 1][:6].rstrip() in FOOTERS):
+        stop -= 1
+    body, foot = lines[:stop], [x for x in lines[stop:] if x.strip()]
+    starts = [i for i, x in enumerate(body) if x[:6].rstrip() == "MODEL"]
     if not starts:
-        yield 1, lines
-        return
-    ends = [i for i, x in enumerate(lines) if x.startswith("ENDMDL")]
-    head, foot = lines[: starts[0]], lines[(ends[-1] if ends else len(lines) - 1) + 1 :]
+        first = next((i for i, x in enumerate(body) if x[:6] in ("ATOM  ", "HETATM")), len(body))
+        return body[:first], [(1, body[first:])], foot
+    out = []
     for k, i in enumerate(starts):
-        stop = next((e for e in ends if e > i), len(lines))
-        number = lines[i][10:14].strip()
-        yield int(number) if number.isdigit() else k + 1, [*head, *lines[i + 1 : stop], *foot]
+        after = starts[k + 1] if k + 1 < len(starts) else len(body)
+        end = next((e for e in range(i + 1, after) if body[e].startswith("ENDMDL")), after)
+        number = body[i][10:14].strip()
+        out.append((int(number) if number.isdigit() else k + 1, body[i + 1 : end]))
+    last = next((e for e in range(starts[-1] + 1, len(body)) if body[e].startswith("ENDMDL")), len(body))
+    return body[: starts[0]], out, [*body[last + 1 :], *foot]
+
+
+def models(text: str):
+    """(number, lines) of each model: the header and the footer go to each."""
+    head, parts, foot = frame(text)
+    for number, lines in parts:
+        yield number, [*head, *lines, *foot]
 
 
 def _number(text: str, default: float = 0.0) -> float:

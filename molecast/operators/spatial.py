@@ -1,9 +1,9 @@
 """Spatial joins: range joins and k-nearest-neighbour joins over points (id, x, y, z).
 
-There is no index object. Space is cut into cubes of the cutoff's size, one side is
+Space is cut into cubes of the cutoff's size, one side is
 copied to the cubes around it, and cubes meet in an equi-join, with the inclusive
 distance predicate on what meets. A plain distance predicate would be planned as a
-nested loop over all pairs.
+nested loop over all pairs. An index is a table of points bucketed by cube.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -130,3 +130,35 @@ def knn_join(query: DataFrame, points: DataFrame, k: int, cutoff: float | None =
         left = cut(left.join(done, F.col("qid").eqNullSafe(F.col("of")), "left_anti").filter("level > 0").withColumn("level", F.col("level") - 1), "unmet")
         if left.isEmpty():
             return out
+
+
+class SpatialIndex:
+    """Points kept as a table bucketed by cube, for many joins with the same cutoff: the points' side is then not shuffled again.
+
+    The session's warehouse holds the table under this name; rebuild() replaces it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, cutoff: float, buckets: int = 200):
+        if cutoff <= 0:
+            raise ValueError("the cutoff must be positive")
+        self.spark, self.name, self.cutoff, self.buckets = spark, name, cutoff, buckets
+
+    def rebuild(self, points: DataFrame, point_id: str = "id") -> SpatialIndex:
+        rows = cells(_named(points, point_id, "p"), self.cutoff)
+        rows.repartition(self.buckets, "c0", "c1", "c2").write.mode("overwrite").bucketBy(self.buckets, "c0", "c1", "c2").sortBy("c0", "c1", "c2").saveAsTable(self.name)
+        return self
+
+    def points(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def join(self, query: DataFrame, cutoff: float | None = None, query_id: str = "id") -> DataFrame:
+        """q, p, d2 of all pairs within the cutoff, which is at most the index's."""
+        cutoff = self.cutoff if cutoff is None else cutoff
+        if not 0 < cutoff <= self.cutoff:
+            raise ValueError(f"the cutoff must be positive and at most {self.cutoff}")
+        q, p = cells(_named(query, query_id, "q"), self.cutoff, AROUND).alias("q"), self.points().alias("p")
+        met = q.join(p, [F.col(f"q.c{i}") == F.col(f"p.c{i}") for i in range(3)])
+        return met.select(F.col("qid").alias("q"), F.col("pid").alias("p"), _distance("q", "p").alias("d2")).filter(F.col("d2") <= cutoff * cutoff)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -500,3 +500,33 @@ def test_coordinates_keep_the_hands_of_centres():
 
     # The same centre, its neighbours told in another order with the mark that this asks for.
     assert hand("N[C@@H](C)O") == hand("N[C@H](O)C") == hand("N[C@@](O)(F)C") != hand("N[C@H](C)O") == hand("N[C@@H](O)C")
+
+
+def test_frames_of_models():
+    atom = "ATOM      1  CA  ALA A   1      11.104   6.134  -6.504  1.00  0.00           C"
+    text = f"HEADER    X\nMODEL        1\n{atom}\nENDMDL\nMODEL        2\n{atom}\nENDMDL\nCONECT    1    2\nMASTER    0\nEND\n\n"
+    head, parts, foot = pdb.frame(text)
+    assert head == ["HEADER    X"] and [(n, len(x)) for n, x in parts] == [(1, 1), (2, 1)] and foot == ["CONECT    1    2", "MASTER    0", "END"]
+    assert pdb.frame(f"REMARK 1\n{atom}\nTER\nCONECT    1    2\nEND") == (["REMARK 1"], [(1, [atom, "TER"])], ["CONECT    1    2", "END"])
+    assert pdb.frame("") == ([], [(1, [])], []) and [n for n, _ in pdb.models(text)] == [1, 2]
+    assert pdb.frame(f"MODEL     7\n{atom}\nMODEL     8\n{atom}\n")[1] == [(7, [atom]), (8, [atom])]  # without end records
+
+
+def test_hydrogens_turn_away():
+    """Relaxed hydrogens are no nearer to other atoms than unrelaxed ones, and keep their bonds' lengths."""
+    mol = read_smiles("CC(C)(C)C(C)O")
+    sanitize(mol)
+    assert generate_coords(mol)
+
+    def nearest(full):
+        x, gap = full.confs[0], []
+        for i, a in enumerate(full.atoms):
+            if a.z == 1:
+                hub = full.near[i][0][0]
+                gap += [np.linalg.norm(x[i] - x[k]) for k in range(len(x)) if k not in (i, hub) and not (full.atoms[k].z == 1 and full.near[k][0][0] == hub)]
+        return min(gap)
+
+    plain, relaxed = M.reveal_hydrogens(mol, relax=False), M.reveal_hydrogens(mol)
+    assert nearest(relaxed) >= nearest(plain) - 1e-9
+    for m in (plain, relaxed):
+        assert all(0.85 < np.linalg.norm(m.confs[0][b.src] - m.confs[0][b.dst]) < 1.25 for b in m.bonds if m.atoms[b.dst].z == 1)

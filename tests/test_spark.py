@@ -6,11 +6,12 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from molecast.functions import substructures as S
 from molecast.functions.smiles import read_smiles, write_smiles
 from molecast.operators.components import components
 from molecast.operators.geometry import fibonacci_lattice
 from molecast.operators.graph import erase_nodes, match_pattern, unique_edges
-from molecast.operators.spatial import distance_join, knn_join, neighbour_lists, self_join
+from molecast.operators.spatial import SpatialIndex, distance_join, knn_join, neighbour_lists, self_join
 from molecast.sources.mmcif import as_dict, category, long_rows
 from molecast.sources.molecules import conceal_hydrogens, format_column, parse_column, read_molecules, register_reader, write_molecules
 
@@ -220,3 +221,51 @@ def test_cut_and_purge(spark):
     df = cut(spark.range(5), "five")
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().executedPlan().toString()
     assert purge(spark) and not purge(spark)
+
+
+def test_substructures(spark):
+    text = spark.createDataFrame([("CC(=O)Nc1ccccc1 anilide",)], "line string")
+    df = parse_column(text, "smi", "line").select("mol")
+    ids = lambda *x: F.array(*map(F.lit, x))
+    mol = S.append(S.append(F.col("mol"), S.new(ids(0, 1, 2), "acyl", 1, 2)), S.new(ids(4, 5, 6, 7, 8, 9), "ring", 2, 3))
+    held = df.select(mol.alias("mol"))
+    m = F.col("mol")
+    got = held.select(
+        F.size(S.atoms(m, 0)).alias("atoms"), S.bonds(m, 0)["id"].alias("bonds"), S.contains(m, 0, 2).alias("has"), S.contains(m, 1, 2).alias("hasnt"), S.contains_bond(m, 0, 1).alias("bond"), S.holders(m, 5).alias("holders"), S.own_ids(m, 1, F.lit(6)).alias("own"), S.own_ids(m, 1, F.lit(0)).alias("none"),
+        F.size(S.by_category(m, 3)).alias("category"), S.by_name(m, "acyl")[0]["id"].alias("name"), S.substructure(m, 7).alias("nothing"),
+    ).first()
+    assert (got.atoms, got.bonds, got.has, got.hasnt, got.bond, got.holders, got.own, got.none, got.category, got.name, got.nothing) == (3, [0, 1], True, False, True, [1], 2, None, 1, 1, None)
+
+    def after(change):
+        return [(s["name"], s["id"], s["category"], s["atom_ids"]) for s in held.select(change["subs"].alias("s")).first().s]
+
+    acyl, ring = ("acyl", 1, 2, [0, 1, 2]), ("ring", 2, 3, [4, 5, 6, 7, 8, 9])
+    assert after(S.add_atoms(m, 0, ids(2, 3, 3, 99))) == [("acyl", 1, 2, [0, 1, 2, 3]), ring]
+    assert after(S.add_bonds(m, 0, ids(2))) == [("acyl", 1, 2, [0, 1, 2, 3]), ring]
+    assert after(S.erase_atoms(m, 1, ids(4, 9, 0))) == [acyl, ("ring", 2, 3, [5, 6, 7, 8])]
+    assert after(S.clear_atoms(m, 0)) == [("acyl", 1, 2, []), ring]
+    assert after(S.sorted_atoms(S.add_atoms(S.clear_atoms(m, 0), 0, ids(3, 1)), 0)) == [("acyl", 1, 2, [1, 3]), ring]
+    assert after(S.with_field(m, 1, name="phenyl", category=7)) == [acyl, ("phenyl", 2, 7, ring[3])]
+    assert after(S.remove(m, 0)) == [ring] and after(S.remove(m, 5)) == [acyl, ring] and after(S.clear(m)) == []
+    extra = S.new(ids(3), "n")
+    assert after(S.insert(m, 1, extra)) == [acyl, ("n", 0, 0, [3]), ring] and after(S.insert(m, 9, extra))[-1][0] == "n"
+    with_conf = held.select(m.withField("confs", F.array(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: i.cast("double")))).alias("mol"))
+    assert with_conf.select(S.coordinates(F.col("mol"), 0).alias("x")).first().x == [float(i) for i in range(9)]
+
+
+def test_kept_index(spark, cloud):
+    points, df = cloud
+    index = SpatialIndex(spark, "kept_points", 0.5, buckets=4).rebuild(df)
+    try:
+        for cutoff in (0.5, 0.2):
+            want = {(r.q, r.p) for r in distance_join(df, df, cutoff).collect()}
+            assert {(r.q, r.p) for r in index.join(df, cutoff).collect()} == want
+        with pytest.raises(ValueError):
+            index.join(df, 0.6)
+        plan = index.join(df.hint("shuffle_merge"))._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan or "BroadcastHashJoin" in plan
+        assert index.rebuild(df.limit(0)).join(df).collect() == []
+    finally:
+        index.drop()
+    with pytest.raises(ValueError):
+        SpatialIndex(spark, "none", 0)
