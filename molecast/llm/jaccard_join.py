@@ -18,9 +18,11 @@ has too; a set with fewer of them than it must share is out, and of the others t
 rarest few (counted exactly, up to MANY) suffice to share one with each partner.
 (3) Sets that share such a hash and follow each other in size are tied, and the
 connected parts of these ties are the candidate parts. (4) A large part is cut into blocks by size
-class and hash, and pairs of blocks whose sizes can link are the tiles that tasks
-work on, so that no task gets an unbounded part. In a tile, pairs that are already
-known to be connected are skipped, so a group of near copies isn't expanded.
+class and hash, so that no task gets an unbounded part. First each block is searched,
+and with the one that follows it: a group of near copies is connected by that, however
+large, and its cost grows with its size. Only parts that aren't, are then searched by
+all pairs of blocks whose sizes can link. In a tile, pairs that are already known to be
+connected are skipped, so a group of near copies isn't expanded.
 
 Exact copies of a set meet in one representative before anything is compared.
 
@@ -41,7 +43,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,8 +53,8 @@ from .common import cut, runs, small_side, spread_join, table
 U = np.uint64
 #: The count sketch has 2^SKETCH counters, sent in chunks of 2^CHUNK. Points have 2^GROUPS coordinates. A node of the tree has LEAF points.
 SKETCH, CHUNK, GROUPS, LEAF = 20, 16, 6, 16
-#: Hashes and sets of a block, about.
-TILE_HASHES, TILE_SETS = 250_000, 512
+#: Hashes and sets of a block, about; sets of a block when all pairs of blocks are searched.
+TILE_HASHES, TILE_SETS, PAIR_SETS = 250_000, 128, 512
 #: Sets under one hash are counted up to this number, which stands for more.
 MANY = 1000
 #: Sets that a task remembers while it thins out ties.
@@ -273,9 +275,9 @@ class CountTree:
         self.flag[own] = False
         return out
 
-    def links(self, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """A spanning forest of the links; only between different sides, if given."""
-        comp, out, n = np.arange(len(self.sizes)), [], len(self.sizes)
+    def links(self, percent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """A spanning forest of the links; only between different sides, if given, and of different known components."""
+        comp, out, n = np.arange(len(self.sizes)) if known is None else known.copy(), [], len(self.sizes)
         for node in range(len(self.least)):
             lo, hi = node * LEAF, min(n, (node + 1) * LEAF)
             most = self.sizes[hi - 1] * 100 // percent
@@ -310,13 +312,13 @@ def _sets(n: int):
                 seen.clear()
             for lo in range(0, batch.num_rows, 200):
                 rows = []
-                for text, key, block, tiles in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(4)), strict=True):
+                for text, key, label, block, tiles in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(5)), strict=True):
                     if key in seen:
                         continue
                     seen.add(key)
                     data = shingles(text, words, n).tobytes()
-                    rows += [(tile, key, block, len(data) // 8, data) for tile in tiles]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["tile", "key", "block", "n", "data"])
+                    rows += [(tile, key, label, block, len(data) // 8, data) for tile in tiles]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["tile", "key", "label", "block", "n", "data"])
 
     return run
 
@@ -324,35 +326,47 @@ def _sets(n: int):
 def _tiles(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, "tile"):
-            key, block, size = (part.column(c).to_numpy() for c in ("key", "block", "n"))
+            key, label, block, size = (part.column(c).to_numpy() for c in ("key", "label", "block", "n"))
             order = np.lexsort((key, size))
             order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]  # a set that came twice
             data = part.column("data").to_pylist()
             tree = CountTree([np.frombuffer(data[i], U) for i in order])
             side = block[order] if len(np.unique(block[order])) > 1 else None
-            if got := tree.links(percent, side):
+            known = np.unique(label[order], return_inverse=True)[1]
+            if got := tree.links(percent, side, known):
                 a, b = (key[order][list(x)] for x in zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _with_blocks(parts: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """Adds block and tiles to (key, rep, n, part): the block is a part's size class and a share of it, the tiles are the pairs of the block with each block that may link with it."""
+def _with_blocks(parts: DataFrame, percent: int, sets: int, pairs: bool, broadcast_rows: int) -> DataFrame:
+    """Adds block and tiles to (key, rep, n, part, label): the block is a large part's size class and a share of it. The tiles are the block itself, and with the next one; with pairs, with each other block that may link with it. A part that isn't large is one block and one tile."""
     wide = math.log(100 / percent) * 1.04 + 1e-9
     parts = parts.withColumn("cls", F.floor(F.log("n") / wide))
     # Sums by part and class are few, so that no task gets the rows of a large part.
     sums = cut(parts.groupBy("part", "cls").agg(F.sum("n").alias("hashes"), F.count("*").alias("sets")), "parts")
-    whole = sums.groupBy("part").agg(F.sum("hashes").alias("h"), F.sum("sets").alias("s")).filter((F.col("h") > 2 * TILE_HASHES) | (F.col("s") > 2 * TILE_SETS)).select("part")
-    shares = sums.join(whole, "part").select("part", "cls", F.ceil(F.greatest(F.col("hashes") / TILE_HASHES, F.col("sets") / TILE_SETS)).alias("own"))
+    whole = sums.groupBy("part").agg(F.sum("hashes").alias("h"), F.sum("sets").alias("s")).filter((F.col("h") > 2 * TILE_HASHES) | (F.col("s") > 2 * sets)).select("part")
+    shares = sums.join(whole, "part").select("part", "cls", F.ceil(F.greatest(F.col("hashes") / TILE_HASHES, F.col("sets") / sets)).alias("own"))
     near = cut(shares.select("part", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"), F.struct("cls", "own").alias("s")).groupBy("part", "cls").agg(F.collect_list("s").alias("shares")).select(F.col("part").alias("of_part"), F.col("cls").alias("of_cls"), "shares"), "shares")
-    own = F.expr("filter(shares, s -> s.cls = cls)[0].own")
-    salt = F.pmod(F.xxhash64("key", F.lit(7)), own)
-    block = F.xxhash64("part", "cls", salt)
-    others = F.expr("flatten(transform(shares, s -> transform(sequence(0L, s.own - 1), j -> xxhash64(part, s.cls, j))))")
+
+    def blocks_of(cls: str) -> Column:
+        """How many blocks a class of the part has; 0 if there is no such class."""
+        return F.coalesce(F.expr(f"get(filter(shares, s -> s.cls = {cls}), 0).own"), F.lit(0))
+
+    def block(cls: Column, at: Column) -> Column:
+        return F.xxhash64("part", cls, at)
+
     met = spread_join(parts, near, [F.col("part") == F.col("of_part"), F.col("cls") == F.col("of_cls")], near.count(), broadcast_rows, "left")
-    met = met.withColumn("block", F.when(F.col("shares").isNotNull(), block).otherwise(F.col("part"))).withColumn("others", F.when(F.col("shares").isNotNull(), others))
-    return met.select("key", "rep", "block", F.when(F.col("others").isNull(), F.array("part")).otherwise(F.expr("transform(others, o -> xxhash64(least(block, o), greatest(block, o)))")).alias("tiles"))
+    met = met.withColumn("at", F.pmod(F.xxhash64("key", F.lit(7)), F.greatest(blocks_of("cls"), F.lit(1)))).withColumn("own", F.when(F.col("shares").isNotNull(), block(F.col("cls"), F.col("at"))))
+    if pairs:
+        others = F.filter(F.expr("flatten(transform(shares, s -> transform(sequence(0L, s.own - 1), j -> xxhash64(part, s.cls, j))))"), lambda o: o != F.col("own"))
+    else:
+        after = F.when(F.col("at") + 1 < blocks_of("cls"), block(F.col("cls"), F.col("at") + 1)).when(blocks_of("cls + 1") > 0, block(F.col("cls") + 1, F.lit(0).cast("long")))
+        before = F.when(F.col("at") > 0, block(F.col("cls"), F.col("at") - 1)).when(blocks_of("cls - 1") > 0, block(F.col("cls") - 1, blocks_of("cls - 1") - 1))
+        others = F.filter(F.array("own", after, before), lambda o: o.isNotNull())
+    tiles = F.transform(others, lambda o: F.xxhash64(F.least("own", o), F.greatest("own", o)))
+    return met.select("key", "rep", "part", "label", F.col("own").isNotNull().alias("large"), F.coalesce("own", "part").alias("block"), F.when(F.col("own").isNull(), F.array("part")).otherwise(tiles).alias("tiles"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -379,13 +393,25 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     reps = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
     candidates = cut(reps.join(small_side(parts, parts.count(), broadcast_rows), reps.key == parts.node).select("key", "rep", "n", "copies", F.col("label").alias("part")), "candidates")
-    count = candidates.count()
-    # The text of one document of each candidate set, by id and mark.
-    named = cut(_with_blocks(candidates, percent, broadcast_rows), "blocks").select(F.col("rep.doc_id").alias("of_id"), F.col("rep.mark").alias("of_mark"), "key", "block", "tiles")
-    texts = spread_join(marked, named, [F.col("mark") == F.col("of_mark"), F.col("doc_id").eqNullSafe(F.col("of_id"))], count, broadcast_rows).select("text", "key", "block", "tiles")
-    tiles = texts.mapInArrow(_sets(n), "tile long, key long, block long, n int, data binary")
-    links = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
-    found = cut(components(links), "components")
+
+    def links(blocks: DataFrame) -> DataFrame:
+        """The links found in the tiles of these sets; the text is that of one row of each, by id and mark."""
+        named = blocks.select(F.col("rep.doc_id").alias("of_id"), F.col("rep.mark").alias("of_mark"), "key", "label", "block", "tiles")
+        texts = spread_join(marked, named, [F.col("mark") == F.col("of_mark"), F.col("doc_id").eqNullSafe(F.col("of_id"))], blocks.count(), broadcast_rows).select("text", "key", "label", "block", "tiles")
+        tiles = texts.mapInArrow(_sets(n), "tile long, key long, label long, block long, n int, data binary")
+        return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
+
+    blocks = cut(_with_blocks(candidates.withColumn("label", F.col("key")), percent, TILE_SETS, False, broadcast_rows), "blocks")
+    found = cut(components(links(blocks)), "components")
+    # Large parts that aren't one component by now.
+    large = blocks.filter("large").select("key", "part")
+    told = large.join(small_side(found, found.count(), broadcast_rows), large.key == found.node, "left").select("part", F.coalesce("label", "key").alias("label"))
+    open_ = cut(told.groupBy("part").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(F.col("part").alias("of_part")), "open")
+    if many := open_.count():
+        left = spread_join(candidates, open_, [F.col("part") == F.col("of_part")], many, broadcast_rows).drop("of_part")
+        left = left.join(small_side(found, found.count(), broadcast_rows), left.key == found.node, "left").select("key", "rep", "n", "part", F.coalesce("label", "key").alias("label"))
+        more = links(cut(_with_blocks(left, percent, PAIR_SETS, True, broadcast_rows), "blocks"))
+        found = cut(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "components")
     # The first row of each component of several sets, and the sets that aren't in it by themselves.
     linked = cut(candidates.join(small_side(found, found.count(), broadcast_rows), candidates.key == found.node).select("key", "rep", "label"), "linked")
     least = cut(linked.groupBy("label").agg(F.min("rep").alias("first")).withColumnRenamed("label", "of_label"), "first")

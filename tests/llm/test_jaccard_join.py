@@ -50,6 +50,7 @@ def cases(seed=5):
 def test_equals_brute_force(spark, monkeypatch, small):
     if small:  # small tiles, and no broadcast
         monkeypatch.setattr(J, "TILE_SETS", 3)
+        monkeypatch.setattr(J, "PAIR_SETS", 2)
         monkeypatch.setattr(J, "MANY", 4)
     rows = cases()
     got = jaccard_components(docs(spark, rows, [("key", 1), ("n", 2), ("component_id", 3)]), broadcast_rows=0 if small else 1_000_000).collect()
@@ -118,3 +119,22 @@ def test_null_ids_alone_are_linked_by_their_own_texts(spark):
         rows += [(k, " ".join(base[:-3] + [f"a{k}", f"b{k}", f"c{k}"])), (None, " ".join(base)), (None, " ".join(words(rng, 60)))]
     got = jaccard_components(docs(spark, rows)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("pair_sets", [3, 512])
+def test_large_parts_that_fall_apart(spark, monkeypatch, pair_sets):
+    """One part of many components whose sizes and rare hashes are alike: what the first tiles miss is found by the pairs of blocks."""
+    monkeypatch.setattr(J, "TILE_SETS", 4)
+    monkeypatch.setattr(J, "PAIR_SETS", pair_sets)
+    rng = random.Random(11)
+    rows = []
+    shared = words(rng, 70)
+    for k in range(12):  # families share 70 of 100 words, members 97
+        own = words(rng, 30, 5000)
+        for m in range(5):
+            w = shared + own
+            w[75 + m] = f"m{k}x{m}"
+            rows.append((len(rows), " ".join(w)))
+    got = jaccard_components(docs(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+    assert 2 < len({r.component_id for r in got}) < len(rows)
