@@ -33,7 +33,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: list, rows: int, limit: i
     if rows <= limit:
         return left.join(F.broadcast(right), on, how)
     salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__of", F.pmod(F.spark_partition_id(), F.lit(salts))).join(salted, [*on, F.col("__of") == F.col("__salt")], how).drop("__of", "__salt")
+    return left.withColumn("__deal", F.pmod(F.spark_partition_id(), F.lit(salts))).join(salted, [*on, F.col("__deal") == F.col("__salt")], how).drop("__deal", "__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

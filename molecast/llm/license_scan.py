@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import literal_table, table
+from .common import cut, literal_table, spread_join, table
 from .linear import fit_multinomial, temperature
 
 #: Phrases by which licences of each family are named or granted.
@@ -212,14 +212,15 @@ def licensed_lines(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     return both.groupBy("__row", "__mark", "line_no", "family").agg(first).select("__row", "__mark", "line_no", "family", "x.probability", "x.match")
 
 
-def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000, **options) -> DataFrame:
     """doc_id, n_lines, families (sorted, distinct), n_license_lines, lines (line_no, family, probability, match): a row for each row of docs."""
     model = model or LicenseModel(corpus_lines(docs, id_col, text_col))
     plain = docs.select(F.col(id_col).alias("__row"), F.col(text_col).alias("__text"))
     found = licensed_lines(plain, model, "__row", "__text", **options)
     each = found.groupBy(F.col("__row").alias("__hit"), F.col("__mark").alias("__of")).agg(F.array_sort(F.collect_set("family")).alias("families"), F.count_distinct("line_no").alias("n_license_lines"), F.array_sort(F.collect_list(F.struct("line_no", "family", "probability", "match"))).alias("lines"))
     base = plain.select(F.col("__row").alias("doc_id"), F.xxhash64("__text").alias("__mark"), F.size(F.split(F.coalesce("__text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    out = base.join(each, F.col("doc_id").eqNullSafe(F.col("__hit")) & (F.col("__mark") == F.col("__of")), "left")
+    each = cut(each, "licences")
+    out = spread_join(base, each, [F.col("doc_id").eqNullSafe(F.col("__hit")), F.col("__mark") == F.col("__of")], each.count(), broadcast_rows, "left")
     return out.select("doc_id", "n_lines", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"), "lines")
 
 
