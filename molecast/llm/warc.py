@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, spread_join, table
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -158,14 +158,16 @@ def _write(frame_bytes: int, bundle_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 8 << 20) -> DataFrame:
-    """Write a record for each row; returns the table of bundles: bundle, data, index (page_id, frame, offset, length)."""
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 8 << 20, broadcast_rows: int = 250_000) -> DataFrame:
+    """Write a record for each row; returns the table of bundles: bundle, data, index (page_id, frame, offset, length). Payloads are shuffled only if there are more revisits than may be broadcast."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    shared = rows.filter(F.octet_length("payload") >= revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("sha", "keeper")
-    # Only the few identifiers of revisits are joined by digest; payloads move at most once, by identifier.
-    again = rows.select("page_id", "sha").join(shared, "sha").filter(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(F.col("page_id").alias("again"), F.col("sha").alias("again_sha"), "keeper").distinct()
-    met = rows.join(again, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("sha") == F.col("again_sha")), "left")
+    keys = cut(rows.filter(F.octet_length("payload") >= revisit_bytes).select("page_id", "sha"), "digests")
+    shared = cut(keys.groupBy(F.col("sha").alias("of_sha")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("of_sha", "keeper"), "shared")
+    # Only identifiers are joined by digest; a digest that very many rows have is dealt over tasks.
+    again = spread_join(keys, shared, [F.col("sha") == F.col("of_sha")], shared.count(), broadcast_rows).filter(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    again = cut(again.select(F.col("page_id").alias("again"), F.col("sha").alias("again_sha"), "keeper").distinct(), "revisits")
+    met = spread_join(rows, again, [F.col("page_id").eqNullSafe(F.col("again")), F.col("sha") == F.col("again_sha")], again.count(), broadcast_rows, "left")
     out = met.select("page_id", "url", "payload", "sha", "keeper", F.col("again_sha").isNotNull())
     return cut(out.toDF("page_id", "url", "payload", "sha", "refers_to", "revisit").mapInArrow(_write(frame_bytes, bundle_bytes), "bundle string, data binary, index array<struct<page_id: long, frame: int, offset: long, length: long>>"), "warc")
 

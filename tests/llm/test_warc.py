@@ -20,7 +20,7 @@ def expected(rows, least=0):
     last = {}
     for i, _, h in rows:
         h = h or ""
-        last[h] = max(last.get(h, i), i)
+        last[h] = max((x for x in (last.get(h), i) if x is not None), default=None)
     out = []
     for i, _, h in rows:
         raw = (h or "").encode()
@@ -30,9 +30,10 @@ def expected(rows, least=0):
 
 
 def test_round_trip(spark):
-    rows = cases()
-    for least in (0, 12):
-        got = read_archives(write_archives(frame(spark, rows), revisit_bytes=least, frame_bytes=2000, bundle_bytes=20000))
+    rows = [*cases(), (None, "u", "tie"), (None, None, "<p>1 ü</p>"), (None, "u", "only null ids have it"), (None, "u", "only null ids have it"), (7, "again", "another payload of an id"), (7, "again", None)]
+    for least, limit in ((0, 250_000), (12, 0)):
+        pages = frame(spark, rows).selectExpr("*", "1 AS payload", "'x' AS sha", "2 AS keeper", "true AS revisit", "3 AS again")
+        got = read_archives(write_archives(pages, revisit_bytes=least, frame_bytes=2000, bundle_bytes=20000, broadcast_rows=limit))
         assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()), key=repr) == expected(rows, least)
         assert {bytes(r.payload).decode() for r in got.collect() if r.payload is not None} == {h or "" for _, _, h in rows}
 
