@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .spatial import AROUND, cells
@@ -88,11 +93,39 @@ def lens_volume(ra: Column, rb: Column, d: Column) -> Column:
     return F.when(gap <= 0, 0.0).when(d <= F.abs(ra - rb), small * small * small * (4 * math.pi / 3)).otherwise(F.lit(math.pi / 12) * gap * gap * (d + 2 * (ra + rb) - 3 / d * (ra - rb) * (ra - rb)))
 
 
+def _areas_within(kind: StructType, probes: np.ndarray):
+    """Rows (key, all) to rows of each sphere: its open probes and their area. Spheres of a molecule are tested against each other at once."""
+    names = kind.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(kind)
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy()
+            flat = lists.values
+            x, r = (np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1), flat.field("r").to_numpy(zero_copy_only=False))
+            free = np.zeros(len(r), np.int32)
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                for at in range(lo, hi, 32):
+                    own = slice(at, min(at + 32, hi))
+                    place = x[own, None] + r[own, None, None] * probes
+                    inside = np.square(place[:, :, None] - x[None, None, lo:hi]).sum(3) <= np.square(r[lo:hi])
+                    inside[np.arange(inside.shape[0]), :, np.arange(at - lo, own.stop - lo)] = False
+                    free[own] = (~inside.any(2)).sum(1)
+            # The offsets of a slice don't start at 0; what is before and after isn't this batch's.
+            used = slice(ends[0], ends[-1])
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends))))
+            area = 4 * math.pi * np.square(r[used]) * free[used] / len(probes)
+            yield pa.RecordBatch.from_arrays([keys.cast(schema.field(0).type), flat.field("i").slice(ends[0], ends[-1] - ends[0]), pa.array(free[used]), pa.array(area)], names)
+
+    return run
+
+
 def surface_area(spheres: DataFrame, lattice: int, key: str = "mol", ident: str = "id", largest: float | None = None, small: int = 256) -> DataFrame:
     """key, ident, open, area of spheres (key, ident, x, y, z, r): the probes of each sphere's lattice that no other sphere of the key holds.
 
-    Molecules of up to ``small`` spheres are gathered into a row, and each sphere is tested
-    within it. In larger ones, spheres that can touch meet by key and cube, as in a range
+    Molecules of up to ``small`` spheres are gathered into a row, and tested within it as
+    arrays. In larger ones, spheres that can touch meet by key and cube, as in a range
     join, so that no molecule is paired with all of itself. ``largest`` is the largest
     radius, if known.
     """
@@ -113,10 +146,9 @@ def surface_area(spheres: DataFrame, lattice: int, key: str = "mol", ident: str
         return dot(d, d) <= reach * reach
 
     def rows(part: DataFrame) -> DataFrame:
-        each = part.groupBy(key).agg(F.collect_list(F.struct(ident, "x", "y", "z", "r")).alias("all"))
-        one = each.select(key, "all", F.explode("all").alias("s")).select(key, "all", f"s.{ident}", "s.x", "s.y", "s.z", "s.r")
-        near = F.filter("all", lambda o: (o[ident] != F.col(ident)) & close({c: F.col(c) for c in "xyzr"}, o))
-        return areas(one.select(key, ident, "x", "y", "z", "r", near.alias("near")))
+        each = part.groupBy(key).agg(F.collect_list(F.struct(F.col(ident).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyzr"))).alias("all"))
+        kind = StructType([part.schema[key], part.schema[ident], StructField("open", IntegerType()), StructField("area", DoubleType())])
+        return each.mapInArrow(_areas_within(kind, np.array([p[1:] for p in lattice_points])), kind)
 
     def cubes(part: DataFrame) -> DataFrame:
         reach = 2 * (largest if largest is not None else part.agg(F.max("r")).first()[0] or 1.0)

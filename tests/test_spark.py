@@ -269,3 +269,21 @@ def test_kept_index(spark, cloud):
         index.drop()
     with pytest.raises(ValueError):
         SpatialIndex(spark, "none", 0)
+
+
+def test_surfaces_within_rows_and_by_cubes(spark):
+    """Small molecules in a row, large ones by cubes, and both at once give the areas of the kernel."""
+    from molecast.functions.descriptors import surface_area as kernel
+    from molecast.operators.geometry import surface_area
+
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for mol, n in enumerate((1, 2, 5, 40, 70)):
+        x, r = rng.uniform(0, 6, (n, 3)), rng.uniform(1, 2, n)
+        rows += [(mol, i, *map(float, x[i]), float(r[i])) for i in range(n)]
+        want |= {(mol, i): v for i, v in enumerate(kernel(x, r - 1.4 + 1.4, 50, 0.0))}
+    df = spark.createDataFrame(rows, "mol long, id int, x double, y double, z double, r double")
+    for small in (256, 0, 10):
+        got = {(r.mol, r.id): r.area for r in surface_area(df, 50, small=small).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want), small
+    assert surface_area(df.limit(0), 50).collect() == []
