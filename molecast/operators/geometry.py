@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions.chains import HELIX, HELIX_TOLERANCE, PAIRS, STRAND, STRAND_TOLERANCE, TURN_BELOW
 from .spatial import AROUND, cells
 
 #: 2 pi / phi^2
@@ -62,18 +63,13 @@ def fibonacci_lattice(spark: SparkSession, n: int) -> DataFrame:
     return z.select("i", (F.sqrt(1 - F.col("z") * F.col("z")) * F.cos(i * TURN)).alias("x"), (F.sqrt(1 - F.col("z") * F.col("z")) * F.sin(i * TURN)).alias("y"), "z")
 
 
-#: Reference distances of (1-3, 1-4, 1-5, 2-4, 2-5, 3-5) residue pairs, and tolerances.
-HELIX, STRAND = (5.45, 5.18, 6.37, 5.45, 5.18, 5.45), (6.1, 10.4, 13.0, 6.1, 10.4, 6.1)
-HELIX_TOLERANCE, STRAND_TOLERANCE, TURN_BELOW = 2.1, 1.42, 8.0
-
-
 def secondary_structure(df: DataFrame, key: str, order: str) -> DataFrame:
     """Adds ss (coil, helix, strand or turn) from the positions of five residues in a row; the outer two at either end are coil."""
     w = Window.partitionBy(key).orderBy(order)
     at = F.struct("x", "y", "z")
     p = [F.lag(at, 2).over(w), F.lag(at, 1).over(w), at, F.lead(at, 1).over(w), F.lead(at, 2).over(w)]
     wide = df.withColumns({f"_p{i}": c for i, c in enumerate(p)})
-    d = [F.sqrt(distance_squared(F.col(f"_p{a}"), F.col(f"_p{b}"))) for a, b in ((0, 2), (0, 3), (0, 4), (1, 3), (1, 4), (2, 4))]
+    d = [F.sqrt(distance_squared(F.col(f"_p{a}"), F.col(f"_p{b}"))) for a, b in PAIRS]
     wide = wide.withColumns({f"_d{i}": c for i, c in enumerate(d)})
 
     def near(refs: tuple, tolerance: float) -> Column:

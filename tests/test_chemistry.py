@@ -191,6 +191,7 @@ def test_shapes_align():
 
 
 #: A molecule of 13 atoms, and areas of its atoms with 100 probes.
+# Positions of a molecule and the areas that its atoms must have.
 PHENOL = """
 2.4823 0.0194 -0.3935 O
 1.1083 0.0083 -0.2127 C
