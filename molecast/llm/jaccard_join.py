@@ -341,7 +341,7 @@ def _tiles(percent: int):
 
 
 def _with_blocks(parts: DataFrame, percent: int, sets: int, pairs: bool, broadcast_rows: int) -> DataFrame:
-    """Adds block and tiles to (key, rep, n, part, label): the block is a large part's size class and a share of it. The tiles are the block itself, and with the next one; with pairs, with each other block that may link with it. A part that isn't large is one block and one tile."""
+    """Adds block and tiles to (key, rep, n, part, label): the block is a large part's size class and a share of it. The tiles are the block itself, and with the next one; or with pairs, the block itself and with each other block that may link with it (blocks of another size, so that itself is needed again). A part that isn't large is one block and one tile."""
     wide = math.log(100 / percent) * 1.04 + 1e-9
     parts = parts.withColumn("cls", F.floor(F.log("n") / wide))
     # Sums by part and class are few, so that no task gets the rows of a large part.
@@ -360,7 +360,7 @@ def _with_blocks(parts: DataFrame, percent: int, sets: int, pairs: bool, broadca
     met = spread_join(parts, near, [F.col("part") == F.col("of_part"), F.col("cls") == F.col("of_cls")], near.count(), broadcast_rows, "left")
     met = met.withColumn("at", F.pmod(F.xxhash64("key", F.lit(7)), F.greatest(blocks_of("cls"), F.lit(1)))).withColumn("own", F.when(F.col("shares").isNotNull(), block(F.col("cls"), F.col("at"))))
     if pairs:
-        others = F.filter(F.expr("flatten(transform(shares, s -> transform(sequence(0L, s.own - 1), j -> xxhash64(part, s.cls, j))))"), lambda o: o != F.col("own"))
+        others = F.expr("flatten(transform(shares, s -> transform(sequence(0L, s.own - 1), j -> xxhash64(part, s.cls, j))))")
     else:
         after = F.when(F.col("at") + 1 < blocks_of("cls"), block(F.col("cls"), F.col("at") + 1)).when(blocks_of("cls + 1") > 0, block(F.col("cls") + 1, F.lit(0).cast("long")))
         before = F.when(F.col("at") > 0, block(F.col("cls"), F.col("at") - 1)).when(blocks_of("cls - 1") > 0, block(F.col("cls") - 1, blocks_of("cls - 1") - 1))

@@ -138,3 +138,24 @@ def test_large_parts_that_fall_apart(spark, monkeypatch, pair_sets):
     got = jaccard_components(docs(spark, rows)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
     assert 2 < len({r.component_id for r in got}) < len(rows)
+
+
+@pytest.mark.parametrize("pair_sets", [2, 3])
+def test_links_that_only_one_pair_of_blocks_holds(spark, monkeypatch, pair_sets):
+    """Families like stars: members link with their centre only, so that each link is a single pair, which may lie in any two blocks, or in one."""
+    monkeypatch.setattr(J, "TILE_SETS", 2)
+    monkeypatch.setattr(J, "PAIR_SETS", pair_sets)
+    rng = random.Random(12)
+    rows, shared = [], words(rng, 120)
+    for k in range(12):
+        own = words(rng, 80, 5000)
+        base = shared + own
+        rows.append((len(rows), " ".join(base)))
+        for m in range(6):
+            w = base[:]
+            for j in range(4):  # each change breaks five of about 196 shingles
+                w[125 + (12 * m + 19 * j) % 70] = f"m{k}x{m}x{j}"
+            rows.append((len(rows), " ".join(w)))
+    got = jaccard_components(docs(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+    assert len({r.component_id for r in got}) > 1
