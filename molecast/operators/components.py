@@ -51,10 +51,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, contracted: bool = False) -> DataFrame:
     """(node, label): each node of edges (a, b), of type long, with the smallest node that it reaches.
 
-    Tasks first contract what edges they have. Then large-star and small-star steps
+    Tasks first contract what edges they have, unless the edges come contracted (say, from a
+    Python stage, which would then need a second worker in each task). Then large-star and small-star steps
     alternate until the edges no longer change. The minimum of a node's neighbours is a
     partially aggregated group; it is joined back by a broadcast for hubs, whose number
     is bounded by their share of the edges, and by a shuffle for the others, so that no
@@ -75,7 +76,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    stars = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").mapInArrow(_contract, "a long, b long")
+    stars = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).filter("a <> b")
+    if not contracted:
+        stars = stars.mapInArrow(_contract, "a long, b long")
     now = cut(stars.distinct(), "edges")
     was = state(now)
     for _ in range(rounds):
