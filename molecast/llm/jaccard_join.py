@@ -58,14 +58,14 @@ TILE_HASHES, TILE_SETS, PAIR_SETS = 250_000, 128, 512
 #: Sets under one hash are counted up to this number, which stands for more.
 MANY = 1000
 #: Sets that a task remembers while it thins out ties.
-FOREST = 500_000
+FOREST = 100_000
 
 
 class Words(dict):
     """Hash of each word, kept for the next time; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -388,7 +388,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     least = F.floor(F.floor((F.col("n") * percent + 99) / 100) / 10)  # must_share - 1
     few = shared.withColumn("place", F.row_number().over(own.orderBy("m", "sig"))).withColumn("all", F.count("*").over(own)).filter(F.col("place") <= F.col("all") - least)
     ties = few.select("sig", "key", "n").repartition("sig").sortWithinPartitions("sig", "n", "key").mapInArrow(_ties(percent), "a long, b long")
-    parts = cut(components(ties), "components")
+    parts = cut(components(ties, contracted=True), "components")
     # Ids come before null.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     reps = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min(row).alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
@@ -402,7 +402,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
         return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
 
     blocks = cut(_with_blocks(candidates.withColumn("label", F.col("key")), percent, TILE_SETS, False, broadcast_rows), "blocks")
-    found = cut(components(links(blocks)), "components")
+    found = cut(components(links(blocks), contracted=True), "components")
     # Large parts that aren't one component by now.
     large = blocks.filter("large").select("key", "part")
     told = large.join(small_side(found, found.count(), broadcast_rows), large.key == found.node, "left").select("part", F.coalesce("label", "key").alias("label"))
@@ -411,7 +411,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
         left = spread_join(candidates, open_, [F.col("part") == F.col("of_part")], many, broadcast_rows).drop("of_part")
         left = left.join(small_side(found, found.count(), broadcast_rows), left.key == found.node, "left").select("key", "rep", "n", "part", F.coalesce("label", "key").alias("label"))
         more = links(cut(_with_blocks(left, percent, PAIR_SETS, True, broadcast_rows), "blocks"))
-        found = cut(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "components")
+        found = cut(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), contracted=True), "components")
     # The first row of each component of several sets, and the sets that aren't in it by themselves.
     linked = cut(candidates.join(small_side(found, found.count(), broadcast_rows), candidates.key == found.node).select("key", "rep", "label"), "linked")
     least = cut(linked.groupBy("label").agg(F.min("rep").alias("first")).withColumnRenamed("label", "of_label"), "first")

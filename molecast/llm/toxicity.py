@@ -119,7 +119,7 @@ class Scorer:
         hit: set[int] = set()
         for word in words_of(text):
             if (got := self.known.get(word)) is None:
-                if len(self.known) > 150_000:
+                if len(self.known) > 75_000:
                     self.known.clear()
                 got = self.known[word] = tuple(f for f in word_features(word) if f in self.weight)
             if got:
@@ -148,7 +148,7 @@ def score(self, text: str | None) -> float:
         hit: set[int] = set()
         for word in words_of(text):
             if (got := self.known.get(word)) is None:
-                if len(self.known) > 150_000:
+                if len(self.known) > 75_000:
                     self.known.clear()
                 got = self.known[word] = tuple(f for f in word_features(word) if f in self.weight)
             if got:
