@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molecast.llm.common import cut, small_side, table
+from molecast.llm.common import cut, spread_join, table
 from molecast.llm.decontaminate import decontaminate
 from molecast.llm.jaccard_join import near_copy_rows
 from molecast.llm.mixing import TARGETS, quality_domains, resample
@@ -28,12 +28,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows with the same id and text: all are taken out, and one is put back.
     gone = found.filter("NOT stays OR copies > 1").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark"))
     again = found.filter("stays AND copies > 1").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark"))
-    same = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
-    left = docs.join(small_side(gone, gone.count(), 1_000_000), same, "left_anti")
+    same = [docs["doc_id"].eqNullSafe(F.col("__gone")), F.xxhash64(docs["text"]) == F.col("__mark")]
+    left = spread_join(docs, gone, same, gone.count(), 1_000_000, "left_anti")
     if not (many := again.count()):
         return left
     row = F.min(F.struct(*(docs[c] for c in docs.columns))).alias("row")
-    one = docs.join(small_side(again, many, 1_000_000), same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(row)
+    one = spread_join(docs, again, same, many, 1_000_000, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(row)
     return left.unionByName(one.select("row.*"))
 
 
