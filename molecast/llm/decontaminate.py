@@ -134,8 +134,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """The rows of docs, all columns, whose text holds no copy of an item."""
     found = _found(docs, items, id_col, text_col, item_id, item_text, least, share, whole, broadcast_rows)
     bad = cut(found.select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct(), "contaminated")
-    same = docs[id_col].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs[text_col]) == F.col("__mark"))
-    return docs.join(small_side(bad, bad.count(), broadcast_rows), same, "left_anti")
+    same = [docs[id_col].eqNullSafe(F.col("__bad")), F.xxhash64(docs[text_col]) == F.col("__mark")]
+    return spread_join(docs, bad, same, bad.count(), broadcast_rows, "left_anti")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
