@@ -63,9 +63,21 @@ def _room(z: int, charge: int, bonds: int) -> int:
 
 def balance_rings(mol: Molecule, hydrogens: bool, charges: bool) -> None:
     """Where the delocalised bonds have no localised structure, a two-bonded nitrogen (or carbon anion) without hydrogen gets one, those of the smallest rings first; if none helps, a ring nitrogen or chalcogen gets +1, or a carbon -1. Only what may change does."""
-    if localised_orders(mol) is not None:
-        return
-    ring = [i for i, a in enumerate(mol.atoms) if a.ring and any(mol.bonds[e].bo == AROMATIC for _, e in mol.near[i])]
+    left = {i for i in range(len(mol.atoms)) if any(mol.bonds[e].bo == AROMATIC for _, e in mol.near[i])}
+    while left:  # one system of delocalised bonds after another
+        todo = [left.pop()]
+        system = set(todo)
+        while todo:
+            new = {j for j, e in mol.near[todo.pop()] if mol.bonds[e].bo == AROMATIC and j in left}
+            left -= new
+            system |= new
+            todo += new
+        if localised_orders(mol, system) is None:
+            _balance(mol, system, hydrogens, charges)
+
+
+def _balance(mol: Molecule, system: set[int], hydrogens: bool, charges: bool) -> None:
+    ring = sorted(system)
     least = {i: min((len(r) for r in smallest_rings(mol) if i in r), default=0) for i in ring}
     tries = []
     if hydrogens:
@@ -74,18 +86,26 @@ def balance_rings(mol: Molecule, hydrogens: bool, charges: bool) -> None:
     if charges:
         plain = [i for i in ring if not mol.atoms[i].fcharge]
         tries += [(i, "fcharge", 1) for i in plain if mol.atoms[i].z == 7 and mol.all_neighbours(i) == 3] + [(i, "fcharge", 1) for i in plain if mol.atoms[i].z in (8, 16, 34)] + [(i, "fcharge", -1) for i in plain if mol.atoms[i].z == 6 and least[i] < 6]
-    done: list[tuple[int, str, int]] = []
-    for i, what, by in tries:  # one alone, or else several, as fused systems may lack more than one
+
+    def change(i: int, what: str, by: int) -> bool:
+        """Whether there is a localised structure after a change."""
         setattr(mol.atoms[i], what, getattr(mol.atoms[i], what) + by)
-        if localised_orders(mol) is not None:
-            for j, w, b in done:
-                setattr(mol.atoms[j], w, getattr(mol.atoms[j], w) - b)
-                if localised_orders(mol) is None:
-                    setattr(mol.atoms[j], w, getattr(mol.atoms[j], w) + b)
+        return localised_orders(mol, system) is not None
+
+    for i, what, by in tries:  # one alone
+        if change(i, what, by):
             return
+        change(i, what, -by)
+    done: list[tuple[int, str, int]] = []
+    for i, what, by in tries:  # or several, as a fused system may lack more than one; those that aren't needed go again
         done.append((i, what, by))
+        if change(i, what, by):
+            for j, w, step in done[:-1]:
+                if not change(j, w, -step):
+                    change(j, w, step)
+            return
     for i, what, by in done:
-        setattr(mol.atoms[i], what, getattr(mol.atoms[i], what) - by)
+        change(i, what, -by)
 
 
 def guess_hydrogens(mol: Molecule) -> None:

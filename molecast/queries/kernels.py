@@ -14,8 +14,10 @@ from ..functions import descriptors as D
 from ..functions import molecule as M
 from ..functions import pdb as P
 from ..functions import sdf
+from ..functions import substructures as S
 from ..functions.chains import align_chains
 from ..functions.elements import periodic_table
+from ..functions.guess2d import guess_charges, guess_hydrogens
 from ..functions.kernels import map_rows, spread
 from ..functions.optimize import bfgs, l_bfgs_b, nelder_mead
 from ..functions.perception import sanitize
@@ -105,6 +107,46 @@ def f12_charge_totals(spark, sf_dir):
     return map_rows(parse_column(corpus(spark, sf_dir), "smi", "line", "key long").select("key", "mol"), kernel, "key long, total double")
 
 
+def bare(mol, hydrogens=False, charges=False):
+    """The elements and bonds of a molecule, and what is asked for."""
+    out = M.Molecule()
+    for a in mol.atoms:
+        out.add_atom(M.Atom(a.z, impl_h=a.impl_h if hydrogens else 0, fcharge=a.fcharge if charges else 0))
+    for b in mol.bonds:
+        out.add_bond(b.src, b.dst, b.bo)
+    return out.finish()
+
+
+@query(f"WITH {LINES} SELECT key, hydrogens, charge, charge AS sum_of_both FROM lines")
+def f11_drawn_structures(spark, sf_dir):
+    """Hydrogens found from bonds and charges, charges from bonds and hydrogens, and both at once give the same charge of the whole where ions tell it."""
+    def kernel(row):
+        mol = M.from_row(row["mol"])
+        hydrogens, charges = bare(mol, charges=True), bare(mol, hydrogens=True)
+        guess_hydrogens(hydrogens)
+        guess_charges(charges)
+        again = bare(mol, charges=True)
+        again_h = [a.impl_h for a in hydrogens.atoms]
+        for a, h in zip(again.atoms, again_h, strict=True):
+            a.impl_h, a.fcharge = h, 0
+        guess_charges(again)
+        yield {"key": row["key"], "hydrogens": sum(again_h), "charge": sum(a.fcharge for a in charges.atoms), "sum_of_both": sum(a.fcharge for a in again.atoms)}
+
+    return map_rows(parse_column(corpus(spark, sf_dir), "smi", "line", "key long").select("key", "mol"), kernel, "key long, hydrogens int, charge int, sum_of_both int")
+
+
+@query(WITH + """, n AS (SELECT vec_id, count(*) FILTER (src % 2 = 0 AND dst % 2 = 0) AS even, count(*) FILTER (src > 10 AND dst > 10) AS late FROM bonds GROUP BY 1)
+ SELECT e.vec_id, 11 AS atoms, coalesce(n.even, 0) AS bonds, coalesce(n.late, 0) AS later_bonds, '0,2' AS holders, 3 AS subs, 9 AS after_erasing FROM embeddings e LEFT JOIN n USING (vec_id)""")
+def c8_substructures(spark, sf_dir):
+    """Substructures added, asked and changed as columns: the even atoms, and those after the tenth; the residue comes first."""
+    mol = F.col("mol")
+    ids = F.sequence(F.lit(0), F.lit(20))
+    grown = S.append(S.insert(mol, 1, S.new(F.filter(ids, lambda i: i > 10), "late", 1)), S.new(F.filter(ids, lambda i: i % 2 == 0), "even", 2))
+    held = drawn(spark, sf_dir).select("vec_id", grown.alias("mol"))
+    erased = S.erase_atoms(S.remove(mol, 1), 1, F.array(F.lit(0), F.lit(2), F.lit(3)))
+    return held.select("vec_id", F.size(S.atoms(mol, 2)).alias("atoms"), F.size(S.bonds(mol, 2)).alias("bonds"), F.size(S.bonds(mol, 1)).alias("later_bonds"), F.array_join(F.transform(S.holders(mol, 4), lambda i: i.cast("string")), ",").alias("holders"), F.size("mol.subs").alias("subs"), F.size(S.atoms(erased, 1)).alias("after_erasing"))
+
+
 def drawn(spark, sf_dir):
     """vec_id, mol: the derived conformers as molecules, with coordinates 12 times as large, their bonds, and one residue."""
     rows = spread(bonded(spark, sf_dir))
