@@ -54,7 +54,7 @@ U = np.uint64
 #: The count sketch has 2^SKETCH counters, sent in chunks of 2^CHUNK. Points have 2^GROUPS coordinates. A node of the tree has LEAF points.
 SKETCH, CHUNK, GROUPS, LEAF = 20, 16, 6, 16
 #: Hashes and sets of a block, about; sets of a block when all pairs of blocks are searched.
-TILE_HASHES, TILE_SETS, PAIR_SETS = 250_000, 128, 512
+TILE_HASHES, TILE_SETS, PAIR_SETS = 250_000, 64, 512
 #: Sets under one hash are counted up to this number, which stands for more.
 MANY = 1000
 #: Sets that a task remembers while it thins out ties.
