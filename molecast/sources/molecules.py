@@ -94,7 +94,7 @@ def parse_column(df: DataFrame, fmt: str, column: str, keep: str = "", clean: bo
             if not mol.error or mode == "PERMISSIVE":
                 yield {**own, "idx": i, "mol": to_row(mol)}
 
-    return map_rows(df.select(*dict.fromkeys([*names, column])), kernel, ", ".join(x for x in (keep, OUT) if x))
+    return map_rows(df, kernel, ", ".join(x for x in (keep, OUT) if x), [*names, column])
 
 
 def _failed(text: str) -> dict:
@@ -125,7 +125,7 @@ def format_column(df: DataFrame, fmt: str, column: str = "mol", keep: str = "",
     def kernel(row: dict) -> Iterator[dict]:
         yield {**{n: row[n] for n in names}, out: write(from_row(row[column]))}
 
-    return map_rows(df.select(*names, column), kernel, ", ".join(x for x in (keep, f"{out} string") if x))
+    return map_rows(df, kernel, ", ".join(x for x in (keep, f"{out} string") if x), [*names, column])
 
 
 def write_molecules(df: DataFrame, path: str, fmt: str, column: str = "mol") -> None:
@@ -141,4 +141,4 @@ def conceal_hydrogens(df: DataFrame, column: str = "mol", keep: str = "") -> Dat
     def kernel(row: dict) -> Iterator[dict]:
         yield {**{n: row[n] for n in names}, "mol": to_row(hide_hydrogens(from_row(row[column])))}
 
-    return map_rows(df.select(*names, column), kernel, ", ".join(x for x in (keep, f"mol {SCHEMA}") if x))
+    return map_rows(df, kernel, ", ".join(x for x in (keep, f"mol {SCHEMA}") if x), [*names, column])
