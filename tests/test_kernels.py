@@ -1,9 +1,19 @@
 import gc
 
 from molecast.functions.kernels import TAKE, map_rows
+from molecast.queries.kernels import corpus
 from molecast.sources.molecules import format_column, parse_column
 
 
+def test_lines_are_dealt_over_tasks(spark, tmp_path):
+    """A table of few bytes has many lines, so one file of it is no single task."""
+    spark.range(1, 30_001).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert spark.read.parquet(f"{tmp_path}/part.parquet").rdd.getNumPartitions() == 1
+    lines = corpus(spark, str(tmp_path))
+    sizes = lines.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 30_000 and sum(n > 0 for n in sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 30_000 // 2
+
+
 def test_few_rows_are_objects_at_once(spark):
     def kernel(row):
         asked = row["id"] % 500 == 0
