@@ -86,8 +86,8 @@ def _levels(df: DataFrame, sizes: list[float], around: bool = False, level: bool
 def knn_join(query: DataFrame, points: DataFrame, k: int, cutoff: float | None = None, query_id: str = "id", point_id: str = "id") -> DataFrame:
     """q, p, d2, place: the k nearest points of each query, within the cutoff if given; ties go to the smaller id.
 
-    Without a cutoff each query looks at cubes of a size of its own: the smallest, of
-    halves of the whole extent, whose cube around the query holds so many points that k
+    Each query looks at cubes of a size of its own: the smallest, of halves of the whole
+    extent or of the cutoff (beyond which nobody looks), whose cube around the query holds so many points that k
     should be within the size. One pass answers most queries, also where some regions
     are much denser than others; those with fewer than k points within their size go on
     with twice the size. Of points at the same place only the k smallest ids matter, so
@@ -95,18 +95,19 @@ def knn_join(query: DataFrame, points: DataFrame, k: int, cutoff: float | None =
     """
     if k <= 0:
         return distance_join(query, points, cutoff or 1.0, query_id, point_id).withColumn("place", F.lit(1)).limit(0)
-    if cutoff is not None:
-        return _nearest(distance_join(query, points, cutoff, query_id, point_id), k)
+    if cutoff is not None and cutoff <= 0:
+        raise ValueError("the cutoff must be positive")
     spans = [f(c) for part in (points, query) for c in "xyz" for f in (F.min, F.max)]
     box = points.agg(F.count("*").alias("n"), *(s.alias(f"b{i}") for i, s in enumerate(spans[:6]))).crossJoin(query.agg(*(s.alias(f"q{i}") for i, s in enumerate(spans[6:])))).first()  # one row each
     if not box["n"] or box["q0"] is None:
-        return _nearest(distance_join(query, points, 1.0, query_id, point_id), k)
+        return _nearest(distance_join(query, points, cutoff or 1.0, query_id, point_id), k)
     low = [min(box[f"b{2 * i}"], box[f"q{2 * i}"]) for i in range(3)]
     high = [max(box[f"b{2 * i + 1}"], box[f"q{2 * i + 1}"]) for i in range(3)]
     whole = max(sum((h - lo) ** 2 for lo, h in zip(low, high, strict=True)) ** 0.5, 1e-9) * (1 + 1e-9)
     # Evenly spread points would need this many halves; some more are for denser regions.
     halves = 5 + max(0, math.ceil(math.log2(max(1.0, box["n"] / k)) / 3))
-    sizes = [whole / 2**j for j in range(halves)]
+    top = whole if cutoff is None else min(whole, cutoff)
+    sizes = [top / 2**j for j in range(max(1, halves - math.floor(math.log2(whole / top))))]
     place = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("pid"))
     p = _named(points, point_id, "p").withColumn("place", place).filter(F.col("place") <= k).drop("place")
     q = _named(query, query_id, "q")
@@ -123,7 +124,7 @@ def knn_join(query: DataFrame, points: DataFrame, k: int, cutoff: float | None =
         met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("level", "c0", "c1", "c2")])
         near = met.select(F.col("qid").alias("q"), F.col("pid").alias("p"), _distance("a", "b").alias("d2"), F.col("a.level").alias("level"), limit.alias("most")).filter(F.col("d2") <= F.col("most"))
         found = cut(_nearest(near.drop("most"), k), "nearest")
-        # Level 0 spans everything, so its queries are done with what they have.
+        # Level 0 spans everything that counts, so its queries are done with what they have.
         done = found.filter((F.col("place") == k) | (F.col("level") == 0)).select(F.col("q").alias("of")).distinct()
         ready = found.join(done, F.col("q").eqNullSafe(F.col("of")), "left_semi").select("q", "p", "d2", "place")
         out = ready if out is None else out.unionByName(ready)

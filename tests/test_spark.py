@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from molecast.functions import substructures as S
 from molecast.functions.smiles import read_smiles, write_smiles
+from molecast.operators import spatial
 from molecast.operators.components import components
 from molecast.operators.geometry import fibonacci_lattice
 from molecast.operators.graph import erase_nodes, match_pattern, unique_edges
@@ -51,6 +52,30 @@ def test_nearest(cloud, k, cutoff):
         assert got[i] == [j for j in want if cutoff is None or d2[i, j] <= cutoff**2]
 
 
+def test_nearest_within_a_wide_cutoff(spark, monkeypatch):
+    """Dense points are looked at within as much space as k needs, not within the cutoff; results are those of all pairs."""
+    met = []
+
+    def spy(pairs, k, rank=spatial._nearest):
+        met.append(pairs.count())
+        return rank(pairs, k)
+
+    monkeypatch.setattr(spatial, "_nearest", spy)
+    x = np.round(np.random.default_rng(1).uniform(0, 1, (600, 3)), 3)
+    x[:20], x[599] = x[20], 5.0
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double")
+    d2 = np.square(x[:, None] - x[None]).sum(2)
+    for cutoff in (0.9, 0.1):
+        got = defaultdict(list)
+        for r in knn_join(df, df, 4, cutoff).orderBy("q", "place").collect():
+            got[r.q].append(r.p)
+        for i in range(600):
+            assert got[i] == [j for j in sorted(range(600), key=lambda j: (d2[i, j], j))[:4] if d2[i, j] <= cutoff**2]
+    assert max(met) < 600 * 60
+    with pytest.raises(ValueError):
+        knn_join(df, df, 4, 0.0)
+
+
 def test_nearest_of_far_queries_and_nothing(spark, cloud):
     _, df = cloud
     far = spark.createDataFrame([(0, 50.0, 0.0, 0.0)], df.schema)
