@@ -1,7 +1,11 @@
 import gc
+import math
 
+import numpy as np
+
+from molecast.functions.descriptors import overlap_of
 from molecast.functions.kernels import TAKE, map_rows
-from molecast.queries.kernels import corpus
+from molecast.queries.kernels import corpus, next_pairs
 from molecast.sources.molecules import format_column, parse_column
 
 
@@ -36,3 +40,29 @@ def test_kernels_after_each_other_share_a_worker(spark):
     facts = ("key", "mol.name", "mol.atoms.z", "mol.atoms.impl_h", "mol.bonds.bo", "mol.error")
     got = [sorted(map(repr, df.selectExpr(*facts).collect())) for df in (again, want)]
     assert got[0] == got[1] and len(got[0]) == 5
+
+
+
+def test_overlap_of_many_positions():
+    """The function of positions is the volume of all pairs of spheres, worked out one by one."""
+    rng = np.random.default_rng(5)
+    qr, tr, qt, tt = rng.uniform(0.5, 2, 5), rng.uniform(0.5, 2, 4), [6, 7, 6, 8, 1], [6, 8, 8, 1]
+    shared = overlap_of(qr, qt, tr, tt)
+    for scale in (0.1, 1.0, 3.0):
+        q, t = rng.normal(0, scale, (5, 3)), rng.normal(0, scale, (4, 3))
+        total = 0.0
+        for a, i, x in zip(qr, qt, q, strict=True):
+            for b, j, y in zip(tr, tt, t, strict=True):
+                d = math.dist(x, y)
+                v = 0.0 if d >= a + b else 4 / 3 * math.pi * min(a, b) ** 3 if d <= abs(a - b) else math.pi / 12 * (a + b - d) ** 2 * (d + 2 * (a + b) - 3 / d * (a - b) ** 2)
+                total += v * (1.0 if i == j else 0.7)
+        assert math.isclose(shared(q, t), total, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_costly_kernels_are_dealt_finely(spark, tmp_path):
+    """20,000 conformers are about 5 MB: too few bytes for a task of their own, too many steps for one."""
+    rows = spark.range(20_000).selectExpr("id AS vec_id", "transform(sequence(1, 64), i -> CAST(rand(7) AS FLOAT)) AS embedding")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    size = sum(p.stat().st_size for p in (tmp_path / "embeddings.parquet").glob("*.parquet"))
+    for df in (next_pairs(spark, str(tmp_path)),):
+        assert df.rdd.getNumPartitions() >= max(spark.sparkContext.defaultParallelism, size >> 18)
