@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 
+from molecast.functions import chains
 from molecast.functions.descriptors import overlap_of
 from molecast.functions.kernels import TAKE, map_rows
 from molecast.queries.kernels import corpus, next_pairs
@@ -42,6 +43,24 @@ def test_kernels_after_each_other_share_a_worker(spark):
     assert got[0] == got[1] and len(got[0]) == 5
 
 
+def test_chain_pairs_are_settled_once(monkeypatch):
+    """Starts that meet go on from what is known; small and large tables give the same path."""
+    rng, seen = np.random.default_rng(3), []
+
+    def spy(x, y, d0, settle=chains._settle):
+        seen.append((x.tobytes(), y.tobytes()))
+        return settle(x, y, d0)
+
+    monkeypatch.setattr(chains, "_settle", spy)
+    for n, m in ((21, 21), (30, 17)):
+        seen.clear()
+        chains.align_chains(rng.normal(size=(n, 3)).cumsum(0), rng.normal(size=(m, 3)).cumsum(0))
+        assert len(seen) == len(set(seen))
+    for n, m in ((1, 1), (7, 12), (40, 33)):
+        for gap in (-1.0, -0.6, 0.0):
+            score = np.round(rng.uniform(0, 1, (n, m)), 1)
+            assert chains._filled(score, gap) == chains._filled_by_diagonals(score, gap)
+
 
 def test_overlap_of_many_positions():
     """The function of positions is the volume of all pairs of spheres, worked out one by one."""
