@@ -6,7 +6,7 @@ import numpy as np
 from molecast.functions import chains
 from molecast.functions.descriptors import overlap_of
 from molecast.functions.kernels import TAKE, map_rows
-from molecast.queries.kernels import corpus, next_pairs
+from molecast.queries.kernels import corpus, ends, next_pairs
 from molecast.sources.molecules import format_column, parse_column
 
 
@@ -83,5 +83,5 @@ def test_costly_kernels_are_dealt_finely(spark, tmp_path):
     rows = spark.range(20_000).selectExpr("id AS vec_id", "transform(sequence(1, 64), i -> CAST(rand(7) AS FLOAT)) AS embedding")
     rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     size = sum(p.stat().st_size for p in (tmp_path / "embeddings.parquet").glob("*.parquet"))
-    for df in (next_pairs(spark, str(tmp_path)),):
+    for df in (next_pairs(spark, str(tmp_path)), ends(spark, str(tmp_path), lambda a: (a, a))):
         assert df.rdd.getNumPartitions() >= max(spark.sparkContext.defaultParallelism, size >> 18)
